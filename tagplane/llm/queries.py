@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tagplane.llm import mixing, sharding, urls
+from tagplane.llm import mixing, quality_model, quality_rules, sharding, urls
 
 QUERIES = {
+    "op2_weak_rules": quality_rules.op2_weak_rules,
     "op5_link_trust": urls.op5_link_trust,
+    "op7_factorisation": quality_model.op7_factorisation,
     "op9_raked_mixture": mixing.op9_raked_mixture,
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
