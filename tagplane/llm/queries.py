@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tagplane.llm import mixing, quality_model, quality_rules, sharding, urls
+from tagplane.llm import chat, mixing, quality_model, quality_rules, sharding, urls
 
 QUERIES = {
     "op2_weak_rules": quality_rules.op2_weak_rules,
+    "op4_fingerprinted_chat": chat.op4_fingerprinted_chat,
     "op5_link_trust": urls.op5_link_trust,
     "op7_factorisation": quality_model.op7_factorisation,
     "op9_raked_mixture": mixing.op9_raked_mixture,
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_fingerprinted_chat": chat.OP4_ORACLE}
