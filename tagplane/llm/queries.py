@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tagplane.llm import chat, mixing, quality_model, quality_rules, sharding, urls
+from tagplane.llm import chat, mixing, near_dups, quality_model, quality_rules, sharding, urls
 
 QUERIES = {
     "op2_weak_rules": quality_rules.op2_weak_rules,
+    "op3_bottom_k": near_dups.op3_bottom_k,
     "op4_fingerprinted_chat": chat.op4_fingerprinted_chat,
     "op5_link_trust": urls.op5_link_trust,
     "op7_factorisation": quality_model.op7_factorisation,
