@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagplane.llm import chat, mixing, near_dups, quality_model, quality_rules, sharding, urls
+from tagplane.llm import chat, decontamination, mixing, near_dups, quality_model, quality_rules, sharding, urls
 
 QUERIES = {
     "op2_weak_rules": quality_rules.op2_weak_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_fingerprinted_chat": chat.op4_fingerprinted_chat,
     "op5_link_trust": urls.op5_link_trust,
     "op7_factorisation": quality_model.op7_factorisation,
+    "op8_template_windows": decontamination.op8_template_windows,
     "op9_raked_mixture": mixing.op9_raked_mixture,
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
