@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagplane.llm.common import checkpoint, table
-from tagplane.llm.words import _LOWER, U64, Words, mix, span_hashes, word_slices
+from tagplane.llm.words import U64, Words, bare_spans, lowered, mix, span_hashes, word_slices
 
 WIDTH = 8
 #: Least share of an item's windows that must hold.
@@ -41,8 +41,6 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "usd eur gbp dollar dollars cent cents euro euros percent degrees degree mph kmh watts watt volts volt"
 ).split()
-_PUNCTUATION = np.zeros(256, bool)
-_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _DIGIT, _UPPER, _STOP = (np.zeros(256, bool) for _ in range(3))
 _DIGIT[48:58] = True
 _UPPER[65:91] = True
@@ -62,11 +60,9 @@ _UNITS = _unit_hashes()
 
 def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word: its hash, the hash with placeholders, and whether it is a slot."""
-    data, starts, ends = words.data, words.starts.copy(), words.ends.copy()
-    for _ in range(3):
-        starts += _PUNCTUATION[data[starts]] & (ends - starts > 1)
-        ends -= _PUNCTUATION[data[ends - 1]] & (ends - starts > 1)
-    value = span_hashes(_LOWER[data], starts, ends)
+    data = words.data
+    starts, ends = bare_spans(words)
+    value = span_hashes(lowered(data), starts, ends)
     kind = value.copy()
     number = _DIGIT[data[starts]]
     unit = _UNITS[np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)] == value

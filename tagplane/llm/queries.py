@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tagplane.llm import chat, decontamination, mixing, near_dups, quality_model, quality_rules, sharding, urls
+import corpus_pipeline
+from tagplane.llm import chat, decontamination, licenses, mixing, near_dups, quality_model, quality_rules, sharding, urls
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_weak_rules": quality_rules.op2_weak_rules,
     "op3_bottom_k": near_dups.op3_bottom_k,
     "op4_fingerprinted_chat": chat.op4_fingerprinted_chat,
     "op5_link_trust": urls.op5_link_trust,
+    "op6_patience": licenses.op6_patience,
     "op7_factorisation": quality_model.op7_factorisation,
     "op8_template_windows": decontamination.op8_template_windows,
     "op9_raked_mixture": mixing.op9_raked_mixture,

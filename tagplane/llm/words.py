@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -116,6 +118,19 @@ def find_words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool) -
     return Words(first, len(offsets) - 1, data, offsets, starts, ends, doc, span_hashes(data, starts, ends))
 
 
+def bare_spans(words: Words, times: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends without its outer ASCII punctuation (that many bytes a side at most)."""
+    data, starts, ends = words.data, words.starts.copy(), words.ends.copy()
+    for _ in range(times):
+        starts += _PUNCTUATION[data[starts]] & (ends - starts > 1)
+        ends -= _PUNCTUATION[data[ends - 1]] & (ends - starts > 1)
+    return starts, ends
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def word_slices(column: pa.Array, lower: bool) -> Iterator[Words]:
     """The words of a batch, a slice of rows at a time."""
     data, offsets = text_buffers(column)
