@@ -1,14 +1,499 @@
-"""Every query of the paired-tag engine by name, with its DuckDB oracle where SQL expresses it."""
+"""Every query of the paired-tag engine by name, with its DuckDB oracle.
+
+Where a query is arithmetic in Spark, its oracle is a plain overlap join with a distinct, so that the two
+do not share their reasoning.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagplane.functions import alignment
+from tagplane.functions.intervals import Grid, make_windows, overlap_join, reduce_intervals, resize_center
+from tagplane.functions.tags import extended
+from tagplane.operators import clusters, counting, heatmap, linkers, pairing, qc, stats
+from tagplane.operators.interactions import InteractionSet
+from tagplane.plans import fixtures as fx
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+FILES = fx.FILES
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+# --- window pairs -------------------------------------------------------------------------------
+
+_COUNTS = ", ".join(f"count(*) filter (file = '{f}') as \"{f}\"" for f in FILES)
+
+
+def _windows_cte(grid: Grid) -> str:
+    s, left, right = grid.step, grid.left, grid.right
+    return f"""lengths as ({fx.LENGTHS}),
+npt as (select chr, length, cast({grid.at_start} + (length - 1) // {s} + (case when {s} - (length - 1) % {s} <= {left} then 1 else 0 end) as bigint) as n from lengths),
+offs as (select chr, length, n, cast(coalesce(sum(n) over (order by chr rows between unbounded preceding and 1 preceding), 0) as bigint) as before from npt),
+win as (select chr, length, before + k as id, {grid.first} + (k - 1) * {s} as c from offs, unnest(generate_series(1, n)) as u(k))"""
+
+
+def _window_oracle(grid: Grid, ext: int, least: int, restrict: tuple[str, ...] | None = None) -> str:
+    where = "" if restrict is None else "where " + " and ".join(f"{c} in ({', '.join(repr(x) for x in restrict)})" for c in ("anchor_chr", "target_chr"))
+    return f"""with pets as ({fx.PETS_SQL}), {_windows_cte(grid)},
+p as (select row_number() over () as id, *, case when anchor_pos > 0 then anchor_pos - {ext} + 1 else -anchor_pos end as s1,
+  case when target_pos > 0 then target_pos - {ext} + 1 else -target_pos end as s2 from pets {where}),
+a as (select p.id, win.id as k from p join win on chr = anchor_chr and s1 <= c + {grid.right} and s1 + {ext} - 1 >= c - {grid.left}),
+t as (select p.id, win.id as k from p join win on chr = target_chr and s2 <= c + {grid.right} and s2 + {ext} - 1 >= c - {grid.left}),
+cells as (select distinct p.id, file, greatest(a.k, t.k) as anchor_id, least(a.k, t.k) as target_id from p join a on a.id = p.id join t on t.id = p.id)
+select anchor_id, target_id, {_COUNTS} from cells group by 1, 2 having count(*) >= {least}"""
+
+
+def _window_query(name: str, grid: Grid, ext: int, least: int, restrict: tuple[str, ...] | None = None) -> None:
+    query(name, _window_oracle(grid, ext, least, restrict))(
+        lambda spark, sf: counting.count_windows(fx.pets(spark, sf), fx.lengths(spark), FILES, grid, ext, least, restrict)
+    )
+
+
+_window_query("count_bins", Grid(5000), 1, 20)
+_window_query("count_windows_sliding", Grid(2000, 1000), 1, 5)
+_window_query("count_windows_ext", Grid(1500, 1100, 400), 700, 10)
+_window_query("count_windows_shift", Grid(5000, 5000, 4999), 1, 20)
+_window_query("count_windows_point", Grid(5000), 0, 20)
+_window_query("count_windows_gapped", Grid(7, 300, 100), 40, 1)
+_window_query("count_windows_restrict", Grid(5000), 1, 20, ("chrA", "chrC"))
+
+
+@query("make_windows", f"with {_windows_cte(Grid(3000, 2000, 500))} select id as window_id, chr, cast(greatest(1, c - 500) as int) as start, cast(least(length, c + 2499) as int) as \"end\" from win")
+def make_windows_query(spark: SparkSession, sf: str) -> DataFrame:
+    return make_windows(fx.lengths(spark), Grid(3000, 2000, 500))
+
+
+@query("library_totals", f"select file, count(*) as totals from ({fx.PETS_SQL}) where anchor_chr in ('chrA', 'chrB') and target_chr in ('chrA', 'chrB') group by 1")
+def library_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return counting.library_totals(fx.pets(spark, sf), ("chrA", "chrB"))
+
+
+# --- regions ------------------------------------------------------------------------------------
+
+
+def _tag_cte(ext: int) -> str:
+    return f"""pets as ({fx.PETS_SQL}), r as ({fx.REGIONS_SQL}),
+p as (select row_number() over () as id, *, greatest(1, case when anchor_pos > 0 then anchor_pos - {ext} + 1 else -anchor_pos end) as s1,
+  (case when anchor_pos > 0 then anchor_pos else -anchor_pos + {ext} - 1 end) as e1,
+  greatest(1, case when target_pos > 0 then target_pos - {ext} + 1 else -target_pos end) as s2,
+  (case when target_pos > 0 then target_pos else -target_pos + {ext} - 1 end) as e2 from pets)"""
+
+
+def _region_oracle(ext: int, least: int) -> str:
+    return f"""with {_tag_cte(ext)},
+hit as (select distinct p.id, file, greatest(ra.region_id, rt.region_id) as anchor_id, least(ra.region_id, rt.region_id) as target_id
+  from p join r ra on ra.chr = anchor_chr and s1 <= ra."end" and ra.start <= e1 join r rt on rt.chr = target_chr and s2 <= rt."end" and rt.start <= e2)
+select anchor_id, target_id, {_COUNTS} from hit group by 1, 2 having count(*) >= {least}"""
+
+
+@query("count_regions", _region_oracle(1, 5))
+def count_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return counting.count_regions(fx.pets(spark, sf), fx.regions(spark, sf), FILES, 1, 5)
+
+
+@query("count_regions_ext", _region_oracle(200, 20))
+def count_regions_ext(spark: SparkSession, sf: str) -> DataFrame:
+    return counting.count_regions(fx.pets(spark, sf), fx.regions(spark, sf), FILES, 200, 20)
+
+
+_MARGIN_ORACLE = f"""with {_tag_cte(100)},
+q as (select * from p where anchor_chr in (select chr from r) and target_chr in (select chr from r)),
+hit as (select id, file, region_id from q join r on chr = anchor_chr and s1 <= "end" and start <= e1
+  union select id, file, region_id from q join r on chr = target_chr and s2 <= "end" and start <= e2)
+select r.region_id, {", ".join(f"count(hit.id) filter (file = '{f}') as " + chr(34) + f + chr(34) for f in FILES)} from r left join hit on hit.region_id = r.region_id group by 1"""
+
+
+@query("count_margins", _MARGIN_ORACLE)
+def count_margins(spark: SparkSession, sf: str) -> DataFrame:
+    return counting.count_margins(fx.pets(spark, sf), fx.regions(spark, sf), FILES, 100)
+
+
+@query("overlap_join", f"with {_tag_cte(50)} select file, region_id, count(*) as hits from p join r on chr = anchor_chr and s1 <= \"end\" and start <= e1 group by 1, 2")
+def overlap_join_query(spark: SparkSession, sf: str) -> DataFrame:
+    lo, hi = extended(F.col("anchor_pos"), 50)
+    tags = fx.pets(spark, sf).withColumn("s", lo).withColumn("e", hi)
+    hits = overlap_join(tags, fx.regions(spark, sf), "anchor_chr", "s", "e", "r_")
+    return hits.groupBy("file", F.col("r_id").alias("region_id")).agg(F.count("*").alias("hits"))
+
+
+@query(
+    "reduce_regions",
+    f"""with r as ({fx.REGIONS_SQL}), o as (select *, max("end") over (partition by chr order by start, "end", region_id rows between unbounded preceding and 1 preceding) as m from r),
+g as (select *, sum(case when m is null or start > m + 1 then 1 else 0 end) over (partition by chr order by start, "end", region_id) as g from o)
+select chr, min(start) as start, max("end") as "end" from g group by chr, g""",
+)
+def reduce_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return reduce_intervals(fx.regions(spark, sf))
+
+
+@query("resize_regions", f'select region_id, chr, cast(start + floor(("end" - start + 1 - 1000) / 2.0) as int) as start, cast(start + floor(("end" - start + 1 - 1000) / 2.0) + 999 as int) as "end" from ({fx.REGIONS_SQL})')
+def resize_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return resize_center(fx.regions(spark, sf), 1000).select("region_id", "chr", "start", "end")
+
+
+# --- quality control ----------------------------------------------------------------------------
+
+_FLAGS = f"""select *, (case when anchor_pos > 0 then 0 else 1 end) + (case when target_pos > 0 then 0 else 2 end) as flag, abs(anchor_pos) - abs(target_pos) as gap from ({fx.PETS_SQL})"""
+
+
+@query("diagnose_intra", f"select file, flag, gap from ({_FLAGS}) where anchor_chr = target_chr")
+def diagnose_intra(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.diagnose_intra(fx.pets(spark, sf))
+
+
+@query("diagnose_inter", f"select cast(k as int) as flag, count(anchor_pos) as count from generate_series(0, 3) as s(k) left join (select * from ({_FLAGS}) where anchor_chr <> target_chr) on flag = k group by 1")
+def diagnose_inter(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.diagnose_inter(fx.pets(spark, sf))
+
+
+@query("gap_histogram", f"select flag, cast(floor(log2(gap) + 1e-9) as int) as log2_gap, count(*) as count from ({_FLAGS}) where anchor_chr = target_chr and gap > 0 group by 1, 2")
+def gap_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.gap_histogram(fx.pets(spark, sf))
+
+
+@query("strip_outward_kept", f"select file, anchor_chr, target_chr, anchor_pos, target_pos from ({_FLAGS}) where not (anchor_chr = target_chr and flag = 2 and gap < 10000)")
+def strip_outward_kept(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.strip_outward(fx.pets(spark, sf))
+
+
+@query("strip_outward_discarded", f"select anchor_chr as chr, -target_pos as start, anchor_pos as \"end\" from ({_FLAGS}) where anchor_chr = target_chr and flag = 2 and gap < 10000")
+def strip_outward_discarded(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.stripped(fx.pets(spark, sf))
+
+
+def _cross_oracle(own: bool) -> str:
+    return f"""select l.chr, coalesce(n, 0) as count from ({fx.LENGTHS}) l left join (
+  select case when anchor_chr = 'chrM' then target_chr else anchor_chr end as chr, count(*) as n from ({fx.PETS_SQL})
+  where (anchor_chr = 'chrM' or target_chr = 'chrM') and ({own} or anchor_chr <> target_chr) group by 1) c on c.chr = l.chr"""
+
+
+@query("cross_chrom_counts", _cross_oracle(False))
+def cross_chrom_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.cross_counts(fx.pets(spark, sf), fx.lengths(spark))
+
+
+@query("cross_chrom_counts_self", _cross_oracle(True))
+def cross_chrom_counts_self(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.cross_counts(fx.pets(spark, sf), fx.lengths(spark), include_self=True)
+
+
+@query("merge_libraries", f"select 'libF_hom' as file, anchor_chr, target_chr, anchor_pos, target_pos from ({fx.PETS_SQL}) where file in ('libF_AA', 'libF_BB')")
+def merge_libraries(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.merge_libraries(fx.pets(spark, sf), ("libF_AA", "libF_BB"), "libF_hom")
+
+
+@query("catalog", f"select file, anchor_chr, target_chr, count(*) as n_pets from ({fx.PETS_SQL}) group by 1, 2, 3")
+def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.catalog(fx.pets(spark, sf))
+
+
+@query(
+    "genome_check",
+    f"with l as (select f.file, l.chr, l.length from (select distinct file from ({fx.PETS_SQL})) f cross join ({fx.LENGTHS}) l) "
+    "select chr, length, count(distinct file) as n_files from l group by 1, 2",
+)
+def genome_check(spark: SparkSession, sf: str) -> DataFrame:
+    files = fx.pets(spark, sf).select("file").distinct()
+    each = files.groupBy().agg(F.collect_set("file").alias("files")).select(F.explode("files").alias("file"))  # one per library
+    lengths = fx.lengths(spark).withColumn("files", F.array(*[F.lit(f) for f in FILES])).select(F.explode("files").alias("file"), "chr", "length")
+    return lengths.join(each, "file", "left_semi").groupBy("chr", "length").agg(F.countDistinct("file").alias("n_files"))
+
+
+# --- interaction sets ---------------------------------------------------------------------------
+
+
+def _set(spark: SparkSession, sf: str) -> InteractionSet:
+    pets, regions = fx.pets(spark, sf), fx.regions(spark, sf)
+    return InteractionSet.make(counting.count_regions(pets, regions, FILES, 1, 5), regions, FILES, counting.library_totals(pets))
+
+
+_RC = f"rc as ({_region_oracle(1, 5)})"
+_ROLLED = ", ".join(f"cast({' + '.join(cols)} as bigint) as \"{name}\"" for name, cols in (("libFhom", ('"libF_AA"', '"libF_BB"')), ("libFhet", ('"libF_AB"',)), ("libOhom", ('"libO_AA"', '"libO_BB"')), ("libOhet", ('"libO_AB"',))))
+
+
+@query("compress_matrix", f"with {_RC} select anchor_id, target_id, {_ROLLED} from rc")
+def compress_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).compress().counts
+
+
+@query(
+    "compress_totals",
+    f"""with t as (select regexp_replace(file, '_(AA|AB|BB|other)([.][^.]+)?$', '') as libname, contains(file, 'AB') as hetero from ({fx.PETS_SQL})),
+n as (select libname, count(*) as totals from t group by 1)
+select libname || case when hetero then 'het' else 'hom' end as file, totals, hetero, libname from (select distinct libname, hetero from t) join n using (libname)""",
+)
+def compress_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).compress().info
+
+
+_DISTANCE = f"""{_RC}, regs as ({fx.REGIONS_SQL}), d as (select rc.*, case when a.chr <> t.chr then null else greatest(a.start, t.start) - least(a."end", t."end") - 1 end as distance
+ from rc join regs a on a.region_id = anchor_id join regs t on t.region_id = target_id)"""
+
+
+@query("pair_distance", f"with {_DISTANCE} select * from d")
+def pair_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).distances()
+
+
+@query("distance_filter", f"with {_DISTANCE} select * from d where distance > 1 or distance is null")
+def distance_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).distances().where("distance > 1 or distance is null")
+
+
+@query("interchrom_filter", f"with {_DISTANCE} select * from d where distance is null")
+def interchrom_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).distances().where("distance is null")
+
+
+@query("subset", f'with {_RC} select anchor_id, target_id, "libF_AA", "libO_AB" from rc where "libF_AA" + "libO_AB" >= 2')
+def subset(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).subset(F.col("libF_AA") + F.col("libO_AB") >= 2, ("libF_AA", "libO_AB")).counts
+
+
+@query("anchors", f'with {_RC}, regs as ({fx.REGIONS_SQL}) select anchor_id, target_id, chr, start, "end" from rc join regs on region_id = anchor_id')
+def anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).anchors()
+
+
+@query("targets", f'with {_RC}, regs as ({fx.REGIONS_SQL}) select anchor_id, target_id, chr, start, "end" from rc join regs on region_id = target_id')
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).targets()
+
+
+@query("default_totals", "with " + _RC + " " + " union all ".join(f"select '{f}' as file, cast(coalesce(sum(\"{f}\"), 0) as bigint) as totals from rc" for f in FILES))
+def default_totals(spark: SparkSession, sf: str) -> DataFrame:
+    data = _set(spark, sf)
+    return InteractionSet.make(data.counts, data.regions, FILES).info
+
+
+@query("validity", "select 'order' as problem, cast(0 as bigint) as n where false")
+def validity(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).problems()
+
+
+# --- ingest -------------------------------------------------------------------------------------
+
+
+def _pairing_cte(dedup: bool, minq: int | None) -> str:
+    bad = "flag & 4 <> 0" + ("" if minq is None else f" or mapq < {minq}")
+    return f"""al as (select al.*, header_ord, ({bad}) as bad, flag & 1024 <> 0 as marked, case when flag & 16 <> 0 then pos else pos + qwidth - 1 end as e
+  from ({fx.ALIGNMENTS_SQL}) al join ({fx.LENGTHS}) h on h.chr = rname),
+sized as (select *, count(*) over (partition by qname) as n, row_number() over (partition by qname order by ord) as k from al),
+pr as (select o.rname as c1, t.rname as c2, o.header_ord as h1, t.header_ord as h2, o.e as e1, t.e as e2, case when o.flag & 16 <> 0 then -o.e else o.e end as s1,
+  case when t.flag & 16 <> 0 then -t.e else t.e end as s2, o.bad or t.bad as bad, o.marked or t.marked as marked
+  from sized o join sized t on o.qname = t.qname and o.k = 1 and t.k = 2 and o.n = 2),
+v as (select *, h1 > h2 or (h1 = h2 and e1 > e2) as f from pr where not bad {"and not marked" if dedup else ""})"""
+
+
+def _pairs_oracle(dedup: bool, minq: int | None) -> str:
+    return f"""with {_pairing_cte(dedup, minq)} select 'lib' as file, case when f then c1 else c2 end as anchor_chr, case when f then c2 else c1 end as target_chr,
+  cast(case when f then s1 else s2 end as int) as anchor_pos, cast(case when f then s2 else s1 end as int) as target_pos from v"""
+
+
+@query("pair_alignments", _pairs_oracle(True, None))
+def pair_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    return pairing.pair_alignments(fx.alignments(spark, sf), fx.lengths(spark), "lib")
+
+
+@query("pair_dedup_minq", _pairs_oracle(False, 10))
+def pair_dedup_minq(spark: SparkSession, sf: str) -> DataFrame:
+    return pairing.pair_alignments(fx.alignments(spark, sf), fx.lengths(spark), "lib", dedup=False, min_mapq=10)
+
+
+@query(
+    "pair_diagnostics",
+    f"""with {_pairing_cte(True, 10)} select (select count(*) from sized where n = 1) as singles, (select count(*) from sized where n > 2 and k = 1) as multi,
+  (select count(*) from pr) as total, (select count(*) from pr where marked) as marked, (select count(*) from pr where bad) as filtered, (select count(*) from v) as valid""",
+)
+def pair_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return pairing.pair_diagnostics(fx.alignments(spark, sf), fx.lengths(spark), min_mapq=10)
+
+
+@query("unknown_chromosomes", f"select distinct rname as chr from ({fx.ALIGNMENTS_SQL}) where rname not in ('chrA', 'chrB', 'chrC')")
+def unknown_chromosomes(spark: SparkSession, sf: str) -> DataFrame:
+    return pairing.unknown_chromosomes(fx.alignments(spark, sf), fx.lengths(spark).where("chr <= 'chrC'"))
+
+
+# --- linkers ------------------------------------------------------------------------------------
+
+_KNOWN = "(values " + ", ".join(f"('{s}', {a}, {b})" for s, a, b in fx.SEGMENTS) + ") as k(segment, score_a, score_b)"
+
+
+@query("linker_scores", f"select segment, cast(score_a as int) as score_a, cast(score_b as int) as score_b from {_KNOWN} where segment in (select substring(seq1, 18) from ({fx.READS_SQL}) union select substring(seq2, 18) from ({fx.READS_SQL}))")
+def linker_scores(spark: SparkSession, sf: str) -> DataFrame:
+    reads = fx.reads(spark, sf).select(F.explode(F.array(F.substring("seq1", 18, 16), F.substring("seq2", 18, 16))).alias("segment"))
+    return alignment.segment_scores(reads, {"a": fx.LINKER_A, "b": fx.LINKER_B})
+
+
+_CLASS = "case when score_a > score_b and score_a >= 10 then 'A' when score_b > score_a and score_b >= 10 then 'B' end"
+_CLASSED = f"""with reads as ({fx.READS_SQL}), k as (select segment, {_CLASS} as kind from {_KNOWN}),
+c as (select reads.*, k1.kind || k2.kind as kinds from reads join k k1 on k1.segment = substring(seq1, 18) join k k2 on k2.segment = substring(seq2, 18)),
+d as (select *, case when kinds is null then 'other' when kinds = 'BA' then 'AB' else kinds end as linker from c)"""
+
+
+@query("linker_classify", f"{_CLASSED} select linker, count(*) as pairs from d group by 1")
+def linker_classify(spark: SparkSession, sf: str) -> DataFrame:
+    return linkers.split_linkers(fx.reads(spark, sf), fx.LINKER_A, fx.LINKER_B).groupBy("linker").agg(F.count("*").alias("pairs"))
+
+
+@query(
+    "linker_trim",
+    f"""{_CLASSED} select pair_id, linker, '@x.' || (pair_id + 1) as header1, substring(seq1, 1, 17) as seq1, plus1, substring(qual1, 1, 17) as qual1,
+  '@x.' || (pair_id + 1) as header2, substring(seq2, 1, 17) as seq2, plus2, substring(qual2, 1, 17) as qual2 from d""",
+)
+def linker_trim(spark: SparkSession, sf: str) -> DataFrame:
+    return linkers.split_linkers(fx.reads(spark, sf), fx.LINKER_A, fx.LINKER_B, read_prefix="x")
+
+
+# --- heat-map and clusters ----------------------------------------------------------------------
+
+
+def _heat_oracle(anchor: heatmap.Span, target: heatmap.Span, width: int, cap: int, mirror: bool) -> str:
+    (a0, a1), (t0, t1) = anchor.limits, target.limits
+    parts = [f"select abs(anchor_pos) as x, abs(target_pos) as y, false as mirrored from pets where anchor_chr = '{anchor.chr}' and target_chr = '{target.chr}'"]
+    if anchor.chr != target.chr:
+        parts.append(f"select abs(target_pos), abs(anchor_pos), false from pets where anchor_chr = '{target.chr}' and target_chr = '{anchor.chr}'")
+    elif mirror:
+        parts.append(f"select abs(target_pos), abs(anchor_pos), true from pets where anchor_chr = '{anchor.chr}' and target_chr = '{anchor.chr}'")
+    return f"""with pets as ({fx.PETS_SQL}), pts as ({" union all ".join(parts)})
+select mirrored, cast(x // {width} as bigint) as anchor_bin, cast(y // {width} as bigint) as target_bin, count(*) as count, least(1.0, count(*) / cast({cap} as double)) as alpha
+from pts where x between {a0} and {a1} and y between {t0} and {t1} group by 1, 2, 3 having not (mirrored and anchor_bin = target_bin)"""
+
+
+_ONE, _TWO = heatmap.Span("chrC", 2000, 25000), heatmap.Span("chrA", 1, 18000)
+
+
+@query("heatmap_bins", _heat_oracle(_TWO, _ONE, 1000, 50, True))
+def heatmap_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return heatmap.heatmap_bins(fx.pets(spark, sf), _TWO, _ONE)
+
+
+@query("heatmap_mirrored", _heat_oracle(_ONE, _ONE, 500, 20, True))
+def heatmap_mirrored(spark: SparkSession, sf: str) -> DataFrame:
+    return heatmap.heatmap_bins(fx.pets(spark, sf), _ONE, width=500, cap=20)
+
+
+_BOXES = f"""select cast(row_number() over (order by min_id) as bigint) as box_id, anchor_chr, target_chr, cast(x * 900 as int) as start_a, cast(x * 900 + 100 as int) as end_a,
+  cast(y * 900 as int) as start_t, cast(y * 900 + 100 as int) as end_t from (
+  select anchor_chr, target_chr, floor(abs(anchor_pos) / 900.0) as x, floor(abs(target_pos) / 900.0) as y, concat(anchor_chr, target_chr, cast(floor(abs(anchor_pos) / 900.0) as int), '.', cast(floor(abs(target_pos) / 900.0) as int)) as min_id
+  from ({{pets}}) where (abs(anchor_pos) * 7 + abs(target_pos)) % 11 = 0 group by 1, 2, 3, 4, 5) b"""
+
+
+@query("cluster_boxes")
+def cluster_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = spark.sql(_BOXES.format(pets=fx.PETS), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    return clusters.cluster_boxes(boxes, 801)
+
+
+@query(
+    "cluster_links",
+    f"""with b as ({_BOXES.format(pets=fx.PETS_SQL)}) select a.box_id as a, o.box_id as b from b a join b o on a.anchor_chr = o.anchor_chr and a.target_chr = o.target_chr and a.box_id < o.box_id
+  and a.start_a < o.end_a + 801 and o.start_a < a.end_a + 801 and a.start_t < o.end_t + 801 and o.start_t < a.end_t + 801""",
+)
+def cluster_links(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = spark.sql(_BOXES.format(pets=fx.PETS), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    return clusters.box_links(boxes, 801)
+
+
+# --- statistics ---------------------------------------------------------------------------------
+
+#: Totals stand in for library sizes, fixed so that both engines use the same numbers.
+TOTALS = {f: 10_000 + 500 * k for k, f in enumerate(FILES)}
+_MEAN = sum(TOTALS.values()) / len(TOTALS)
+
+
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    return counting.count_windows(fx.pets(spark, sf), fx.lengths(spark), FILES, Grid(5000), 1, 20)
+
+
+_CB = f"cb as ({_window_oracle(Grid(5000), 1, 20)})"
+_SCALED = "(" + " + ".join(f'"{f}" / {t}.0 * {_MEAN}' for f, t in TOTALS.items()) + f") / {len(FILES)}"
+
+
+@query("log_cpm", f"with {_CB} select anchor_id, target_id, " + ", ".join(f'round(log2(("{f}" + {2.0 * t / _MEAN}) / {t + 4.0 * t / _MEAN} * 1e6), 6) as "{f}"' for f, t in TOTALS.items()) + " from cb")
+def log_cpm(spark: SparkSession, sf: str) -> DataFrame:
+    out = stats.log_cpm(_counts(spark, sf), TOTALS)
+    return out.select("anchor_id", "target_id", *[F.round(f, 6).alias(f) for f in FILES])
+
+
+@query("abundance_filter", f"with {_CB} select anchor_id, target_id, round(log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6), 6) as ave_log_cpm from cb where log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6) > 12.5")
+def abundance_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.average_log_cpm(_counts(spark, sf), TOTALS).where("ave_log_cpm > 12.5").select("anchor_id", "target_id", F.round("ave_log_cpm", 6).alias("ave_log_cpm"))
+
+
+@query("scaled_threshold", f"with {_CB} select round(median(log2(({_SCALED} / 4.0 + 2) / {_MEAN + 4} * 1e6)) + log2(5), 6) as threshold from cb")
+def scaled_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.scaled_threshold(_counts(spark, sf), TOTALS, 4.0).select(F.round("threshold", 6).alias("threshold"))
+
+
+@query("ma_values", f'with {_CB} select anchor_id, target_id, round(log2("libF_AA" + 0.5) - log2("libF_AB" + 0.5), 6) as m, round((log2("libF_AA" + 0.5) + log2("libF_AB" + 0.5)) / 2, 6) as a from cb')
+def ma_values(spark: SparkSession, sf: str) -> DataFrame:
+    out = stats.ma_values(_counts(spark, sf), "libF_AA", "libF_AB")
+    return out.select("anchor_id", "target_id", F.round("m", 6).alias("m"), F.round("a", 6).alias("a"))
+
+
+_HWE = f"""{_CB}, h as (select anchor_id, target_id, cast("libO_AA" as double) as aa, cast("libO_AB" as double) as ab, cast("libO_BB" as double) as bb from cb where "libO_AA" + "libO_AB" > 0 and "libO_AB" + "libO_BB" > 0),
+f as (select *, aa + ab + bb as n, (2 * aa + ab) / (aa + ab + bb) / 2 as p from h),
+t as (select *, power(aa - n*p*p, 2) / (n*p*p) + power(ab - n*2*p*(1-p), 2) / (n*2*p*(1-p)) + power(bb - n*(1-p)*(1-p), 2) / (n*(1-p)*(1-p)) as x from f)"""
+
+
+def _hwe(spark: SparkSession, sf: str) -> DataFrame:
+    stat, p = stats.hwe_chisq(*[F.col(f).cast("double") for f in ("libO_AA", "libO_AB", "libO_BB")])
+    rows = _counts(spark, sf).where("libO_AA + libO_AB > 0 and libO_AB + libO_BB > 0")
+    return rows.select("anchor_id", "target_id", F.round(stat, 6).alias("chisq"), F.round(p, 8).alias("pvalue"))
+
+
+@query("hwe_chisq", f"with {_HWE} select anchor_id, target_id, round(x, 6) as chisq, round(exp(-x / 2), 8) as pvalue from t")
+def hwe_chisq(spark: SparkSession, sf: str) -> DataFrame:
+    return _hwe(spark, sf)
+
+
+@query(
+    "bh_adjust",
+    f"""with {_HWE}, q as (select anchor_id, target_id, round(exp(-x / 2), 8) as pvalue from t), r as (select *, count(*) over () as n, count(*) over (order by pvalue) as rk from q)
+select anchor_id, target_id, pvalue, round(least(1.0, min(pvalue * n / rk) over (order by rk desc)), 6) as fdr from r""",
+)
+def bh_adjust(spark: SparkSession, sf: str) -> DataFrame:
+    out = stats.bh_adjust(_hwe(spark, sf).select("anchor_id", "target_id", "pvalue"))
+    return out.select("anchor_id", "target_id", "pvalue", F.round("fdr", 6).alias("fdr"))
+
+
+@query("top_pairs", f"with {_HWE}, q as (select anchor_id, target_id, round(exp(-x / 2), 8) as pvalue from t) select * from q order by pvalue, anchor_id, target_id limit 20")
+def top_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _hwe(spark, sf).select("anchor_id", "target_id", "pvalue").orderBy("pvalue", "anchor_id", "target_id").limit(20)
+
+
+_TMM_PARTS = " union all ".join(
+    f"""select '{f}' as file, log2(("{f}" / {float(t)}) / ("libF_AA" / {float(TOTALS["libF_AA"])})) as m, log2(("{f}" / {float(t)}) * ("libF_AA" / {float(TOTALS["libF_AA"])})) / 2 as a from cb where "{f}" > 0 and "libF_AA" > 0"""
+    for f, t in TOTALS.items()
+)
+
+
+@query(
+    "tmm_factors",
+    f"""with {_CB}, l as ({_TMM_PARTS}), q as (select file, quantile_cont(m, 0.3) - 1e-9 as m0, quantile_cont(m, 0.7) + 1e-9 as m1, quantile_cont(a, 0.05) - 1e-9 as a0, quantile_cont(a, 0.95) + 1e-9 as a1 from l group by 1),
+g as (select file, avg(m) as lf from l join q using (file) where m between m0 and m1 and a between a0 and a1 group by 1)
+select file, round(power(2, lf - (select avg(lf) from g)), 6) as factor from g""",
+)
+def tmm_factors(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.tmm_factors(_counts(spark, sf), TOTALS, "libF_AA").select("file", F.round("factor", 6).alias("factor"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Window-pair counts of the smallest tables, with a filter that leaves rows."""
+    return counting.count_windows(fx.pets(spark, sf_dir), fx.lengths(spark), FILES, Grid(5000), 1, 5)
