@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tagplane.llm import chat, decontamination, licenses, mixing, near_dups, quality_model, quality_rules, sharding, urls
+from tagplane.llm import chat, decontamination, language_model, licenses, mixing, near_dups, quality_model, quality_rules, sharding, urls
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_elias_fano": language_model.op1_elias_fano,
     "op2_weak_rules": quality_rules.op2_weak_rules,
     "op3_bottom_k": near_dups.op3_bottom_k,
     "op4_fingerprinted_chat": chat.op4_fingerprinted_chat,
