@@ -33,6 +33,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows_per_task: int = 250_000) -> DataFrame:
+    """A checkpointed table dealt into one task per so many rows, so that a loop over a table that is
+    small does not make hundreds of files a round, and a large one keeps its parallelism."""
+    kept = checkpoint(df)
+    return kept.coalesce(tasks(kept.count(), rows_per_task))
+
+
+def tasks(n_rows: int, rows_per_task: int = 250_000) -> int:
+    return max(1, -(-n_rows // rows_per_task))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagplane.llm.common import checkpoint, lower_ascii, table
+from tagplane.llm.common import checkpoint, lower_ascii, small, table, tasks
 
 
 @dataclass(frozen=True)
@@ -85,17 +85,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, score: PageRank that restarts at seeds(host, mass). Mass at hosts without links restarts too."""
-    total = seeds.agg(F.sum("mass")).first()[0] or 0.0
-    restart = seeds.groupBy("host").agg((F.sum("mass") / F.lit(total or 1.0)).alias("mass"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    moves = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("part")))
-    rank = restart.select("host", F.col("mass").alias("score"))
+    """kind, host, score: PageRank of each kind over its edges(kind, src, dst, weight), restarting at
+    its seeds(kind, host, mass). Mass that reaches a host without links leaves the graph.
+
+    The kinds share their rounds, so that trust and distrust take one loop.
+    """
+    total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
+    restart = small(seeds.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).join(total, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass")))
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
+    moves = small(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * damping).alias("part")))
+    n = tasks(edges.count())
+    rank = restart.select("kind", "host", F.col("mass").alias("score"))
+    again = restart.select("kind", "host", (F.col("mass") * (1.0 - damping)).alias("score"))
     for _ in range(rounds):
-        sent = rank.join(moves, rank.host == moves.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
-        arrived = sent.agg(F.sum("score")).first()[0] or 0.0
-        back = restart.select("host", (F.col("mass") * F.lit(1.0 - arrived)).alias("score"))
-        rank = checkpoint(sent.unionByName(back).groupBy("host").agg(F.sum("score").alias("score")))
+        sent = rank.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part")).alias("score"))
+        rank = checkpoint(sent.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score")).coalesce(n))
     return rank
 
 
@@ -103,20 +107,21 @@ def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_lab
     """host, trust, distrust, verdict for every host of pages(url, html)."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(host.alias("host"), matched(host, path, rules, "verdict").alias("ruled"), F.col("html"))
-    edges = checkpoint(host_edges(parsed))
+    edges = small(host_edges(parsed))
     listed = F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in blocked_labels])) if blocked_labels else F.lit(False)
-    hosts = checkpoint(
+    hosts = small(
         parsed.where("host <> ''")
         .groupBy("host")
         .agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
         .withColumn("listed", listed)
     )
-    trusted = hosts.where("allowed > 0 and not listed").select("host", (F.col("allowed") / F.col("n")).alias("mass"))
-    bad = hosts.where("blocked > 0 or listed").select("host", F.when(F.col("listed"), 1.0).otherwise(F.col("blocked") / F.col("n")).alias("mass"))
-    trust = page_rank(edges, trusted).withColumnRenamed("score", "trust")
-    backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = page_rank(backwards, bad).withColumnRenamed("score", "distrust")
-    scored = hosts.join(trust, "host", "left").join(distrust, "host", "left").fillna(0.0, ["trust", "distrust"])
+    trusted = hosts.where("allowed > 0 and not listed").select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / F.col("n")).alias("mass"))
+    bad = hosts.where("blocked > 0 or listed").select(F.lit("distrust").alias("kind"), "host", F.when(F.col("listed"), 1.0).otherwise(F.col("blocked") / F.col("n")).alias("mass"))
+    forwards = edges.withColumn("kind", F.lit("trust"))
+    backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("kind"))
+    rank = page_rank(forwards.unionByName(backwards), trusted.unionByName(bad))
+    by_host = rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")])
+    scored = hosts.join(by_host, "host", "left").fillna(0.0, ["trust", "distrust"])
     over = F.col("listed") | (F.col("distrust") > F.col("trust") * ratio)
     return scored.select("host", "trust", "distrust", F.when(over, "block").otherwise("allow").alias("verdict"))
 
@@ -128,7 +133,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_labels: tup
     salts and pages pick one.
     """
     host, path = host_and_path(F.col("url"))
-    verdicts = checkpoint(host_verdicts(pages, rules, blocked_labels, ratio))
+    verdicts = small(host_verdicts(pages, rules, blocked_labels, ratio))
     spread = verdicts.withColumnRenamed("verdict", "judged").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = pages.select(
         "page_id",
