@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagplane.llm.common import checkpoint
+from tagplane.llm.common import checkpoint, small, tasks
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,15 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     rounds grow with the logarithm of a chain's length. No neighbourhood is gathered: a round is two
     joins and a minimum with partial sums.
     """
-    both = checkpoint(
-        links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
-    )
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    both = small(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    n = tasks(both.count())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")).coalesce(n))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         target = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        jumped = checkpoint(lower.join(target, "to").select("node", F.least("to", "far").alias("component"), "was"))
+        jumped = checkpoint(lower.join(target, "to").select("node", F.least("to", "far").alias("component"), "was").coalesce(n))
         changed = jumped.where("component <> was").limit(1).count()
         labels = jumped.select("node", "component")
         if not changed:

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagplane.llm.common import SPACE, checkpoint, table
+from tagplane.llm.common import SPACE, checkpoint, small, table, tasks
 
 NONE = "(none)"
 MARGINS = ("source", "lang", "topic")
@@ -39,8 +39,8 @@ class Targets:
     flatten: float = 0.7
     #: Share of all tokens that the mixture should have.
     budget: float = 0.6
-    max_rounds: int = 12
-    tolerance: float = 1e-4
+    max_rounds: int = 8
+    tolerance: float = 1e-3
 
 
 PRODUCTION = Targets(
@@ -53,9 +53,9 @@ def topic_of(text: Column) -> Column:
     """A coarse topic from the form of the text."""
     body = F.coalesce(text, F.lit(""))
     n = F.length(body)
-    marks = n - F.length(F.translate(body, "#*$%&<>", ""))
-    bars = n - F.length(F.translate(body, "|", ""))
-    digits = n - F.length(F.translate(body, "0123456789", ""))
+    bars = n - F.length(F.replace(body, F.lit("|"), F.lit("")))
+    marks = F.regexp_count(body, F.lit("[#*$%&<>]"))
+    digits = F.regexp_count(body, F.lit("[0-9]"))
     return (
         F.when(n < 200, "short")
         .when(bars * 100 > n, "table")
@@ -77,6 +77,7 @@ def with_cell(docs: DataFrame) -> DataFrame:
             "_mix_source": name("source"),
             "_mix_lang": name("lang"),
             "_mix_topic": topic_of(F.col("text")),
+            "_mix_tokens": n_tokens(F.col("text")),
         }
     )
 
@@ -96,49 +97,44 @@ def _goal(cells: DataFrame, margin: str, targets: Targets) -> DataFrame:
 def rake(cells: DataFrame, targets: Targets) -> tuple[DataFrame, float, int]:
     """Cell shares that meet the marginals, the largest miss and the rounds taken.
 
-    The table has a row for each cell with tokens. Each step scales the cells of a category by
-    target over sum, with a partial sum before each shuffle; each round ends in a checkpoint.
+    The table has a row for each cell with tokens, with the target shares of its categories. Each step
+    scales the cells of a category by target over sum, with a partial sum before each shuffle; each
+    round ends in a checkpoint.
     """
-    goals = {}
-    for m in MARGINS:
-        goal = checkpoint(_goal(cells, m, targets))
-        total = goal.agg(F.sum("raw")).first()[0] or 1.0
-        goals[m] = goal.select(m, (F.col("raw") / F.lit(total)).alias("goal"))
+    n = tasks(cells.count())
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     now = cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total)))
+    for m in MARGINS:
+        goal = small(_goal(cells, m, targets))
+        whole = goal.agg(F.sum("raw")).first()[0] or 1.0
+        now = now.join(goal.select(m, (F.col("raw") / F.lit(whole)).alias(f"goal_{m}")), m)
+    now = checkpoint(now.coalesce(n))
     miss, rounds = 0.0, 0
     for rounds in range(1, targets.max_rounds + 1):
         for m in MARGINS:
-            scale = now.groupBy(m).agg(F.sum("share").alias("sum")).join(goals[m], m).select(m, (F.col("goal") / F.col("sum")).alias("scale"))
+            scale = now.groupBy(m).agg((F.any_value(f"goal_{m}") / F.sum("share")).alias("scale"))
             now = now.join(scale, m).withColumn("share", F.col("share") * F.col("scale")).drop("scale")
-        now = checkpoint(now)
-        misses = [
-            now.groupBy(m).agg(F.sum("share").alias("sum")).join(goals[m], m).agg(F.max(F.abs(F.col("sum") - F.col("goal")))).first()[0] or 0.0
-            for m in MARGINS[:-1]
-        ]
-        miss = max(misses)
+        now = checkpoint(now.coalesce(n))
+        # The last margin holds as it was scaled last.
+        misses = [now.groupBy(m).agg(F.abs(F.sum("share") - F.any_value(f"goal_{m}")).alias("miss")).select("miss") for m in MARGINS[:-1]]
+        miss = misses[0].union(misses[1]).agg(F.max("miss")).first()[0] or 0.0
         if miss <= targets.tolerance:
             break
-    return now, miss, rounds
+    return now.select(*MARGINS, "tokens", "share"), miss, rounds
 
 
-def cell_rates(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
+def cell_rates(counted: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
     """source, lang, topic, tokens, share, rate: rate is the calibrated probability, 1 at most.
 
     A cell that is too small for its share gives all it has.
     """
-    cells = checkpoint(
-        with_cell(docs)
-        .select(*[F.col(f"_mix_{m}").alias(m) for m in MARGINS], n_tokens(F.col("text")).alias("tokens"))
-        .groupBy(*MARGINS)
-        .agg(F.sum("tokens").alias("tokens"))
-    )
+    cells = small(counted)
     raked, _, _ = rake(cells, targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = F.col("share") * F.lit(float(total) * targets.budget)
     rates = raked.withColumn("rate", F.least(F.lit(1.0), wanted / F.col("tokens")))
     bare = cells.where("tokens = 0").select(*MARGINS, "tokens", F.lit(0.0).alias("share"), F.lit(float(targets.budget)).alias("rate"))
-    return checkpoint(rates.select(*MARGINS, "tokens", "share", "rate").unionByName(bare))
+    return small(rates.select(*MARGINS, "tokens", "share", "rate").unionByName(bare))
 
 
 def draw(key: Column, seed: str) -> Column:
@@ -146,21 +142,30 @@ def draw(key: Column, seed: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+#: Cells up to which the table of rates is sent to every task; it is counted first, and joined by a
+#: shuffle beyond.
+BROADCAST_CELLS = 20_000
+
+
+def with_rate(rows: DataFrame, targets: Targets, seed: str) -> DataFrame:
+    """Rows that have cell columns with `_mix_rate` and `_mix_kept`."""
+    cells = rows.groupBy(*[F.col(f"_mix_{m}").alias(m) for m in MARGINS]).agg(F.sum("_mix_tokens").alias("tokens"))
+    rates = cell_rates(cells, targets).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("rate").alias("_mix_rate"))
+    if rates.count() <= BROADCAST_CELLS:
+        rates = F.broadcast(rates)
+    return rows.join(rates, [f"_mix_{m}" for m in MARGINS]).withColumn("_mix_kept", draw(F.col("doc_id"), seed) < F.col("_mix_rate"))
+
+
 def sampled(docs: DataFrame, targets: Targets = PRODUCTION, seed: str = "mix-1") -> DataFrame:
     """Every row of docs with `_mix_rate` and `_mix_kept` beside the cell columns."""
-    rates = cell_rates(docs, targets).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("rate").alias("_mix_rate"))
-    marked = with_cell(docs).join(rates, [f"_mix_{m}" for m in MARGINS])
-    return marked.withColumn("_mix_kept", draw(F.col("doc_id"), seed) < F.col("_mix_rate"))
+    return with_rate(with_cell(docs), targets, seed)
 
 
 def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell, calibrated probability and draw of every document."""
-    return sampled(table(spark, sf_dir, "documents")).select(
-        "doc_id",
-        *[F.col(f"_mix_{m}").alias(m) for m in MARGINS],
-        n_tokens(F.col("text")).alias("n_tokens"),
-        F.col("_mix_rate").alias("rate"),
-        F.col("_mix_kept").alias("kept"),
+    """Cell, calibrated probability and draw of every document; texts are read once."""
+    narrow = checkpoint(with_cell(table(spark, sf_dir, "documents")).drop("text", "source", "lang", "n_chars"))
+    return with_rate(narrow, PRODUCTION, "mix-1").select(
+        "doc_id", *[F.col(f"_mix_{m}").alias(m) for m in MARGINS], F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_rate").alias("rate"), F.col("_mix_kept").alias("kept")
     )
 
 

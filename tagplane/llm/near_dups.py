@@ -10,8 +10,9 @@ verify what is left.
   listed under the rarest of its values only, as many as such a pair cannot all miss. Values that
   many different texts share are therefore hardly ever used.
 * Each class first meets the most typical member of its lists (the hub). Classes that this connects
-  need no more pairs among them; afterwards exactly those pairs of a list are compared that are still
-  in different components. Groups of near copies thus cost a pair per member, and no link between
+  need no more pairs among them. The members of a hub's group that are still in different components
+  are then compared exactly, in blocks of bounded size, and last the pairs of a list whose members
+  have different hubs. Groups of near copies thus cost a pair per member, and no link between
   components is lost.
 
 Defined cases: null or wordless texts have no shingles, are linked with nothing and stay; a text with
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagplane.llm.common import checkpoint, table, written
+from tagplane.llm.common import small, table, written
 from tagplane.llm.components import components
 from tagplane.llm.words import U64, Words, distinct_sorted, mix, shingles, word_slices
 
@@ -40,6 +41,8 @@ K = 48
 OVERLAP = 0.56
 #: Least estimate that is still verified (more than four standard deviations under 0.8).
 ESTIMATE = 0.55
+#: Members of a block that is compared in one task, and shared values that it looks at at a time.
+BLOCK, COLUMNS = 1024, 4096
 
 
 def sets_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +134,59 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(fits).where(estimate(F.col("s_a"), F.col("s_b"), k) >= ESTIMATE).select("a", "b")
 
 
+def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within each group of members(rep, group, part) that has more than one part.
+
+    A group is dealt into blocks of about ``BLOCK`` members; each pair of blocks is compared by full
+    sets in a task of its own, so no task holds a group however large it is. A pair of blocks reports
+    one link at most for two parts, which is all that components need.
+    """
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    open_members = members.join(sizes.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "group")
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = open_members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "part")
+    rows = rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("group", "i", "j", "rep", "part", "text")
+
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        rep, part = block.column("rep").to_numpy(), block.column("part").to_numpy()
+        values, sizes = [], []
+        for batch in block.select(["text"]).to_batches():
+            for words in word_slices(batch.column(0), lower=True):
+                v, at = sets_of(words, width)
+                values.append(v)
+                sizes.append(np.diff(at))
+        values, sizes = np.concatenate(values), np.concatenate(sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        distinct, column, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        # Rows outside the largest part against all rows; shared values a few thousand at a time.
+        names, counts = np.unique(part, return_counts=True)
+        probe = np.flatnonzero(part != names[np.argmax(counts)])
+        both = np.zeros((len(probe), len(sizes)), np.float32)
+        n_columns = int(column[-1]) + 1 if len(column) else 0
+        for lo in range(0, n_columns if len(probe) else 0, COLUMNS):
+            x, y = np.searchsorted(column, (lo, lo + COLUMNS))
+            has = np.zeros((len(sizes), min(COLUMNS, n_columns - lo)), np.float32)
+            has[owner[x:y], column[x:y] - lo] = 1
+            both += has[probe] @ has.T
+        union = sizes[probe][:, None] + sizes[None, :] - both
+        row, other = np.nonzero((both > 0) & (100 * both >= percent * union) & (part[probe][:, None] != part[None, :]))
+        found = {}
+        for r, c in zip(probe[row], other, strict=True):
+            found.setdefault(tuple(sorted((part[r], part[c]))), (min(rep[r], rep[c]), max(rep[r], rep[c])))
+        a, b = [x for x, _ in found.values()], [x for _, x in found.values()]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     sketched = written(sketches(docs, width, k), "sketches")
     keys = ["set_a", "set_b", "n_shingles"]
     classes = written(
@@ -144,26 +197,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     # First each class meets one hub: the most typical member of any of its lists.
     hubs = lists.groupBy("value").agg(F.max(F.struct("typical", -F.col("rep"))).alias("hub"))
-    best = lists.join(hubs, "value").where("hub.col2 <> -rep").groupBy("rep").agg(F.max("hub").alias("hub"))
+    best = small(lists.join(hubs, "value").where("hub.col2 <> -rep").groupBy("rep").agg(F.max("hub").alias("hub")))
     first = best.select(F.least("rep", -F.col("hub.col2")).alias("a"), F.greatest("rep", -F.col("hub.col2")).alias("b")).distinct()
-    first = checkpoint(_estimated(first, named, k))
+    first = small(_estimated(first, named, k))
     listed = lists.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(listed, "doc_id", "left_semi"), "texts"
     )
-    links = checkpoint(confirmed(first, texts, width, percent))
+    links = small(confirmed(first, texts, width, percent))
     joined = components(links)
 
-    # Then the pairs of a list that are still in different components.
-    owned = lists.select("value", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("value", "rep", F.coalesce("component", "rep").alias("part"))
-    owned = checkpoint(owned)
-    mixed = owned.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
+    # Then all pairs of a hub's group, in blocks, where the group is still in different components.
+    parted = lambda rows, at: rows.join(joined, F.col(at) == F.col("node"), "left").withColumn("part", F.coalesce("component", F.col(at))).drop("node", "component")
+    grouped = best.select("rep", (-F.col("hub.col2")).alias("group"))
+    members = small(parted(grouped.union(grouped.select("group", "group")).distinct(), "rep"))
+    links = small(links.union(block_links(members, texts, width, percent)))
+    joined = small(components(links))
+
+    # Last the pairs of a list from different groups and components.
+    owned = small(parted(lists.select("value", "rep").join(grouped, "rep"), "rep"))
+    mixed = owned.groupBy("value").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("p0 < p1 and g0 < g1").select("value")
     split = owned.join(mixed, "value", "left_semi")
-    one, two = split.select("value", F.col("rep").alias("a"), F.col("part").alias("p")), split.select("value", F.col("rep").alias("b"), F.col("part").alias("q"))
-    more = one.join(two, "value").where("p <> q and a < b").select("a", "b").distinct()
-    more = more.join(first, ["a", "b"], "left_anti")
-    more = checkpoint(_estimated(more, named, k))
-    extra = checkpoint(confirmed(more, texts, width, percent))
+    one = split.select("value", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("group").alias("g"))
+    two = split.select("value", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("group").alias("h"))
+    more = one.join(two, (one.value == two.value) & (F.col("p") != F.col("q")) & (F.col("g") != F.col("h")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    extra = small(confirmed(small(_estimated(more, named, k)), texts, width, percent))
     if extra.limit(1).count():
         joined = components(links.union(extra))
 

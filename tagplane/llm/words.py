@@ -155,11 +155,11 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     whole = np.ones(n, bool)
     for k in range(width):
         shifted = np.zeros(n, U64)
-        shifted[: n - k] = h[k:]
+        shifted[: max(n - k, 0)] = h[k:]
         joined = mix(joined + shifted * _STEP[k % 5] + U64(k + 1))
         if k:
-            whole[n - k :] = False
-            whole[: n - k] &= doc[k:] == doc[: n - k]
+            whole[max(n - k, 0) :] = False
+            whole[: max(n - k, 0)] &= doc[k:] == doc[: max(n - k, 0)]
     counts = words.counts()
     short = np.flatnonzero((counts > 0) & (counts < width))
     firsts = np.concatenate([[0], np.cumsum(counts)])[:-1]
