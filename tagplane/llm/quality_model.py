@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tagplane.llm import textstats
 from tagplane.llm.common import table
@@ -178,7 +179,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # SIZE x (FACTORS + 1) numbers
     rows = docs.select(F.col("text").cast("string").alias("_fm_text"), _n_chars(docs).alias("_fm_chars"), *[F.col(f"`{c}`") for c in docs.columns])
-    schema = docs.schema.add("_fm_score", "double")
+    schema = StructType([*docs.schema.fields, StructField("_fm_score", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
