@@ -11,9 +11,10 @@ verify what is left.
   many different texts share are therefore hardly ever used.
 * Each class first meets the most typical member of its lists (the hub). Classes that this connects
   need no more pairs among them. The members of a hub's group that are still in different components
-  are then compared exactly, in blocks of bounded size, and last the pairs of a list whose members
-  have different hubs. Groups of near copies thus cost a pair per member, and no link between
-  components is lost.
+  are then compared in blocks of bounded size, by sketches and, where these leave a link possible,
+  exactly, and last the pairs of a list whose members have different hubs. Groups of near copies thus
+  cost a pair per member, and no link between components is lost.
+* Texts are fetched only for ids that sketches could not rule out.
 
 Defined cases: null or wordless texts have no shingles, are linked with nothing and stay; a text with
 fewer words than a shingle is one shingle; rows that repeat an id are one document; rows without an
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagplane.llm.common import small, table, written
+from tagplane.llm.common import checkpoint, small, table, tasks, written
 from tagplane.llm.components import components
 from tagplane.llm.words import U64, Words, distinct_sorted, mix, shingles, word_slices
 
@@ -43,6 +44,8 @@ OVERLAP = 0.56
 ESTIMATE = 0.55
 #: Members of a block that is compared in one task, and shared values that it looks at at a time.
 BLOCK, COLUMNS = 1024, 4096
+#: Ids up to which a table of them goes to every task (4 MB); it is counted first.
+BROADCAST_IDS = 500_000
 
 
 def sets_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +102,22 @@ def estimate(a: Column, b: Column, k: int) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ids(doc_id).
+
+    Ids are counted first: up to ``BROADCAST_IDS`` of them go to every task, so that only the texts asked
+    for leave the scan; beyond, the join shuffles.
+    """
+    ids = checkpoint(ids.distinct())
+    n = ids.count()
+    ids = ids.coalesce(tasks(n))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi"), "texts")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    texts = texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -134,19 +151,73 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(fits).where(estimate(F.col("s_a"), F.col("s_b"), k) >= ESTIMATE).select("a", "b")
 
 
-def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group of members(rep, group, part) that has more than one part.
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """(group, i, j, rep, part): the groups of members(rep, group, part) that have more than one part.
 
-    A group is dealt into blocks of about ``BLOCK`` members; each pair of blocks is compared by full
-    sets in a task of its own, so no task holds a group however large it is. A pair of blocks reports
-    one link at most for two parts, which is all that components need.
+    A group is dealt into blocks of about ``BLOCK`` members, and each member goes to all pairs (i, j) of
+    blocks that hold its own, so no task holds a group however large it is.
     """
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     open_members = members.join(sizes.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "group")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = open_members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "part")
-    rows = rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("group", "i", "j", "rep", "part", "text")
+    return dealt.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "part")
+
+
+def _common(values: np.ndarray, sizes: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """How many values each set in ``probe`` shares with each set; shared values a few thousand at a time."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(probe), len(sizes)), np.float32)
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, n_columns if len(probe) else 0, COLUMNS):
+        x, y = np.searchsorted(column, (lo, lo + COLUMNS))
+        has = np.zeros((len(sizes), min(COLUMNS, n_columns - lo)), np.float32)
+        has[owner[x:y], column[x:y] - lo] = 1
+        both += has[probe] @ has.T
+    return both
+
+
+def _probe(part: np.ndarray) -> np.ndarray:
+    """The rows outside the largest part: these are compared with all rows."""
+    names, counts = np.unique(part, return_counts=True)
+    return np.flatnonzero(part != names[np.argmax(counts)])
+
+
+def with_partner(members: DataFrame, classes: DataFrame, k: int, overlap: float = OVERLAP) -> DataFrame:
+    """The members(rep, group, part) that have a partner in another part of their group, by sketches.
+
+    Partners share as many retained values as a similar pair does. Only members come back, not pairs.
+    """
+    sketched = classes.select("rep", "n_shingles", "sketch")
+    rows = dealt_blocks(members).join(sketched, "rep").select("group", "i", "j", "rep", "part", "n_shingles", "sketch")
+
+    def compare(block: pa.Table) -> pa.Table:
+        rep, part, n = (block.column(c).to_numpy() for c in ("rep", "part", "n_shingles"))
+        lists = block.column("sketch").combine_chunks()
+        probe = _probe(part)
+        both = _common(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), probe)
+        must = np.ceil(np.minimum(n, k) * overlap)
+        fits = np.minimum(n[probe][:, None], n[None, :]) * 10 >= np.maximum(n[probe][:, None], n[None, :]) * 7
+        row, other = np.nonzero(fits & (both >= np.minimum(must[probe][:, None], must[None, :])) & (part[probe][:, None] != part[None, :]))
+        hit = np.unique(np.concatenate([probe[row], other]))
+        return pa.table({"rep": pa.array(rep[hit]), "group": pa.array(np.full(len(hit), block.column("group")[0].as_py(), np.int64)), "part": pa.array(part[hit])})
+
+    return rows.groupBy("group", "i", "j").applyInArrow(compare, "rep long, group long, part long").distinct()
+
+
+def block_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within each group of members(rep, group, part) that has more than one part.
+
+    Each pair of blocks is compared by full sets in a task of its own, and reports one link at most for
+    two parts, which is all that components need.
+    """
+    texts = texts_of(docs, members.select(F.col("rep").alias("doc_id")))
+    rows = dealt_blocks(members).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("group", "i", "j", "rep", "part", "text")
 
     def compare(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
@@ -158,22 +229,8 @@ def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int)
                 values.append(v)
                 sizes.append(np.diff(at))
         values, sizes = np.concatenate(values), np.concatenate(sizes)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        distinct, column, times = np.unique(values, return_inverse=True, return_counts=True)
-        shared = times[column] > 1
-        owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        # Rows outside the largest part against all rows; shared values a few thousand at a time.
-        names, counts = np.unique(part, return_counts=True)
-        probe = np.flatnonzero(part != names[np.argmax(counts)])
-        both = np.zeros((len(probe), len(sizes)), np.float32)
-        n_columns = int(column[-1]) + 1 if len(column) else 0
-        for lo in range(0, n_columns if len(probe) else 0, COLUMNS):
-            x, y = np.searchsorted(column, (lo, lo + COLUMNS))
-            has = np.zeros((len(sizes), min(COLUMNS, n_columns - lo)), np.float32)
-            has[owner[x:y], column[x:y] - lo] = 1
-            both += has[probe] @ has.T
+        probe = _probe(part)
+        both = _common(values, sizes, probe)
         union = sizes[probe][:, None] + sizes[None, :] - both
         row, other = np.nonzero((both > 0) & (100 * both >= percent * union) & (part[probe][:, None] != part[None, :]))
         found = {}
@@ -200,18 +257,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     best = small(lists.join(hubs, "value").where("hub.col2 <> -rep").groupBy("rep").agg(F.max("hub").alias("hub")))
     first = best.select(F.least("rep", -F.col("hub.col2")).alias("a"), F.greatest("rep", -F.col("hub.col2")).alias("b")).distinct()
     first = small(_estimated(first, named, k))
-    listed = lists.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(listed, "doc_id", "left_semi"), "texts"
-    )
-    links = small(confirmed(first, texts, width, percent))
+    links = small(confirmed(first, docs, width, percent))
     joined = components(links)
 
     # Then all pairs of a hub's group, in blocks, where the group is still in different components.
     parted = lambda rows, at: rows.join(joined, F.col(at) == F.col("node"), "left").withColumn("part", F.coalesce("component", F.col(at))).drop("node", "component")
     grouped = best.select("rep", (-F.col("hub.col2")).alias("group"))
     members = small(parted(grouped.union(grouped.select("group", "group")).distinct(), "rep"))
-    links = small(links.union(block_links(members, texts, width, percent)))
+    members = small(with_partner(members, named, k))
+    links = small(links.union(block_links(members, docs, width, percent)))
     joined = small(components(links))
 
     # Last the pairs of a list from different groups and components.
@@ -221,7 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     one = split.select("value", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("group").alias("g"))
     two = split.select("value", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("group").alias("h"))
     more = one.join(two, (one.value == two.value) & (F.col("p") != F.col("q")) & (F.col("g") != F.col("h")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    extra = small(confirmed(small(_estimated(more, named, k)), texts, width, percent))
+    extra = small(confirmed(small(_estimated(more, named, k)), docs, width, percent))
     if extra.limit(1).count():
         joined = components(links.union(extra))
 
