@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagplane.functions import alignment
@@ -394,10 +394,18 @@ _BOXES = f"""select cast(row_number() over (order by min_id) as bigint) as box_i
   from ({{pets}}) where (abs(anchor_pos) * 7 + abs(target_pos)) % 11 = 0 group by 1, 2, 3, 4, 5) b"""
 
 
+def _all_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """The boxes of `_BOXES` made from every pair. There are as many as the grid of the genome has cells, at most."""
+    keys = ["anchor_chr", "target_chr"]
+    corner = lambda c: F.floor(F.abs(c) / 900.0).cast("int") * 900
+    cells = fx.pets(spark, sf).select(*keys, corner("anchor_pos").alias("start_a"), corner("target_pos").alias("start_t")).distinct()
+    ends = cells.select(*keys, "start_a", (F.col("start_a") + 100).alias("end_a"), "start_t", (F.col("start_t") + 100).alias("end_t"))
+    return ends.withColumn("box_id", F.row_number().over(Window.orderBy(*keys, "start_a", "start_t")).cast("long"))
+
+
 @query("cluster_boxes")
 def cluster_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    boxes = spark.sql(_BOXES.format(pets=fx.PETS), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
-    return clusters.cluster_boxes(boxes, 801)
+    return clusters.cluster_boxes(_all_boxes(spark, sf), 801)
 
 
 @query(

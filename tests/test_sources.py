@@ -13,7 +13,7 @@ from tagplane.operators.heatmap import Span, heatmap_bins, write_svg
 from tagplane.operators.interactions import InteractionSet
 from tagplane.operators.linkers import split_linkers
 from tagplane.operators.pairing import pair_alignments, pair_diagnostics
-from tagplane.plans import fixtures as fx
+from tagplane.plans import fixtures as fx, registry
 from tagplane.schema import ALIGNMENTS, PETS
 from tagplane.sources import text
 from tagplane.sources.store import TagStore
@@ -133,6 +133,26 @@ def test_clusters_are_single_linkage(spark):
     assert got == {i: find(i) for i in range(len(boxes))}
 
 
+def test_cluster_query_takes_every_pair(spark):
+    pairs = fx.pets(spark, SF).collect()
+    cells = sorted({(r["anchor_chr"], r["target_chr"], abs(r["anchor_pos"]) // 900, abs(r["target_pos"]) // 900) for r in pairs})
+    number = {c: i + 1 for i, c in enumerate(cells)}
+    want = {}
+    for c in cells:
+        if c in want:
+            continue
+        # Boxes of 100 with 800 between are near just where their cells touch.
+        want[c], todo = number[c], [c]
+        while todo:
+            a, t, x, y = todo.pop()
+            for near in ((a, t, x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if near in number and near not in want:
+                    want[near] = number[c]
+                    todo.append(near)
+    got = {r["box_id"]: r["cluster_id"] for r in registry.cluster_boxes(spark, SF).collect()}
+    assert got == {number[c]: k for c, k in want.items()}
+
+
 def test_heatmap_picture_and_sets(spark, tmp_path):
     pets = fx.pets(spark, SF)
     bins = heatmap_bins(pets, Span("chrA", 1, 18000), width=2000)
