@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     joined = small(components(links))
 
     # Last the pairs of a list from different groups and components.
-    owned = small(parted(lists.select("value", "rep").join(grouped, "rep"), "rep"))
+    # A class that is the hub of all its lists chose no other; its group is its own.
+    chosen = lists.select("value", "rep").join(grouped, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    owned = small(parted(chosen, "rep"))
     mixed = owned.groupBy("value").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("p0 < p1 and g0 < g1").select("value")
     split = owned.join(mixed, "value", "left_semi")
     one = split.select("value", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("group").alias("g"))

@@ -62,6 +62,25 @@ def test_groups_lose_no_link(spark, monkeypatch, seed, edits, block):
     assert got(near_dups.near_duplicates(docs, 2)) == brute(texts, 2)
 
 
+def bridged(seed):
+    """Two families; one copy of the first text has a passage that only the text of the second has too."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"f{rng.randint(0, 10**9)}" for _ in range(n)]
+    one, two, passage = fresh(120), fresh(108), fresh(12)
+    out = [one, one[:108] + passage, two + passage]
+    for base, copies in ((one, 6), (two, 15)):
+        for k in range(copies):
+            at = 12 * (k % 8)
+            out.append(base[:at] + fresh(12) + base[at + 12 :])
+    return [" ".join(w) for w in out]
+
+
+def test_hub_of_all_its_lists_keeps_its_links(spark):
+    texts = dict(enumerate(t for seed in range(6) for t in bridged(seed)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert got(near_dups.near_duplicates(docs, 2)) == brute(texts, 2)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = near_dups.near_duplicates(odd_docs, 5).collect()
     assert len(rows) == 13
