@@ -12,6 +12,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,10 @@ RULES = (
 #: Labels of hosts that a block list names.
 BLOCKED_LABELS = ("spam-farm", "adult-x", "casino-win", "cheap-pills", "free-bets", "ads-track")
 DAMPING = 0.85
-ROUNDS = 8
+#: Summed absolute change of a round, of each kind, under which ranks have settled.
+TOLERANCE = 1e-9
+#: Rounds after which ranks have settled for certain: the change is 2 at most and shrinks by the damping each round.
+ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
 #: A host is blocked where distrust is above this many times its trust.
 RATIO = 1.0
 SALTS = 32
@@ -72,23 +76,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, weight between hosts of pages(host, html).
 
     Absolute links weigh one for each page and target. Each host is also tied, both ways, to its
-    parent domains down to two labels, since owners of a domain answer for what is below it.
+    parent domain, and that to its own, down to two labels, since owners of a domain answer for what is below it.
     """
     target = F.explode(F.array_distinct(F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)\b(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""), 1)))
     links = pages.select(F.col("host").alias("src"), target.alias("dst")).withColumn("dst", lower_ascii(F.col("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    hosts = pages.select("host").union(links.select("dst")).where("host <> ''").distinct()
+    known = pages.select("host").union(links.select("dst")).where("host <> ''").distinct()
     labels = F.split("host", r"\.")
+    # A host with all its parent domains down to two labels.
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
+    hosts = known.select(F.explode(own).alias("host")).distinct()
     parent = F.concat_ws(".", F.slice(labels, 2, F.size(labels)))
     up = hosts.where(F.size(labels) > 2).select(F.col("host").alias("src"), parent.alias("dst"), F.lit(1.0).alias("weight"))
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     return links.unionByName(up).unionByName(down).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """kind, host, score: PageRank of each kind over its edges(kind, src, dst, weight), restarting at
     its seeds(kind, host, mass). Mass that reaches a host without links leaves the graph.
 
-    The kinds share their rounds, so that trust and distrust take one loop.
+    The kinds share their rounds, so that trust and distrust take one loop; it ends when the summed
+    absolute change of each is within the tolerance.
     """
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
     restart = small(seeds.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).join(total, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass")))
@@ -97,10 +105,15 @@ def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     n = tasks(edges.count())
     rank = restart.select("kind", "host", F.col("mass").alias("score"))
     again = restart.select("kind", "host", (F.col("mass") * (1.0 - damping)).alias("score"))
-    for _ in range(rounds):
+    while True:
         sent = rank.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part")).alias("score"))
-        rank = checkpoint(sent.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score")).coalesce(n))
-    return rank
+        was = rank.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        now = sent.unionByName(again).withColumn("was", F.lit(0.0)).unionByName(was)
+        both = checkpoint(now.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")).coalesce(n))
+        rank = both.select("kind", "host", "score")
+        change = both.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("change")).agg(F.max("change")).first()[0]
+        if (change or 0.0) <= tolerance:
+            return rank
 
 
 def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_labels: tuple[str, ...] = BLOCKED_LABELS, ratio: float = RATIO) -> DataFrame:

@@ -156,6 +156,27 @@ def test_urls(spark):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+def test_rank_settles_along_a_chain(spark):
+    edges = {(f"h{i}", f"h{i + 1}"): 1.0 for i in range(20)} | {("h3", "h1"): 2.0}
+    rank = {"h0": 1.0}
+    for _ in range(400):
+        new = defaultdict(float, {"h0": 1 - urls.DAMPING})
+        for (a, b), w in edges.items():
+            new[b] += rank.get(a, 0.0) * w / sum(x for (c, _), x in edges.items() if c == a) * urls.DAMPING
+        rank = new
+    table = spark.createDataFrame([("trust", a, b, w) for (a, b), w in edges.items()], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("trust", "h0", 1.0)], "kind string, host string, mass double")
+    got = {r["host"]: r["score"] for r in urls.page_rank(table, seeds).collect()}
+    assert all(abs(got.get(f"h{i}", 0.0) - rank[f"h{i}"]) < 1e-7 for i in range(21))
+
+
+def test_all_parents_are_tied(spark):
+    pages = spark.createDataFrame([("a.b.c.example.org", "")], "host string, html string")
+    ties = {(r["src"], r["dst"]) for r in urls.host_edges(pages).collect()}
+    chain = ["a.b.c.example.org", "b.c.example.org", "c.example.org", "example.org"]
+    assert ties == {p for a, b in zip(chain, chain[1:]) for p in ((a, b), (b, a))}
+
+
 def test_url_query(spark):
     pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     want = brute_judge(pages)
