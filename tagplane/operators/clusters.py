@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagplane.functions.graph import checkpoint, components
+
 
 def box_links(boxes: DataFrame, tol: int, bucket: int = 1 << 14) -> DataFrame:
     """(a, b), a < b: boxes of one chromosome pair less than ``tol`` apart in both directions.
@@ -29,26 +31,10 @@ def box_links(boxes: DataFrame, tol: int, bucket: int = 1 << 14) -> DataFrame:
 
 
 def cluster_boxes(boxes: DataFrame, tol: int) -> DataFrame:
-    """box_id, cluster_id: the least box of each cluster names it.
+    """box_id, cluster_id: the least box of each cluster names it; a box without links is its own.
 
-    Least labels travel along links and jump to the label of their label until nothing changes; each
-    round is a checkpoint in the session's shared folder.
+    The boxes are stored once, since both the links and the result come from them.
     """
-    spark = boxes.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", spark.conf.get("spark.sql.warehouse.dir") + "/shared"))
-    links = box_links(boxes, tol)
-    both = links.union(links.select("b", "a")).distinct().checkpoint()
-    labels = boxes.select("box_id", F.col("box_id").alias("cluster_id")).checkpoint()
-    while True:
-        near = both.join(labels, both.b == labels.box_id).groupBy("a").agg(F.min("cluster_id").alias("near"))
-        lower = labels.join(near, labels.box_id == near.a, "left").select(
-            "box_id", F.least("cluster_id", F.coalesce("near", "cluster_id")).alias("to"), F.col("cluster_id").alias("was")
-        )
-        far = labels.select(F.col("box_id").alias("to"), F.col("cluster_id").alias("far"))
-        moved = lower.join(far, "to").select("box_id", F.least("to", "far").alias("cluster_id"), "was").checkpoint()
-        done = moved.where("cluster_id <> was").limit(1).count() == 0
-        labels = moved.select("box_id", "cluster_id")
-        if done:
-            return labels
+    kept = checkpoint(boxes)
+    found = components(box_links(kept, tol))
+    return kept.select("box_id").join(found, F.col("box_id") == F.col("node"), "left").select("box_id", F.coalesce("component", "box_id").alias("cluster_id"))
