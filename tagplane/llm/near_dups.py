@@ -10,10 +10,11 @@ verify what is left.
   listed under the rarest of its values only, as many as such a pair cannot all miss. Values that
   many different texts share are therefore hardly ever used.
 * Each class first meets the most typical member of its lists (the hub). Classes that this connects
-  need no more pairs among them. The members of a hub's group that are still in different components
-  are then compared in blocks of bounded size, by sketches and, where these leave a link possible,
-  exactly, and last the pairs of a list whose members have different hubs. Groups of near copies thus
-  cost a pair per member, and no link between components is lost.
+  need no more pairs among them. In a hub's group, and last in each list whose members have different
+  hubs, the members outside the largest component are compared with all, in blocks of bounded size:
+  by sketches and, where these leave a link possible, exactly. No table of pairs is ever made of a
+  group or a list. Groups of near copies thus cost a pair per member, and no link between components
+  is lost.
 * Texts are fetched only for ids that sketches could not rule out.
 
 Defined cases: null or wordless texts have no shingles, are linked with nothing and stay; a text with
@@ -31,17 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagplane.functions.graph import components
 from tagplane.llm.common import checkpoint, small, table, tasks, written
-from tagplane.llm.components import components
 from tagplane.llm.words import U64, Words, distinct_sorted, mix, shingles, word_slices
 
 #: Values that a sketch retains.
 K = 48
-#: Share of retained values that similar texts have in common, with a chance of a miss under 1e-5 at
-#: a similarity of 0.8 and less above it.
-OVERLAP = 0.56
-#: Least estimate that is still verified (more than four standard deviations under 0.8).
-ESTIMATE = 0.55
+#: Share of retained values that similar texts have in common. At a similarity of exactly 0.8, and with
+#: one text nested in the other (the worst case), the common ones are binomial (48, 0.8), and fewer
+#: than 23 of them have a chance of 4e-8; above 0.8 it is less.
+OVERLAP = 0.46
+#: Least estimate that is still verified: 22 of 48 where 0.8 is expected, with a chance under 1e-8 of less.
+ESTIMATE = 0.45
 #: Members of a block that is compared in one task, and shared values that it looks at at a time.
 BLOCK, COLUMNS = 1024, 4096
 #: Ids up to which a table of them goes to every task (4 MB); it is counted first.
@@ -152,72 +154,88 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 
 def dealt_blocks(members: DataFrame) -> DataFrame:
-    """(group, i, j, rep, part): the groups of members(rep, group, part) that have more than one part.
+    """(group, i, j, rep, part, home, probe): the groups of members(rep, group, part, home) that have more
+    than one part, as blocks i of probes against blocks j of all.
 
-    A group is dealt into blocks of about ``BLOCK`` members, and each member goes to all pairs (i, j) of
-    blocks that hold its own, so no task holds a group however large it is.
+    The members outside the largest part of a group are its probes. Probes and all members are dealt
+    into blocks of about ``BLOCK``, so no task holds a group however large it is, and members of the
+    largest part are repeated only where there is more than one block of probes.
     """
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    open_members = members.join(sizes.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "group")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = open_members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "part")
-
-
-def _common(values: np.ndarray, sizes: np.ndarray, probe: np.ndarray) -> np.ndarray:
-    """How many values each set in ``probe`` shares with each set; shared values a few thousand at a time."""
+    by_part = members.groupBy("group", "part").agg(F.count("*").alias("n"))
+    sizes = by_part.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = checkpoint(sizes.select("group", F.col("main.part").alias("main"), blocks(F.col("n")).alias("of_all"), blocks(F.col("n") - F.col("main.n")).alias("of_probes")))
+    open_members = members.join(sizes, "group")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ("rep", "part", "home")
+    all_of_them = open_members.select("group", every("of_probes").alias("i"), deal("of_all").alias("j"), *kept, F.lit(False).alias("probe"))
+    probes = open_members.where("part <> main").select("group", deal("of_probes").alias("i"), every("of_all").alias("j"), *kept, F.lit(True).alias("probe"))
+    return all_of_them.unionByName(probes)
+
+
+def _common(values: np.ndarray, sizes: np.ndarray, probe: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many values each set in ``probe`` shares with each set in ``others``; shared values a few thousand at a time."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     _, column, times = np.unique(values, return_inverse=True, return_counts=True)
     shared = times[column] > 1
     owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((len(probe), len(sizes)), np.float32)
+    both = np.zeros((len(probe), len(others)), np.float32)
     n_columns = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, n_columns if len(probe) else 0, COLUMNS):
+    for lo in range(0, n_columns if len(probe) and len(others) else 0, COLUMNS):
         x, y = np.searchsorted(column, (lo, lo + COLUMNS))
         has = np.zeros((len(sizes), min(COLUMNS, n_columns - lo)), np.float32)
         has[owner[x:y], column[x:y] - lo] = 1
-        both += has[probe] @ has.T
+        both += has[probe] @ has[others].T
     return both
 
 
-def _probe(part: np.ndarray) -> np.ndarray:
-    """The rows outside the largest part: these are compared with all rows."""
-    names, counts = np.unique(part, return_counts=True)
-    return np.flatnonzero(part != names[np.argmax(counts)])
+def _sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the probes, rows of the others, and which pairs of them are open: of different parts and
+    homes. Two probes meet twice, so one of both times is left out."""
+    rep, part, home = (block.column(c).to_numpy() for c in ("rep", "part", "home"))
+    is_probe = block.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+    probe, others = np.flatnonzero(is_probe), np.flatnonzero(~is_probe)
+    differ = lambda x: x[probe][:, None] != x[others][None, :]
+    return probe, others, differ(part) & differ(home) & differ(rep)
 
 
 def with_partner(members: DataFrame, classes: DataFrame, k: int, overlap: float = OVERLAP) -> DataFrame:
-    """The members(rep, group, part) that have a partner in another part of their group, by sketches.
+    """The members(rep, group, part, home) that have a partner in their group, by sketches.
 
-    Partners share as many retained values as a similar pair does. Only members come back, not pairs.
+    Partners are in different parts, have different homes, are of like size and share as many retained
+    values as a similar pair does. Only members come back, not pairs.
     """
     sketched = classes.select("rep", "n_shingles", "sketch")
-    rows = dealt_blocks(members).join(sketched, "rep").select("group", "i", "j", "rep", "part", "n_shingles", "sketch")
+    rows = dealt_blocks(members).join(sketched, "rep").select("group", "i", "j", "rep", "part", "home", "probe", "n_shingles", "sketch")
 
     def compare(block: pa.Table) -> pa.Table:
-        rep, part, n = (block.column(c).to_numpy() for c in ("rep", "part", "n_shingles"))
+        block = block.combine_chunks()
+        rep, part, home, n = (block.column(c).to_numpy() for c in ("rep", "part", "home", "n_shingles"))
+        probe, others, differ = _sides(block)
         lists = block.column("sketch").combine_chunks()
-        probe = _probe(part)
-        both = _common(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), probe)
+        both = _common(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), probe, others)
         must = np.ceil(np.minimum(n, k) * overlap)
-        fits = np.minimum(n[probe][:, None], n[None, :]) * 10 >= np.maximum(n[probe][:, None], n[None, :]) * 7
-        row, other = np.nonzero(fits & (both >= np.minimum(must[probe][:, None], must[None, :])) & (part[probe][:, None] != part[None, :]))
-        hit = np.unique(np.concatenate([probe[row], other]))
-        return pa.table({"rep": pa.array(rep[hit]), "group": pa.array(np.full(len(hit), block.column("group")[0].as_py(), np.int64)), "part": pa.array(part[hit])})
+        small_n, large_n = np.minimum(n[probe][:, None], n[others][None, :]), np.maximum(n[probe][:, None], n[others][None, :])
+        row, other = np.nonzero(differ & (small_n * 10 >= large_n * 7) & (both >= np.minimum(must[probe][:, None], must[others][None, :])))
+        _, hit = np.unique(rep[np.concatenate([probe[row], others[other]])], return_index=True)
+        hit = np.concatenate([probe[row], others[other]])[hit]
+        group = np.full(len(hit), block.column("group")[0].as_py(), np.int64)
+        return pa.table({"rep": pa.array(rep[hit]), "group": pa.array(group), "part": pa.array(part[hit]), "home": pa.array(home[hit])})
 
-    return rows.groupBy("group", "i", "j").applyInArrow(compare, "rep long, group long, part long").distinct()
+    return rows.groupBy("group", "i", "j").applyInArrow(compare, "rep long, group long, part long, home long").distinct()
 
 
 def block_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group of members(rep, group, part) that has more than one part.
+    """Links (a, b) within each group of members(rep, group, part, home) that has more than one part.
 
     Each pair of blocks is compared by full sets in a task of its own, and reports one link at most for
     two parts, which is all that components need.
     """
     texts = texts_of(docs, members.select(F.col("rep").alias("doc_id")))
-    rows = dealt_blocks(members).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("group", "i", "j", "rep", "part", "text")
+    rows = dealt_blocks(members).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("group", "i", "j", "rep", "part", "home", "probe", "text")
 
     def compare(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
@@ -229,12 +247,12 @@ def block_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -
                 values.append(v)
                 sizes.append(np.diff(at))
         values, sizes = np.concatenate(values), np.concatenate(sizes)
-        probe = _probe(part)
-        both = _common(values, sizes, probe)
-        union = sizes[probe][:, None] + sizes[None, :] - both
-        row, other = np.nonzero((both > 0) & (100 * both >= percent * union) & (part[probe][:, None] != part[None, :]))
+        probe, others, differ = _sides(block)
+        both = _common(values, sizes, probe, others)
+        union = sizes[probe][:, None] + sizes[others][None, :] - both
+        row, other = np.nonzero(differ & (both > 0) & (100 * both >= percent * union))
         found = {}
-        for r, c in zip(probe[row], other, strict=True):
+        for r, c in zip(probe[row], others[other], strict=True):
             found.setdefault(tuple(sorted((part[r], part[c]))), (min(rep[r], rep[c]), max(rep[r], rep[c])))
         a, b = [x for x, _ in found.values()], [x for _, x in found.values()]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -252,32 +270,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     named = classes.where("rep is not null")
     lists = written(inverted_lists(named, k), "lists")
 
-    # First each class meets one hub: the most typical member of any of its lists.
-    hubs = lists.groupBy("value").agg(F.max(F.struct("typical", -F.col("rep"))).alias("hub"))
+    # First each class meets one hub: the most typical member of any of its lists. Hubs are a table of
+    # their own, so that a value with very many classes is a skewed side of a join, which is split.
+    hubs = checkpoint(lists.groupBy("value").agg(F.max(F.struct("typical", -F.col("rep"))).alias("hub")))
     best = small(lists.join(hubs, "value").where("hub.col2 <> -rep").groupBy("rep").agg(F.max("hub").alias("hub")))
     first = best.select(F.least("rep", -F.col("hub.col2")).alias("a"), F.greatest("rep", -F.col("hub.col2")).alias("b")).distinct()
     first = small(_estimated(first, named, k))
     links = small(confirmed(first, docs, width, percent))
     joined = components(links)
 
-    # Then all pairs of a hub's group, in blocks, where the group is still in different components.
-    parted = lambda rows, at: rows.join(joined, F.col(at) == F.col("node"), "left").withColumn("part", F.coalesce("component", F.col(at))).drop("node", "component")
+    # Then the members of a hub's group that are still in different components, in blocks.
+    parted = lambda rows: rows.join(joined, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component")
     grouped = best.select("rep", (-F.col("hub.col2")).alias("group"))
-    members = small(parted(grouped.union(grouped.select("group", "group")).distinct(), "rep"))
+    members = small(parted(grouped.union(grouped.select("group", "group")).distinct()).withColumn("home", F.col("rep")))
     members = small(with_partner(members, named, k))
     links = small(links.union(block_links(members, docs, width, percent)))
     joined = small(components(links))
 
-    # Last the pairs of a list from different groups and components.
+    # Last the members of a list that have different groups and components, the same way.
     # A class that is the hub of all its lists chose no other; its group is its own.
-    chosen = lists.select("value", "rep").join(grouped, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
-    owned = small(parted(chosen, "rep"))
-    mixed = owned.groupBy("value").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("p0 < p1 and g0 < g1").select("value")
-    split = owned.join(mixed, "value", "left_semi")
-    one = split.select("value", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("group").alias("g"))
-    two = split.select("value", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("group").alias("h"))
-    more = one.join(two, (one.value == two.value) & (F.col("p") != F.col("q")) & (F.col("g") != F.col("h")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    extra = small(confirmed(small(_estimated(more, named, k)), docs, width, percent))
+    owned = lists.select("value", "rep").join(grouped, "rep", "left").select("rep", F.col("value").alias("group"), F.coalesce("group", "rep").alias("home"))
+    owned = small(parted(owned))
+    mixed = owned.groupBy("group").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.min("home").alias("h0"), F.max("home").alias("h1"))
+    mixed = checkpoint(mixed.where("p0 < p1 and h0 < h1").select("group"))
+    members = small(with_partner(owned.join(mixed, "group", "left_semi"), named, k))
+    extra = small(block_links(members, docs, width, percent))
     if extra.limit(1).count():
         joined = components(links.union(extra))
 

@@ -4,8 +4,8 @@ import random
 
 import pytest
 
+from tagplane.functions.graph import components
 from tagplane.llm import near_dups
-from tagplane.llm.components import components
 
 from .conftest import shingle_set
 
@@ -81,6 +81,23 @@ def test_hub_of_all_its_lists_keeps_its_links(spark):
     assert got(near_dups.near_duplicates(docs, 2)) == brute(texts, 2)
 
 
+def test_one_list_of_loosely_alike_texts_makes_no_pairs(spark, monkeypatch):
+    """Texts that share a long passage, none similar to another but for two planted pairs."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(70)]
+    texts = {k: " ".join([*passage, *(f"q{rng.randint(0, 10**7)}" for _ in range(30))]) for k in range(1500)}
+    texts[2000] = texts[3] + " x"
+    texts[2001] = "y " + texts[700]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    dealt = []
+    real = near_dups.dealt_blocks
+    monkeypatch.setattr(near_dups, "BLOCK", 256)
+    monkeypatch.setattr(near_dups, "dealt_blocks", lambda members: (dealt.append(real(members).count()), real(members))[1])
+    found = {i: c for i, (_, c, _) in got(near_dups.near_duplicates(docs, 2)).items()}
+    assert found == {**{k: k for k in texts}, 2000: 3, 2001: 700}
+    assert sum(dealt) < 40 * len(texts)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = near_dups.near_duplicates(odd_docs, 5).collect()
     assert len(rows) == 13
