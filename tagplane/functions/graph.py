@@ -1,4 +1,4 @@
-"""Connected components of a table of links by alternating stars."""
+"""Connected components of a table of links by hooking and jumping."""
 
 from __future__ import annotations
 
@@ -20,26 +20,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links(a, b); component is the least node reachable.
 
-    Large stars tie the greater neighbours of a node to its least one, small stars then tie the lesser
-    neighbours to it, and both alternate until every component is one star around its least node. The
-    number of links never grows, and rounds grow with the logarithm of the size of a component, not
-    with the length of its chains. Least neighbours are tables of their own, so that a node with very
-    many links is a skewed side that adaptive execution splits. Links of a node with itself and
-    repeated links count once or not at all; without links the result is empty.
+    Each round a node takes the least label among its neighbours, hands it to the node that its own
+    label names, and jumps to the label of its label. As whole trees hook onto each other, rounds grow
+    with the logarithm of the size of a component, not with the length of its chains. The links stay as
+    they are and labels are a table of their own, so that a node with very many links is a skewed side
+    of a join, which adaptive execution splits; minima are partial before each shuffle. Links of a node
+    with itself and repeated links make no difference; without links the result is empty.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges = checkpoint(edges)
-    n = max(1, -(-edges.count() // LINKS_PER_TASK))
-    edges, before = edges.coalesce(n), None
+    both = checkpoint(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    n = max(1, -(-both.count() // LINKS_PER_TASK))
+    both = both.coalesce(n)
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")).coalesce(n))
     while True:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = checkpoint(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).coalesce(n))
-        large = checkpoint(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct().coalesce(n))
-        centre = checkpoint(large.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(n))
-        others = large.join(centre, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = checkpoint(others.union(centre).distinct().coalesce(n))
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("sum")).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(edges.select("lo", "lo").distinct())
+        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        met = labels.join(near, "node").withColumn("least", F.least("component", "near"))
+        hooked = met.select("node", "least", F.col("component").alias("was")).union(met.select("component", "least", F.lit(None)))
+        lower = hooked.groupBy("node").agg(F.min("least").alias("to"), F.max("was").alias("was"))
+        target = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
+        moved = checkpoint(lower.join(target, "to").select("node", F.least("to", "far").alias("component"), "was").coalesce(n))
+        changed = moved.where("component <> was").limit(1).count()
+        labels = moved.select("node", "component")
+        if not changed:
+            return labels
