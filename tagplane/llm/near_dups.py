@@ -10,11 +10,11 @@ verify what is left.
   listed under the rarest of its values only, as many as such a pair cannot all miss. Values that
   many different texts share are therefore hardly ever used.
 * Each class first meets the most typical member of its lists (the hub). Classes that this connects
-  need no more pairs among them. In a hub's group, and last in each list whose members have different
-  hubs, the members outside the largest component are compared with all, in blocks of bounded size:
-  by sketches and, where these leave a link possible, exactly. No table of pairs is ever made of a
-  group or a list. Groups of near copies thus cost a pair per member, and no link between components
-  is lost.
+  need no more pairs among them. In a hub's group, and last in each long list whose members have
+  different hubs, the members outside the largest component are compared with all, in blocks of
+  bounded size: by sketches and, where these leave a link possible, exactly. Only lists of up to
+  ``SHORT`` classes are made into pairs, less than that many for each class in them. Groups of near
+  copies thus cost a pair per member, and no link between components is lost.
 * Texts are fetched only for ids that sketches could not rule out.
 
 Defined cases: null or wordless texts have no shingles, are linked with nothing and stay; a text with
@@ -40,10 +40,12 @@ from tagplane.llm.words import U64, Words, distinct_sorted, mix, shingles, word_
 K = 48
 #: Share of retained values that similar texts have in common. At a similarity of exactly 0.8, and with
 #: one text nested in the other (the worst case), the common ones are binomial (48, 0.8), and fewer
-#: than 23 of them have a chance of 4e-8; above 0.8 it is less.
-OVERLAP = 0.46
-#: Least estimate that is still verified: 22 of 48 where 0.8 is expected, with a chance under 1e-8 of less.
-ESTIMATE = 0.45
+#: than 24 of them have a chance of 4e-7; above 0.8 it is less.
+OVERLAP = 0.5
+#: Least estimate that is still verified: the same bound, as the estimate is a share of 48 or more trials.
+ESTIMATE = 0.5
+#: Classes of a list that is made into pairs.
+SHORT = 32
 #: Members of a block that is compared in one task, and shared values that it looks at at a time.
 BLOCK, COLUMNS = 1024, 4096
 #: Ids up to which a table of them goes to every task (4 MB); it is counted first.
@@ -202,6 +204,23 @@ def _sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return probe, others, differ(part) & differ(home) & differ(rep)
 
 
+def _likely(lists: pa.ListArray, n: np.ndarray, k: int, a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether the union sketch of each pair leaves a similarity of 0.8 possible: up to the lesser of the
+    greatest retained values both sketches are complete, so what they share and hold there is known."""
+    sizes, top = lists.value_lengths().to_numpy(), np.iinfo(np.int64).max
+    table = np.full((len(sizes), k), top)
+    table[np.arange(k) < sizes[:, None]] = lists.flatten().to_numpy()
+    reach = np.where(n <= k, top - 1, table[np.arange(len(sizes)), np.maximum(sizes, 1) - 1])
+    good = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 15):
+        x, y = a[lo : lo + (1 << 15)], b[lo : lo + (1 << 15)]
+        limit = np.minimum(reach[x], reach[y])[:, None]
+        shared = both[lo : lo + (1 << 15)]
+        union = (table[x] <= limit).sum(axis=1) + (table[y] <= limit).sum(axis=1) - shared
+        good[lo : lo + (1 << 15)] = shared >= ESTIMATE * union
+    return good
+
+
 def with_partner(members: DataFrame, classes: DataFrame, k: int, overlap: float = OVERLAP) -> DataFrame:
     """The members(rep, group, part, home) that have a partner in their group, by sketches.
 
@@ -220,6 +239,8 @@ def with_partner(members: DataFrame, classes: DataFrame, k: int, overlap: float
         must = np.ceil(np.minimum(n, k) * overlap)
         small_n, large_n = np.minimum(n[probe][:, None], n[others][None, :]), np.maximum(n[probe][:, None], n[others][None, :])
         row, other = np.nonzero(differ & (small_n * 10 >= large_n * 7) & (both >= np.minimum(must[probe][:, None], must[others][None, :])))
+        good = _likely(lists, n, k, probe[row], others[other], both[row, other])
+        row, other = row[good], other[good]
         _, hit = np.unique(rep[np.concatenate([probe[row], others[other]])], return_index=True)
         hit = np.concatenate([probe[row], others[other]])[hit]
         group = np.full(len(hit), block.column("group")[0].as_py(), np.int64)
@@ -291,10 +312,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     # A class that is the hub of all its lists chose no other; its group is its own.
     owned = lists.select("value", "rep").join(grouped, "rep", "left").select("rep", F.col("value").alias("group"), F.coalesce("group", "rep").alias("home"))
     owned = small(parted(owned))
-    mixed = owned.groupBy("group").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.min("home").alias("h0"), F.max("home").alias("h1"))
-    mixed = checkpoint(mixed.where("p0 < p1 and h0 < h1").select("group"))
-    members = small(with_partner(owned.join(mixed, "group", "left_semi"), named, k))
-    extra = small(block_links(members, docs, width, percent))
+    mixed = owned.groupBy("group").agg(F.count("*").alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1"), F.min("home").alias("h0"), F.max("home").alias("h1"))
+    mixed = checkpoint(mixed.where("p0 < p1 and h0 < h1").select("group", "n"))
+    short = owned.join(mixed.where(F.col("n") <= SHORT), "group", "left_semi")
+    one = short.select("group", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("home").alias("g"))
+    two = short.select("group", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("home").alias("h"))
+    pairs = one.join(two, (one.group == two.group) & (F.col("p") != F.col("q")) & (F.col("g") != F.col("h")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    extra = confirmed(small(_estimated(pairs, named, k)), docs, width, percent)
+    members = small(with_partner(owned.join(mixed.where(F.col("n") > SHORT), "group", "left_semi"), named, k))
+    extra = small(extra.union(block_links(members, docs, width, percent)))
     if extra.limit(1).count():
         joined = components(links.union(extra))
 

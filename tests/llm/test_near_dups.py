@@ -57,6 +57,7 @@ def family(seed, n, edits, size=120):
 @pytest.mark.parametrize("seed,edits,block", [(1, 4, 1024), (3, 20, 16)])
 def test_groups_lose_no_link(spark, monkeypatch, seed, edits, block):
     monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "SHORT", 32 if block == 1024 else 3)
     texts = dict(enumerate(family(seed, 60, edits)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert got(near_dups.near_duplicates(docs, 2)) == brute(texts, 2)
