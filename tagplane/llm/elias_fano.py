@@ -79,14 +79,16 @@ class EliasFano:
         spots = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
         return ((spots - np.arange(self.n)).astype(U64) << U64(self.low_bits)) | self.low_part(np.arange(self.n))
 
-    def successor(self, x: int, lo: int, hi: int) -> int:
-        """The first place in [lo, hi) whose value is x or more, else hi."""
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if int(self.access(np.array([mid]))[0]) < x:
-                lo = mid + 1
-            else:
-                hi = mid
+    def successors(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each x the first place in its [lo, hi) whose value is x or more, else hi: binary searches side by side."""
+        lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self.access(mid) < x[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         return lo
 
     def to_bytes(self) -> bytes:
@@ -100,87 +102,89 @@ class EliasFano:
         return EliasFano(n, low_bits, low, high, EliasFano._directory(high)), at + 32 + 8 * (n_low + n_high)
 
 
-def quantise(logs: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of one byte and the log value of each: bins of equal width, each read as its mean."""
-    if not len(logs):
-        return np.zeros(0, np.uint8), np.zeros(levels)
-    low, high = float(logs.min()), float(logs.max())
-    codes = np.minimum((logs - low) * (levels / max(high - low, 1e-12)), levels - 1).astype(np.int64)
-    sums, times = np.bincount(codes, logs, levels), np.bincount(codes, minlength=levels)
-    return codes.astype(np.uint8), np.where(times > 0, sums / np.maximum(times, 1), 0.0)
+#: Steps of a quantised logarithm in a decade; 16 bits reach 13 decades.
+STEPS = 5000
 
 
-@dataclass
-class Trie:
-    """Contexts and, for each, its successors with quantised log10 probabilities.
+def quantise(shares: np.ndarray) -> np.ndarray:
+    """Codes of two bytes for shares in (0, 1]: log10 in fixed steps, so that equal shares have equal codes
+    in every shard; 0 stands for a share of zero."""
+    codes = np.zeros(len(shares), np.uint16)
+    some = shares > 0
+    codes[some] = np.minimum(np.round(-np.log10(shares[some]) * STEPS) + 1, 65535).astype(np.uint16)
+    return codes
+
+
+def dequantise(codes: np.ndarray) -> np.ndarray:
+    codes = codes.astype(np.float64)
+    return np.where(codes > 0, 10.0 ** ((1 - codes) / STEPS), 0.0)
 
-    Successor ids are stored relative to their context: id + rank of the context * ``ids``, which makes
-    one monotone sequence. Pointers say where the successors of a context begin. Both they and the
-    contexts are monotone too.
-    """
+
+@dataclass
+class Level:
+    """The children of all nodes of the level above: ``pointers`` say where the children of a node begin,
+    and child ids are stored relative to their parent, id + place of the parent * ``ids``, which makes one
+    monotone sequence. Each child has a quantised probability."""
 
     ids: int
-    contexts: EliasFano
     pointers: EliasFano
-    successors: EliasFano
+    children: EliasFano
     codes: np.ndarray
-    book: np.ndarray
-    back_codes: np.ndarray
-    back_book: np.ndarray
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> bytes:
-        """From distinct pairs in ascending order, their log probabilities and the log back-off weight of each context."""
-        ids = int(word.max()) + 1 if len(word) else 1
-        seen, starts = np.unique(context, return_index=True)
-        rank = np.searchsorted(seen, context).astype(U64)
-        codes, book = quantise(logs)
-        back_codes, back_book = quantise(backs)
-        parts = [EliasFano.build(x).to_bytes() for x in (seen, np.append(starts, len(context)), word.astype(U64) + rank * U64(ids))]
-        pad = b"\0" * (-(len(codes) + len(back_codes)) % 8)
-        return struct.pack("<QQQ", ids, len(codes), len(back_codes)) + b"".join(parts) + book.tobytes() + back_book.tobytes() + codes.tobytes() + back_codes.tobytes() + pad
+    def build(parent: np.ndarray, child: np.ndarray, n_parents: int, codes: np.ndarray) -> bytes:
+        """From distinct (parent, child) in ascending order and their codes."""
+        ids = int(child.max()) + 1 if len(child) else 1
+        starts = np.searchsorted(parent, np.arange(n_parents + 1))
+        parts = [EliasFano.build(x).to_bytes() for x in (starts, child.astype(U64) + parent.astype(U64) * U64(ids))]
+        pad = b"\0" * (-2 * len(codes) % 8)
+        return struct.pack("<QQ", ids, len(codes)) + b"".join(parts) + codes.astype(np.uint16).tobytes() + pad
+
+    @staticmethod
+    def read(buffer: memoryview, at: int) -> tuple[Level, int]:
+        ids, n = struct.unpack_from("<QQ", buffer, at)
+        pointers, at = EliasFano.read(buffer, at + 16)
+        children, at = EliasFano.read(buffer, at)
+        return Level(ids, pointers, children, np.frombuffer(buffer, np.uint16, n, at)), at + 2 * n + (-2 * n % 8)
+
+    def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Place of each child of a parent, -1 where the level has none (or the parent is -1)."""
+        out = np.full(len(parent), -1, np.int64)
+        rows = np.flatnonzero((parent >= 0) & (child.astype(np.int64) < self.ids))
+        if not len(rows) or not self.children.n:
+            return out
+        p, x = parent[rows], child[rows].astype(U64) + parent[rows].astype(U64) * U64(self.ids)
+        lo, hi = self.pointers.access(p).astype(np.int64), self.pointers.access(p + 1).astype(np.int64)
+        at = self.children.successors(x, lo, hi)
+        found = at < hi
+        found[found] = self.children.access(at[found]) == x[found]
+        out[rows[found]] = at[found]
+        return out
+
+
+@dataclass
+class Trie:
+    """Levels of an n-gram trie: first words, words that follow them, and words that follow both."""
+
+    levels: list[Level]
+
+    @staticmethod
+    def build(levels: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]) -> bytes:
+        return struct.pack("<Q", len(levels)) + b"".join(Level.build(*x) for x in levels)
 
     @staticmethod
     def read(buffer: memoryview) -> Trie:
-        ids, n, n_contexts = struct.unpack_from("<QQQ", buffer, 0)
-        at, levels = 24, []
-        for _ in range(3):
-            level, at = EliasFano.read(buffer, at)
+        (n,) = struct.unpack_from("<Q", buffer, 0)
+        at, levels = 8, []
+        for _ in range(n):
+            level, at = Level.read(buffer, at)
             levels.append(level)
-        book, back_book = np.frombuffer(buffer, np.float64, 256, at), np.frombuffer(buffer, np.float64, 256, at + 2048)
-        codes = np.frombuffer(buffer, np.uint8, n, at + 4096)
-        return Trie(ids, *levels, codes, book, np.frombuffer(buffer, np.uint8, n_contexts, at + 4096 + n), back_book)
+        return Trie(levels)
 
     @staticmethod
     def mapped(blob: bytes) -> Trie:
-        """Over a file without a name in the task's own temporary folder: gone with the mapping."""
+        """Over a file without a name in the task's own temporary folder: it never leaves the task and is gone with the mapping."""
         with tempfile.TemporaryFile() as f:
             f.write(blob)
             f.flush()
             return Trie.read(memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
-
-    def lookup(self, context: int, word: int) -> tuple[float | None, float | None]:
-        """(log probability of a stored pair, log back-off weight of the context); None where not stored."""
-        r = self.contexts.successor(context, 0, self.contexts.n)
-        if r == self.contexts.n or int(self.contexts.access(np.array([r]))[0]) != context:
-            return None, None
-        lo, hi = (int(x) for x in self.pointers.access(np.array([r, r + 1])))
-        x = word + r * self.ids
-        at = self.successors.successor(x, lo, hi) if word < self.ids else hi
-        found = at < hi and int(self.successors.access(np.array([at]))[0]) == x
-        return (float(self.book[self.codes[at]]) if found else None), float(self.back_book[self.back_codes[r]])
-
-    def lookups(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for many pairs; NaN where not stored. Levels are decoded once for all of them."""
-        logs, backs = np.full(len(context), np.nan), np.full(len(context), np.nan)
-        if not len(self.codes):
-            return logs, backs
-        contexts, successors = self.contexts.values(), self.successors.values()
-        r = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-        known = contexts[r] == context
-        backs[known] = self.back_book[self.back_codes[r[known]]]
-        x = word.astype(U64) + r.astype(U64) * U64(self.ids)
-        at = np.minimum(np.searchsorted(successors, x), len(successors) - 1)
-        found = known & (word.astype(U64) < U64(self.ids)) & (successors[at] == x)
-        logs[found] = self.book[self.codes[at[found]]]
-        return logs, backs
