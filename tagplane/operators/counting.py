@@ -65,26 +65,19 @@ def count_windows(
         lo, hi = grid.index(F.col(f"{p}_pos"), ext, F.col(f"_{p}_n"))
         placed = placed.withColumn(f"_{p}_lo", lo).withColumn(f"_{p}_hi", hi)
     same = F.col("anchor_chr") == F.col("target_chr")
-    swap = same & ~((F.col("_anchor_lo") >= F.col("_target_lo")) & (F.col("_anchor_hi") >= F.col("_target_hi")))
-    pick = lambda one, other: F.when(swap, F.col(other)).otherwise(F.col(one))
+    # On one chromosome the further tag has the upper range at both ends, as tags are equally long.
+    upper = lambda c: F.when(same, F.greatest(f"_anchor_{c}", f"_target_{c}")).otherwise(F.col(f"_anchor_{c}"))
+    lower = lambda c: F.when(same, F.least(f"_anchor_{c}", f"_target_{c}")).otherwise(F.col(f"_target_{c}"))
+    ends = {"a0": upper("lo"), "a1": upper("hi"), "t0": lower("lo"), "t1": lower("hi")}
     boxes = (
-        placed.where("_anchor_lo < _anchor_hi and _target_lo < _target_hi")
-        .select(
-            "file",
-            same.alias("same"),
-            "_anchor_before",
-            "_target_before",
-            pick("_anchor_lo", "_target_lo").alias("a0"),
-            pick("_anchor_hi", "_target_hi").alias("a1"),
-            pick("_target_lo", "_anchor_lo").alias("t0"),
-            pick("_target_hi", "_anchor_hi").alias("t1"),
-        )
-        .groupBy("file", "same", "_anchor_before", "_target_before", "a0", "a1", "t0", "t1")
+        placed.where("_anchor_lo <= _anchor_hi and _target_lo <= _target_hi")
+        .select("file", same.alias("same"), "_anchor_before", "_target_before", *[v.alias(k) for k, v in ends.items()])
+        .groupBy("file", "same", "_anchor_before", "_target_before", *ends)
         .agg(F.count("*").alias("weight"))
     )
     cells = (
-        boxes.withColumn("a", F.explode(F.sequence(F.col("a0"), F.col("a1") - 1)))
-        .withColumn("t", F.explode(F.sequence(F.col("t0"), F.col("t1") - 1)))
+        boxes.withColumn("a", F.explode(F.sequence("a0", "a1")))
+        .withColumn("t", F.explode(F.sequence("t0", "t1")))
         .where(~F.col("same") | (F.col("a") >= F.col("t")))
     )
     one, two = F.col("_anchor_before") + F.col("a"), F.col("_target_before") + F.col("t")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagplane.functions.tags import pair_distance
+from tagplane.operators.stats import bh_adjust, count_list, tmm_factors
 
 
 @dataclass(frozen=True)
@@ -33,19 +34,23 @@ class InteractionSet:
         return InteractionSet(counts, info, regions, tuple(files))
 
     def problems(self) -> DataFrame:
-        """problem, n: broken invariants; empty for a valid set."""
-        low, high = F.col("anchor_id") < F.col("target_id"), F.lit(False)
-        negative = reduce(lambda a, b: a | b, [F.col(f"`{f}`") < 0 for f in self.files], high)
-        ids = self.counts.select(F.explode(F.array("anchor_id", "target_id")).alias("region_id"))
-        lost = ids.join(self.regions.select("region_id"), "region_id", "left_anti")
-        libraries = self.info.agg(F.count("*").alias("n")).select(F.lit("libraries").alias("problem"), F.abs(F.col("n") - len(self.files)).alias("n"))
-        found = (
-            self.counts.where(low).agg(F.count("*").alias("n")).select(F.lit("order").alias("problem"), "n")
-            .unionByName(self.counts.where(negative).agg(F.count("*").alias("n")).select(F.lit("negative").alias("problem"), "n"))
-            .unionByName(lost.agg(F.count("*").alias("n")).select(F.lit("unknown_region").alias("problem"), "n"))
-            .unionByName(libraries)
-        )
-        return found.where("n > 0")
+        """problem, n: broken invariants; empty for a valid set.
+
+        Rows: missing ids, ids under one, ids without a region, a target above its anchor, negative or
+        missing counts. Libraries: not one row of information for each, or totals that are no number.
+        """
+        a, t = F.col("anchor_id"), F.col("target_id")
+        bad_count = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"`{f}`") < 0, F.lit(True)) for f in self.files], F.lit(False))
+        rules = {"missing_id": a.isNull() | t.isNull(), "anchor_not_positive": a < 1, "target_not_positive": t < 1, "order": a < t, "negative": bad_count}
+        rows = self.counts.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()]).unpivot([], list(rules), "problem", "n")
+        known = self.regions.select("region_id")
+        lost = lambda c: self.counts.where(f"{c} is not null").join(known, F.col(c) == F.col("region_id"), "left_anti").agg(F.count("*").alias("n"))
+        total = F.col("totals").try_cast("double") if "totals" in self.info.columns else F.lit(None).cast("double")
+        libraries = self.info.agg(F.abs(F.count_if(F.col("file").isin(*self.files)) - len(self.files)).alias("libraries"), F.count_if(total.isNull()).alias("totals"))
+        found = rows
+        for side in ("anchor", "target"):
+            found = found.unionByName(lost(f"{side}_id").select(F.lit(f"unknown_{side}").alias("problem"), "n"))
+        return found.unionByName(libraries.unpivot([], ["libraries", "totals"], "problem", "n")).where("n > 0")
 
     def subset(self, rows: Column | None = None, files: Sequence[str] | None = None) -> InteractionSet:
         """Some pairs and libraries; ids, regions and totals stay as they are."""
@@ -63,11 +68,30 @@ class InteractionSet:
     def _side(self, side: str) -> DataFrame:
         return self.counts.join(self.regions.withColumnRenamed("region_id", f"{side}_id"), f"{side}_id").select("anchor_id", "target_id", "chr", "start", "end")
 
-    def anchors(self) -> DataFrame:
-        return self._side("anchor")
+    def dimnames(self) -> tuple[None, tuple[str, ...]]:
+        """Pairs have no names of their own; columns are named by library."""
+        return None, self.files
 
-    def targets(self) -> DataFrame:
-        return self._side("target")
+    def anchors(self, ids: bool = False) -> DataFrame:
+        """The first region of each pair, or its id alone."""
+        return self.counts.select("anchor_id", "target_id") if ids else self._side("anchor")
+
+    def targets(self, ids: bool = False) -> DataFrame:
+        return self.counts.select("target_id", "anchor_id") if ids else self._side("target")
+
+    def normalize(self, totals: dict[str, int], reference: str | None = None, weighted: bool = True) -> DataFrame:
+        """file, factor: scaling factors of the libraries; see `stats.tmm_factors`."""
+        return tmm_factors(self.counts, totals, reference or self.files[0], weighted=weighted)
+
+    def count_list(self, factors: DataFrame | None = None) -> DataFrame:
+        return count_list(self.info, factors)
+
+    def result_table(self, tests: DataFrame, p: str = "pvalue") -> DataFrame:
+        """Pairs with both regions, what ``tests`` has for them and the false discovery rate, least p first."""
+        side = lambda x: self.regions.select(F.col("region_id").alias(f"{x}_id"), *[F.col(c).alias(f"{x}_{c}") for c in ("chr", "start", "end")])
+        judged = bh_adjust(tests, p).join(side("anchor"), "anchor_id").join(side("target"), "target_id")
+        first = [f"{x}_{c}" for x in ("anchor", "target") for c in ("chr", "start", "end")]
+        return judged.select(*first, *[c for c in judged.columns if c not in first and not c.endswith("_id")]).orderBy(p, *first)
 
     def distances(self) -> DataFrame:
         """The counts with the distance between both regions; null between chromosomes."""

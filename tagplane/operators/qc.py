@@ -68,11 +68,15 @@ def catalog(pets: DataFrame) -> DataFrame:
     return pets.groupBy("file", "anchor_chr", "target_chr").agg(F.count("*").alias("n_pets"))
 
 
+def genome_conflicts(lengths: DataFrame) -> DataFrame:
+    """chr, length, n_files: entries of lengths(file, chr, length) that not all files have."""
+    n_files = lengths.agg(F.countDistinct("file")).first()[0]
+    return lengths.groupBy("chr", "length").agg(F.countDistinct("file").alias("n_files")).where(F.col("n_files") < n_files)
+
+
 def same_genome(lengths: DataFrame) -> bool:
     """Whether lengths(file, chr, length) has the same chromosomes and lengths for each file."""
-    n_files = lengths.select("file").distinct().count()
-    shared = lengths.groupBy("chr", "length").agg(F.countDistinct("file").alias("n"))
-    return shared.where(F.col("n") != n_files).limit(1).count() == 0
+    return genome_conflicts(lengths).limit(1).count() == 0
 
 
 def merge_libraries(pets: DataFrame, files: Sequence[str], name: str, lengths: DataFrame | None = None) -> DataFrame:
@@ -86,6 +90,6 @@ def merge_libraries(pets: DataFrame, files: Sequence[str], name: str, lengths: D
 
 def pooled_ends(discarded: DataFrame, seed: int = 1) -> DataFrame:
     """One end of each discarded pair, with flipped strand, chosen by a hash so that reruns agree."""
-    heads = F.pmod(F.xxhash64("chr", "start", "end", F.lit(seed)), F.lit(2)) == 0
+    heads = F.substring(F.md5(F.concat_ws(":", "chr", "start", "end", F.lit(seed))), 1, 1) < "8"
     pos = F.when(heads, F.col("start")).otherwise(F.col("end"))
     return discarded.select("chr", F.abs(pos).alias("pos"), F.when(heads, "+").otherwise("-").alias("strand"))

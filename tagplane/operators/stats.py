@@ -1,7 +1,8 @@
-"""Statistics on counts: abundances, scaling factors, tests with closed forms, multiple testing.
+"""Statistics on counts: abundances, scaling factors, tests with closed forms, multiple testing, designs.
 
-Scaling factors are the trimmed mean of log ratios without precision weights, a published method;
-log abundances add a prior count scaled by library size. Model fits with shrinkage are out of scope.
+Scaling factors are the trimmed mean of log ratios, with or without precision weights, a published
+method; log abundances add a prior count scaled by library size. Model fits with shrinkage are out of
+scope.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagplane.functions.graph import checkpoint
+from tagplane.functions.ordered import cumulated, least_from_here, quantiles
+
 
 def log_cpm(counts: DataFrame, totals: dict[str, int], prior: float = 2.0) -> DataFrame:
     """Log2 counts per million of each library; the prior is scaled by the library's share of the mean total."""
@@ -35,8 +39,8 @@ def scaled_threshold(counts: DataFrame, totals: dict[str, int], scale: float, fo
     """threshold: median log abundance on areas ``scale`` times as large, brought to this area, plus log2 fold."""
     mean = sum(totals.values()) / len(totals)
     scaled = reduce(add, [F.col(f"`{f}`") / F.lit(float(t)) * F.lit(mean) for f, t in totals.items()]) / len(totals)
-    level = F.log2((scaled / scale + 2.0) / (mean + 4.0) * 1e6)
-    return counts.agg((F.median(level) + F.log2(F.lit(fold))).alias("threshold"))
+    levels = counts.select(F.lit(0).alias("all"), F.log2((scaled / scale + 2.0) / (mean + 4.0) * 1e6).alias("level"))
+    return quantiles(levels, "all", "level", (0.5,)).select((F.col("quantiles")[0] + F.log2(F.lit(fold))).alias("threshold"))
 
 
 def ma_values(counts: DataFrame, one: str, two: str) -> DataFrame:
@@ -54,37 +58,59 @@ def hwe_chisq(aa: Column, ab: Column, bb: Column) -> tuple[Column, Column]:
     return stat, F.exp(-stat / 2)
 
 
-def bh_adjust(tests: DataFrame, p: str = "pvalue", keys: Sequence[str] = (), out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg: least p * n / rank from here up.
+def bh_adjust(tests: DataFrame, p: str = "pvalue", out: str = "fdr") -> DataFrame:
+    """Benjamini-Hochberg: least p * n / rank from here up; null p-values stay null and are no tests.
 
-    Ranks come from a count of rows per distinct p-value, so that ties cost nothing; the running
-    minimum is over distinct p-values, one row each.
+    Rows are counted per distinct p-value, so that ties cost nothing; ranks and running minima are taken
+    in parts of the ordered p-values.
     """
-    n = tests.where(F.col(p).isNotNull()).count()
+    tests = checkpoint(tests)
     each = tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = each.withColumn("_rank", F.sum("_n").over(up)).withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.lit(n) / F.col("_rank")).over(down)))
-    return tests.join(ranked.select(p, out), p, "left")
+    ranked = checkpoint(cumulated(each, (p,), "_n", "_rank"))
+    n = ranked.agg(F.max("_rank")).first()[0] or 0
+    adjusted = least_from_here(ranked, p, F.col(p) * F.lit(n) / F.col("_rank"), out)
+    return tests.join(adjusted.select(p, F.least(F.lit(1.0), out).alias(out)), p, "left")
 
 
-def tmm_factors(counts: DataFrame, totals: dict[str, int], reference: str, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
+def tmm_factors(counts: DataFrame, totals: dict[str, int], reference: str, trim_m: float = 0.3, trim_a: float = 0.05, weighted: bool = False) -> DataFrame:
     """file, factor: trimmed mean of log ratios to a reference column, scaled to a geometric mean of one.
 
     Rows with a zero on either side are left out; those outside the trimmed quantiles of ratio or
-    abundance too.
+    abundance too. Weights are the inverse of the variance that the counts of a row give its log ratio.
     """
-    ref = F.col(f"`{reference}`") / F.lit(float(totals[reference]))
-    long = None
+    counts = checkpoint(counts)
+    ref, ref_total = F.col(f"`{reference}`"), float(totals[reference])
+    shares = []
     for f, total in totals.items():
-        own = F.col(f"`{f}`") / F.lit(float(total))
-        part = counts.where((F.col(f"`{f}`") > 0) & (F.col(f"`{reference}`") > 0)).select(F.lit(f).alias("file"), F.log2(own / ref).alias("m"), (F.log2(own * ref) / 2).alias("a"))
-        long = part if long is None else long.unionByName(part)
-    quantiles = long.groupBy("file").agg(
-        F.percentile("m", F.array(F.lit(trim_m), F.lit(1 - trim_m))).alias("qm"), F.percentile("a", F.array(F.lit(trim_a), F.lit(1 - trim_a))).alias("qa")
-    )
-    kept = long.join(quantiles, "file").where("m between qm[0] - 1e-9 and qm[1] + 1e-9 and a between qa[0] - 1e-9 and qa[1] + 1e-9")
-    logs = kept.groupBy("file").agg(F.avg("m").alias("log_factor"))
-    mean = logs.agg(F.avg("log_factor").alias("mean"))
-    # One row per library on either side.
-    return logs.select("file", F.pow(F.lit(2.0), F.col("log_factor") - F.lit(mean.first()[0] or 0.0)).alias("factor"))
+        own = F.col(f"`{f}`")
+        ratio = F.log2(own / total / (ref / ref_total))
+        level = F.log2(own / total * (ref / ref_total)) / 2
+        spread = (1 - own / total) / own + (1 - ref / ref_total) / ref
+        both = F.struct(F.lit(f).alias("file"), ratio.alias("m"), level.alias("a"), (1 / spread).alias("w"))
+        shares.append(F.when((own > 0) & (ref > 0), both))
+    long = checkpoint(counts.select(F.explode(F.array_compact(F.array(*shares))).alias("x")).select("x.*"))
+    qm = quantiles(long, "file", "m", (trim_m, 1 - trim_m), "qm")
+    qa = quantiles(long, "file", "a", (trim_a, 1 - trim_a), "qa")
+    limits = F.broadcast(qm.join(qa, "file"))  # a row per library
+    kept = long.join(limits, "file").where("m between qm[0] - 1e-9 and qm[1] + 1e-9 and a between qa[0] - 1e-9 and qa[1] + 1e-9")
+    weight = F.when(F.col("w") > 0, F.col("w")).otherwise(1.0) if weighted else F.lit(1.0)
+    # The reference has no variance against itself: all its ratios are zero, whatever the weight.
+    logs = checkpoint(kept.groupBy("file").agg((F.sum(F.col("m") * weight) / F.sum(weight)).alias("log_factor")))
+    mean = logs.agg(F.avg("log_factor")).first()[0] or 0.0
+    return logs.select("file", F.pow(F.lit(2.0), F.col("log_factor") - F.lit(mean)).alias("factor"))
+
+
+def design(info: DataFrame, libraries: Sequence[str]) -> DataFrame:
+    """file, intercept, a 0/1 column for each library after the first, and hetero: a paired-samples design.
+
+    One row per column of the counts; ``info`` has file, libname and hetero.
+    """
+    others = [(F.col("libname") == x).cast("int").alias(x) for x in libraries[1:]]
+    return info.select("file", F.lit(1).alias("intercept"), *others, F.col("hetero").cast("int").alias("hetero"))
+
+
+def count_list(info: DataFrame, factors: DataFrame | None = None) -> DataFrame:
+    """file, lib_size, norm_factor: what a count model needs beside the counts; factors are one where none are given."""
+    if factors is None:
+        return info.select("file", F.col("totals").alias("lib_size"), F.lit(1.0).alias("norm_factor"))
+    return info.join(factors, "file", "left").select("file", F.col("totals").alias("lib_size"), F.coalesce("factor", F.lit(1.0)).alias("norm_factor"))

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagplane.sources import text
+from tagplane.sources.store import TagStore
 
 FILES = ("libF_AA", "libF_AB", "libF_BB", "libO_AA", "libO_AB", "libO_BB")
 
@@ -67,8 +74,31 @@ def _sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/shared"
+    return f"{shared.rstrip('/')}/fixtures/{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once in a session and read from the shared folder from then on.
+
+    It is dealt into as many files as there are cores, since the driver's tables are one file each.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = folder(spark)
+        make().repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def pets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, PETS, "lineitem")
+    """Tag pairs, stored as a tag table would be, so that queries read positions and do not derive them."""
+    return stored(spark, sf_dir, "pets", lambda: _sql(spark, sf_dir, PETS, "lineitem"))
 
 
 def lengths(spark: SparkSession) -> DataFrame:
@@ -87,6 +117,36 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, READS.replace("varchar({n})", "string"), "orders")
 
 
+def store(spark: SparkSession, sf_dir: str) -> TagStore:
+    """The pairs as a stored tag table with the lengths of each library; written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "store")
+    if key not in _stored:
+        path = folder(spark)
+        each = lengths(spark).withColumn("file", F.explode(F.array(*[F.lit(f) for f in FILES]))).select("file", "chr", "length")
+        TagStore(spark, path).write(pets(spark, sf_dir), each)
+        _stored[key] = path
+    return TagStore(spark, _stored[key])
+
+
+def fastq(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Paths of both mates' FASTQ text."""
+    record = lambda m: F.concat_ws("\n", *[F.col(f"{c}{m}") for c in ("header", "seq", "plus", "qual")])
+    paths = folder(spark), folder(spark)
+    for mate, path in enumerate(paths, 1):
+        text.write_lines(reads(spark, sf_dir), path, ("pair_id",), record(mate))
+    return paths
+
+
+def sam(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the alignments as SAM text: header lines first, then records by name."""
+    head = lengths(spark).select(F.lit("").alias("qname"), F.col("header_ord").alias("ord"), F.concat(F.lit("@SQ\tSN:"), "chr", F.lit("\tLN:"), "length").alias("line"))
+    fields = ("qname", "flag", "rname", "pos", "mapq", F.concat("qwidth", F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"))
+    body = alignments(spark, sf_dir).select("qname", "ord", F.concat_ws("\t", *fields).alias("line"))
+    path = folder(spark)
+    text.write_lines(head.unionByName(body), path, ("qname", "ord"), F.col("line"))
+    return path
+
+
 PETS_SQL = PETS.format(lineitem="lineitem")
 REGIONS_SQL = REGIONS.format(q='"', supplier="supplier")
 ALIGNMENTS_SQL = ALIGNMENTS.format(orders="orders")

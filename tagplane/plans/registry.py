@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagplane.functions import alignment
@@ -17,6 +17,8 @@ from tagplane.functions.tags import extended
 from tagplane.operators import clusters, counting, heatmap, linkers, pairing, qc, stats
 from tagplane.operators.interactions import InteractionSet
 from tagplane.plans import fixtures as fx
+from tagplane.sources import text
+from tagplane.sources.store import TagStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,9 +44,8 @@ _COUNTS = ", ".join(f"count(*) filter (file = '{f}') as \"{f}\"" for f in FILES)
 def _windows_cte(grid: Grid) -> str:
     s, left, right = grid.step, grid.left, grid.right
     return f"""lengths as ({fx.LENGTHS}),
-npt as (select chr, length, cast({grid.at_start} + (length - 1) // {s} + (case when {s} - (length - 1) % {s} <= {left} then 1 else 0 end) as bigint) as n from lengths),
-offs as (select chr, length, n, cast(coalesce(sum(n) over (order by chr rows between unbounded preceding and 1 preceding), 0) as bigint) as before from npt),
-win as (select chr, length, before + k as id, {grid.first} + (k - 1) * {s} as c from offs, unnest(generate_series(1, n)) as u(k))"""
+win as (select chr, length, 1 + m * {s} as c, cast(row_number() over (order by chr, m) as bigint) as id from lengths, unnest(generate_series(0, length // {s} + 1)) as u(m)
+  where 1 + m * {s} + {right} >= 1 and 1 + m * {s} - {left} <= length)"""
 
 
 def _window_oracle(grid: Grid, ext: int, least: int, restrict: tuple[str, ...] | None = None) -> str:
@@ -202,24 +203,43 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     return qc.catalog(fx.pets(spark, sf))
 
 
-@query(
-    "genome_check",
-    f"with l as (select f.file, l.chr, l.length from (select distinct file from ({fx.PETS_SQL})) f cross join ({fx.LENGTHS}) l) "
-    "select chr, length, count(distinct file) as n_files from l group by 1, 2",
-)
+#: The lengths of each library, as stored, and one library whose chrD is too short.
+_GENOMES = f"select f.file, l.chr, l.length from (select distinct file from ({fx.PETS_SQL})) f cross join ({fx.LENGTHS}) l"
+_BROKEN = "case when file = 'libO_BB' and chr = 'chrD' then length - 1 else length end"
+
+
+def _genomes(spark: SparkSession, sf: str) -> DataFrame:
+    stored = fx.store(spark, sf).lengths()
+    return stored.unionByName(fx.lengths(spark).select(F.lit("copy").alias("file"), "chr", "length"))
+
+
+@query("genome_check", f"with g as ({_GENOMES}), l as (select file, chr, {_BROKEN} as length from g union all select 'copy', chr, length from ({fx.LENGTHS})) "
+    "select chr, length, count(distinct file) as n_files from l group by 1, 2 having count(distinct file) < (select count(distinct file) from l)")
 def genome_check(spark: SparkSession, sf: str) -> DataFrame:
-    files = fx.pets(spark, sf).select("file").distinct()
-    each = files.groupBy().agg(F.collect_set("file").alias("files")).select(F.explode("files").alias("file"))  # one per library
-    lengths = fx.lengths(spark).withColumn("files", F.array(*[F.lit(f) for f in FILES])).select(F.explode("files").alias("file"), "chr", "length")
-    return lengths.join(each, "file", "left_semi").groupBy("chr", "length").agg(F.countDistinct("file").alias("n_files"))
+    short = F.when((F.col("file") == "libO_BB") & (F.col("chr") == "chrD"), F.col("length") - 1).otherwise(F.col("length"))
+    return qc.genome_conflicts(_genomes(spark, sf).withColumn("length", short))
+
+
+@query("genome_agrees", "select true as agrees")
+def genome_agrees(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(1).select(F.lit(qc.same_genome(_genomes(spark, sf))).alias("agrees"))
+
+
+@query("pooled_ends", f"""with d as (select anchor_chr as chr, -target_pos as s, anchor_pos as e from ({_FLAGS}) where anchor_chr = target_chr and flag = 2 and gap < 10000),
+h as (select *, substring(md5(concat_ws(':', chr, s, e, 1)), 1, 1) < '8' as heads from d)
+select chr, abs(case when heads then s else e end) as pos, case when heads then '+' else '-' end as strand from h""")
+def pooled_ends(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.pooled_ends(qc.stripped(fx.pets(spark, sf)))
 
 
 # --- interaction sets ---------------------------------------------------------------------------
 
 
 def _set(spark: SparkSession, sf: str) -> InteractionSet:
+    """Counts of region pairs as a stored interaction set, which the queries on sets start from."""
     pets, regions = fx.pets(spark, sf), fx.regions(spark, sf)
-    return InteractionSet.make(counting.count_regions(pets, regions, FILES, 1, 5), regions, FILES, counting.library_totals(pets))
+    counts = fx.stored(spark, sf, "region_counts", lambda: counting.count_regions(pets, regions, FILES, 1, 5))
+    return InteractionSet.make(counts, regions, FILES, counting.library_totals(pets))
 
 
 _RC = f"rc as ({_region_oracle(1, 5)})"
@@ -281,12 +301,37 @@ def default_totals(spark: SparkSession, sf: str) -> DataFrame:
     return InteractionSet.make(data.counts, data.regions, FILES).info
 
 
-@query("validity", "select 'order' as problem, cast(0 as bigint) as n where false")
+@query("validity", "with " + _RC + f""", r as ({fx.REGIONS_SQL})
+select problem, n from (
+  select 'order' as problem, count(*) as n from rc where anchor_id > target_id
+  union all select 'unknown_anchor', count(*) from rc where target_id not in (select region_id from r where region_id % 7 <> 0)
+  union all select 'unknown_target', count(*) from rc where anchor_id not in (select region_id from r where region_id % 7 <> 0)
+  union all select 'negative', count(*) from rc where "libF_AA" = 0
+  union all select 'libraries', 1 union all select 'totals', 1) where n > 0""")
 def validity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule that can be broken is: ids change sides, regions go, zeros turn negative, a library and a total are lost."""
+    data = _set(spark, sf)
+    turned = data.counts.select(F.col("target_id").alias("anchor_id"), F.col("anchor_id").alias("target_id"), F.when(F.col("libF_AA") == 0, -1).otherwise(F.col("libF_AA")).alias("libF_AA"), *FILES[1:])
+    info = data.info.where("file <> 'libF_AA'").withColumn("totals", F.when(F.col("file") != "libF_AB", F.col("totals")))
+    return InteractionSet(turned, info, data.regions.where("region_id % 7 <> 0"), FILES).problems()
+
+
+@query("valid_set", "select 'order' as problem, cast(0 as bigint) as n where false")
+def valid_set(spark: SparkSession, sf: str) -> DataFrame:
     return _set(spark, sf).problems()
 
 
-# --- ingest -------------------------------------------------------------------------------------
+@query("paired_design", "select file, 1 as intercept, cast(libname = 'libO' as int) as \"libO\", cast(hetero as int) as hetero from (values ('libFhom', 'libF', false), ('libFhet', 'libF', true), ('libOhom', 'libO', false), ('libOhet', 'libO', true)) as t(file, libname, hetero)")
+def paired_design(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.design(_set(spark, sf).compress().info, ("libF", "libO"))
+
+
+@query("count_list", f"select file, count(*) as lib_size, cast(1.0 as double) as norm_factor from ({fx.PETS_SQL}) group by 1")
+def count_list(spark: SparkSession, sf: str) -> DataFrame:
+    return _set(spark, sf).count_list()
+
+
+# --- sources and sinks --------------------------------------------------------------------------
 
 
 def _pairing_cte(dedup: bool, minq: int | None) -> str:
@@ -305,6 +350,60 @@ def _pairs_oracle(dedup: bool, minq: int | None) -> str:
   cast(case when f then s1 else s2 end as int) as anchor_pos, cast(case when f then s2 else s1 end as int) as target_pos from v"""
 
 
+_SAM_PAIRS = _pairs_oracle(True, None)
+
+
+@query("fastq_pairs", f"select row_number() over (order by pair_id) - 1 as pair_id, header1, seq1, plus1, qual1, header2, seq2, plus2, qual2 from ({fx.READS_SQL})")
+def fastq_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads as two FASTQ files, read again."""
+    return text.read_fastq_pairs(spark, *fx.fastq(spark, sf))
+
+
+@query("sam_header", f"select chr, length, header_ord from ({fx.LENGTHS})")
+def sam_header(spark: SparkSession, sf: str) -> DataFrame:
+    return text.sam_header(spark, fx.sam(spark, sf))
+
+
+@query("sam_alignments", f"select qname, row_number() over (order by qname, ord) + 4 as ord, flag, rname, pos, qwidth, mapq from ({fx.ALIGNMENTS_SQL})")
+def sam_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignments as SAM text with its header of five lines, read again."""
+    return text.read_sam(spark, fx.sam(spark, sf))
+
+
+@query("sam_pairs", _SAM_PAIRS)
+def sam_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag pairs from SAM text."""
+    path = fx.sam(spark, sf)
+    return pairing.pair_alignments(text.read_sam(spark, path), text.sam_header(spark, path), "lib")
+
+
+@query("read_regions", f'select region_id, chr, start, "end" from ({fx.REGIONS_SQL})')
+def read_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as a tab-separated file without order, read and numbered."""
+    path = fx.folder(spark)
+    text.write_table(fx.regions(spark, sf).select("chr", "start", "end").repartition(3), path)
+    return text.read_regions(spark, path).select("region_id", "chr", "start", "end")
+
+
+@query("discard_file", f"select anchor_chr as chr, -target_pos as start, anchor_pos as \"end\" from ({_FLAGS}) where anchor_chr = target_chr and flag = 2 and gap < 10000")
+def discard_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = fx.folder(spark)
+    text.write_table(qc.stripped(fx.pets(spark, sf)), path)
+    return spark.read.csv(path, sep="\t", schema="chr string, start int, end int")
+
+
+@query("store_catalog", f"select file, anchor_chr, target_chr, count(*) as n_pets from (select file, anchor_chr, target_chr from ({fx.PETS_SQL}) union all select 'libF_hom', anchor_chr, target_chr from ({fx.PETS_SQL}) where file in ('libF_AA', 'libF_BB')) group by 1, 2, 3")
+def store_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Two libraries merged into the stored table as one more."""
+    store = TagStore(spark, fx.folder(spark))
+    store.write(fx.pets(spark, sf), fx.store(spark, sf).lengths())
+    store.merge(("libF_AA", "libF_BB"), "libF_hom")
+    return store.catalog()
+
+
+# --- ingest -------------------------------------------------------------------------------------
+
+
 @query("pair_alignments", _pairs_oracle(True, None))
 def pair_alignments(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.pair_alignments(fx.alignments(spark, sf), fx.lengths(spark), "lib")
@@ -388,34 +487,38 @@ def heatmap_mirrored(spark: SparkSession, sf: str) -> DataFrame:
     return heatmap.heatmap_bins(fx.pets(spark, sf), _ONE, width=500, cap=20)
 
 
-_BOXES = f"""select cast(row_number() over (order by min_id) as bigint) as box_id, anchor_chr, target_chr, cast(x * 900 as int) as start_a, cast(x * 900 + 100 as int) as end_a,
-  cast(y * 900 as int) as start_t, cast(y * 900 + 100 as int) as end_t from (
-  select anchor_chr, target_chr, floor(abs(anchor_pos) / 900.0) as x, floor(abs(target_pos) / 900.0) as y, concat(anchor_chr, target_chr, cast(floor(abs(anchor_pos) / 900.0) as int), '.', cast(floor(abs(target_pos) / 900.0) as int)) as min_id
-  from ({{pets}}) where (abs(anchor_pos) * 7 + abs(target_pos)) % 11 = 0 group by 1, 2, 3, 4, 5) b"""
+#: Boxes of 100 bases around the corners of a grid of 900 that hold a pair; ids from the grid itself.
+_BOX_ID = "((strpos('ABCDM', right(anchor_chr, 1)) * 8 + strpos('ABCDM', right(target_chr, 1))) * 1000000 + x) * 1000000 + y"
+_BOXES_SQL = f"""select cast({_BOX_ID} as bigint) as box_id, anchor_chr, target_chr, x * 900 as start_a, x * 900 + 100 as end_a, y * 900 as start_t, y * 900 + 100 as end_t
+  from (select distinct anchor_chr, target_chr, cast(abs(anchor_pos) // 900 as bigint) as x, cast(abs(target_pos) // 900 as bigint) as y from ({fx.PETS_SQL}))"""
+_NEAR = "a.anchor_chr = o.anchor_chr and a.target_chr = o.target_chr and a.start_a < o.end_a + 801 and o.start_a < a.end_a + 801 and a.start_t < o.end_t + 801 and o.start_t < a.end_t + 801"
 
 
-def _all_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """The boxes of `_BOXES` made from every pair. There are as many as the grid of the genome has cells, at most."""
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Made from every pair; as many as the grid of the genome has cells, at most."""
     keys = ["anchor_chr", "target_chr"]
-    corner = lambda c: F.floor(F.abs(c) / 900.0).cast("int") * 900
-    cells = fx.pets(spark, sf).select(*keys, corner("anchor_pos").alias("start_a"), corner("target_pos").alias("start_t")).distinct()
-    ends = cells.select(*keys, "start_a", (F.col("start_a") + 100).alias("end_a"), "start_t", (F.col("start_t") + 100).alias("end_t"))
-    return ends.withColumn("box_id", F.row_number().over(Window.orderBy(*keys, "start_a", "start_t")).cast("long"))
+    corner = lambda c: F.floor(F.abs(c) / 900).cast("long")
+    place = lambda c: F.instr(F.lit("ABCDM"), F.substring(c, -1, 1)).cast("long")
+    cells = fx.pets(spark, sf).select(*keys, corner("anchor_pos").alias("x"), corner("target_pos").alias("y")).distinct()
+    box_id = ((place("anchor_chr") * 8 + place("target_chr")) * 1_000_000 + F.col("x")) * 1_000_000 + F.col("y")
+    span = lambda c, p: [(F.col(c) * 900).alias(f"start_{p}"), (F.col(c) * 900 + 100).alias(f"end_{p}")]
+    return cells.select(box_id.alias("box_id"), *keys, *span("x", "a"), *span("y", "t"))
 
 
-@query("cluster_boxes")
+@query(
+    "cluster_boxes",
+    f"""with recursive b as materialized ({_BOXES_SQL}), l as materialized (select a.box_id as a, o.box_id as b from b a join b o on a.box_id <> o.box_id and {_NEAR}),
+c(box_id, cluster_id) using key (box_id) as (select box_id, box_id from b union
+  select l.b, min(w.cluster_id) from c w join l on l.a = w.box_id join recurring.c o on o.box_id = l.b where w.cluster_id < o.cluster_id group by l.b)
+select box_id, cluster_id from c""",
+)
 def cluster_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.cluster_boxes(_all_boxes(spark, sf), 801)
+    return clusters.cluster_boxes(_boxes(spark, sf), 801)
 
 
-@query(
-    "cluster_links",
-    f"""with b as ({_BOXES.format(pets=fx.PETS_SQL)}) select a.box_id as a, o.box_id as b from b a join b o on a.anchor_chr = o.anchor_chr and a.target_chr = o.target_chr and a.box_id < o.box_id
-  and a.start_a < o.end_a + 801 and o.start_a < a.end_a + 801 and a.start_t < o.end_t + 801 and o.start_t < a.end_t + 801""",
-)
+@query("cluster_links", f"with b as ({_BOXES_SQL}) select a.box_id as a, o.box_id as b from b a join b o on a.box_id < o.box_id and {_NEAR}")
 def cluster_links(spark: SparkSession, sf: str) -> DataFrame:
-    boxes = spark.sql(_BOXES.format(pets=fx.PETS), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
-    return clusters.box_links(boxes, 801)
+    return clusters.box_links(_boxes(spark, sf), 801)
 
 
 # --- statistics ---------------------------------------------------------------------------------
@@ -426,7 +529,8 @@ _MEAN = sum(TOTALS.values()) / len(TOTALS)
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return counting.count_windows(fx.pets(spark, sf), fx.lengths(spark), FILES, Grid(5000), 1, 20)
+    """Counts of window pairs as a stored table, which the statistics start from."""
+    return fx.stored(spark, sf, "window_counts", lambda: counting.count_windows(fx.pets(spark, sf), fx.lengths(spark), FILES, Grid(5000), 1, 20))
 
 
 _CB = f"cb as ({_window_oracle(Grid(5000), 1, 20)})"
@@ -439,9 +543,9 @@ def log_cpm(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("anchor_id", "target_id", *[F.round(f, 6).alias(f) for f in FILES])
 
 
-@query("abundance_filter", f"with {_CB} select anchor_id, target_id, round(log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6), 6) as ave_log_cpm from cb where log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6) > 12.5")
+@query("abundance_filter", f"with {_CB} select anchor_id, target_id, round(log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6), 6) as ave_log_cpm from cb where log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6) > 9.0")
 def abundance_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.average_log_cpm(_counts(spark, sf), TOTALS).where("ave_log_cpm > 12.5").select("anchor_id", "target_id", F.round("ave_log_cpm", 6).alias("ave_log_cpm"))
+    return stats.average_log_cpm(_counts(spark, sf), TOTALS).where("ave_log_cpm > 9.0").select("anchor_id", "target_id", F.round("ave_log_cpm", 6).alias("ave_log_cpm"))
 
 
 @query("scaled_threshold", f"with {_CB} select round(median(log2(({_SCALED} / 4.0 + 2) / {_MEAN + 4} * 1e6)) + log2(5), 6) as threshold from cb")
@@ -487,21 +591,47 @@ def top_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TMM_PARTS = " union all ".join(
-    f"""select '{f}' as file, log2(("{f}" / {float(t)}) / ("libF_AA" / {float(TOTALS["libF_AA"])})) as m, log2(("{f}" / {float(t)}) * ("libF_AA" / {float(TOTALS["libF_AA"])})) / 2 as a from cb where "{f}" > 0 and "libF_AA" > 0"""
+    f"""select '{f}' as file, "{f}" / {float(t)} as x, "libF_AA" / {float(TOTALS["libF_AA"])} as r, "{f}" as o, "libF_AA" as q from cb where "{f}" > 0 and "libF_AA" > 0"""
     for f, t in TOTALS.items()
 )
 
 
-@query(
-    "tmm_factors",
-    f"""with {_CB}, l as ({_TMM_PARTS}), q as (select file, quantile_cont(m, 0.3) - 1e-9 as m0, quantile_cont(m, 0.7) + 1e-9 as m1, quantile_cont(a, 0.05) - 1e-9 as a0, quantile_cont(a, 0.95) + 1e-9 as a1 from l group by 1),
-g as (select file, avg(m) as lf from l join q using (file) where m between m0 and m1 and a between a0 and a1 group by 1)
-select file, round(power(2, lf - (select avg(lf) from g)), 6) as factor from g""",
-)
+def _tmm_oracle(weight: str) -> str:
+    return f"""with {_CB}, parts as ({_TMM_PARTS}), l as (select file, log2(x / r) as m, log2(x * r) / 2 as a, {weight} as w from parts),
+q as (select file, quantile_cont(m, 0.3) - 1e-9 as m0, quantile_cont(m, 0.7) + 1e-9 as m1, quantile_cont(a, 0.05) - 1e-9 as a0, quantile_cont(a, 0.95) + 1e-9 as a1 from l group by 1),
+g as (select file, sum(m * w) / sum(w) as lf from l join q using (file) where m between m0 and m1 and a between a0 and a1 group by 1)
+select file, round(power(2, lf - (select avg(lf) from g)), 6) as factor from g"""
+
+
+@query("tmm_factors", _tmm_oracle("1.0"))
 def tmm_factors(spark: SparkSession, sf: str) -> DataFrame:
     return stats.tmm_factors(_counts(spark, sf), TOTALS, "libF_AA").select("file", F.round("factor", 6).alias("factor"))
 
 
+@query("normalize", _tmm_oracle("1 / ((1 - x) / o + (1 - r) / q)"))
+def normalize(spark: SparkSession, sf: str) -> DataFrame:
+    data = InteractionSet.make(_counts(spark, sf), make_windows(fx.lengths(spark), Grid(5000)).withColumnRenamed("window_id", "region_id"), FILES)
+    return data.normalize(TOTALS, "libF_AA").select("file", F.round("factor", 6).alias("factor"))
+
+
+@query(
+    "result_table",
+    f"""with {_HWE}, {_windows_cte(Grid(5000))}, w as (select id, chr, greatest(1, c) as s, least(length, c + 4999) as e from win),
+q as (select anchor_id, target_id, round(exp(-x / 2), 8) as pvalue from t), r as (select *, count(*) over () as n, count(*) over (order by pvalue) as rk from q)
+select a.chr as anchor_chr, cast(a.s as int) as anchor_start, cast(a.e as int) as anchor_end, t.chr as target_chr, cast(t.s as int) as target_start, cast(t.e as int) as target_end, pvalue,
+  round(least(1.0, min(pvalue * n / rk) over (order by rk desc)), 6) as fdr from r join w a on a.id = anchor_id join w t on t.id = target_id""",
+)
+def result_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The ordered table of results as a tab-separated file with a header, read again."""
+    windows = make_windows(fx.lengths(spark), Grid(5000)).withColumnRenamed("window_id", "region_id")
+    data = InteractionSet.make(_counts(spark, sf), windows, FILES)
+    rows = data.result_table(_hwe(spark, sf).select("anchor_id", "target_id", "pvalue"))
+    path = fx.folder(spark)
+    text.write_table(rows.withColumn("fdr", F.round("fdr", 6)), path, header=True)
+    sides = ", ".join(f"{x}_chr string, {x}_start int, {x}_end int" for x in ("anchor", "target"))
+    return spark.read.csv(path, sep="\t", header=True, schema=f"{sides}, pvalue double, fdr double")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window-pair counts of the smallest tables, with a filter that leaves rows."""
     return counting.count_windows(fx.pets(spark, sf_dir), fx.lengths(spark), FILES, Grid(5000), 1, 5)

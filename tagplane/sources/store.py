@@ -20,6 +20,7 @@ class TagStore:
 
     spark: SparkSession
     path: str
+    rows_per_file: int = 5_000_000
 
     def versions(self) -> list[int]:
         try:
@@ -34,7 +35,11 @@ class TagStore:
     def write(self, pets: DataFrame, lengths: DataFrame) -> int:
         """Store pairs(file, anchor_chr, ...) and lengths(file, chr, length); returns the version."""
         v = self._next()
-        spread = pets.repartition("file", "anchor_chr", "target_chr", F.pmod(F.hash("anchor_pos", "target_pos"), F.lit(8)))
+        keys = ["file", "anchor_chr", "target_chr"]
+        # A row per library and chromosome pair: how many files its pairs are dealt into.
+        pieces = pets.groupBy(*keys).agg(F.ceil(F.count("*") / self.rows_per_file).cast("int").alias("_pieces"))
+        dealt = pets.join(F.broadcast(pieces), keys).withColumn("_piece", F.pmod(F.hash("anchor_pos", "target_pos"), F.col("_pieces")))
+        spread = dealt.repartition(*keys, "_piece").drop("_piece", "_pieces")
         spread.write.mode("overwrite").partitionBy("file", "anchor_chr", "target_chr").parquet(f"{self.path}/pets/v{v}")
         lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/v{v}")
         # The version counts once this row is there.

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, value of one text file, whatever splits it is read in.
+    """line, value of a text file or of the part files of a folder in order of name, whatever splits they are read in.
 
-    Lines are counted within each split; a split starts where the lines of the splits before it end.
+    Lines are counted within each split; a split starts where the lines of the splits before it end. A
+    compressed file has one split: large ones should be compressed in blocks or stored as parts.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    raw = spark.read.text(path).select("value", block.alias("block"), F.monotonically_increasing_id().alias("id"))
     starts = raw.groupBy("block").agg(F.count("*").alias("n"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -83,4 +85,10 @@ def number_regions(regions: DataFrame) -> DataFrame:
 
 
 def write_table(rows: DataFrame, path: str, header: bool = False) -> None:
+    """Tab-separated part files; ordered rows stay in order over the names of the parts."""
     rows.write.mode("overwrite").csv(path, sep="\t", header=header)
+
+
+def write_lines(rows: DataFrame, path: str, order: tuple[str, ...], value: Column) -> None:
+    """Text of each row, in order over the names of the parts."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(value.alias("value")).write.mode("overwrite").text(path)

@@ -5,15 +5,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tagplane.functions import graph, ordered
 from tagplane.functions.alignment import scores
 from tagplane.functions.intervals import Grid
-from tagplane.operators import clusters
+from tagplane.operators import clusters, stats
 from tagplane.operators.counting import count_windows
 from tagplane.operators.heatmap import Span, heatmap_bins, write_svg
 from tagplane.operators.interactions import InteractionSet
 from tagplane.operators.linkers import split_linkers
 from tagplane.operators.pairing import pair_alignments, pair_diagnostics
-from tagplane.plans import fixtures as fx, registry
+from tagplane.plans import fixtures as fx
 from tagplane.schema import ALIGNMENTS, PETS
 from tagplane.sources import text
 from tagplane.sources.store import TagStore
@@ -133,24 +134,52 @@ def test_clusters_are_single_linkage(spark):
     assert got == {i: find(i) for i in range(len(boxes))}
 
 
-def test_cluster_query_takes_every_pair(spark):
-    pairs = fx.pets(spark, SF).collect()
-    cells = sorted({(r["anchor_chr"], r["target_chr"], abs(r["anchor_pos"]) // 900, abs(r["target_pos"]) // 900) for r in pairs})
-    number = {c: i + 1 for i, c in enumerate(cells)}
-    want = {}
-    for c in cells:
-        if c in want:
-            continue
-        # Boxes of 100 with 800 between are near just where their cells touch.
-        want[c], todo = number[c], [c]
-        while todo:
-            a, t, x, y = todo.pop()
-            for near in ((a, t, x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                if near in number and near not in want:
-                    want[near] = number[c]
-                    todo.append(near)
-    got = {r["box_id"]: r["cluster_id"] for r in registry.cluster_boxes(spark, SF).collect()}
-    assert got == {number[c]: k for c, k in want.items()}
+@pytest.mark.parametrize("kind", ["chain", "grid", "hub", "none"])
+def test_components_of_long_and_wide_graphs(spark, kind):
+    """Chains and grids with numbers in any order, and a node with very many links."""
+    rng = random.Random(8)
+    name = list(range(900))
+    rng.shuffle(name)
+    links = {
+        "chain": [(name[i], name[i + 1]) for i in range(400)] + [(name[i], name[i + 1]) for i in range(500, 600)],
+        "grid": [(name[30 * i + j], name[30 * i + j + d]) for i in range(29) for j in range(29) for d in (1, 30)],
+        "hub": [(500, i) for i in range(400)] + [(3, 3), (7, 500), (700, 701)],
+        "none": [],
+    }[kind]
+    up = {x: x for link in links for x in link if link[0] != link[1]}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(up) and all(r["component"] == find(r["node"]) for r in got)
+
+
+def test_sorted_quantiles_and_adjusted_values(spark):
+    """Ties, nulls and single values against sorting by hand."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice((0.1, 0.25, rng.random()))) for k in ("x", "y") for _ in range(301)] + [("z", 5.0), ("z", None)]
+    shares = (0.0, 0.3, 0.5, 0.95, 1.0)
+    df = spark.createDataFrame(rows, "k string, v double")
+    for r in ordered.quantiles(df, "k", "v", shares).collect():
+        own = sorted(v for k, v in rows if k == r["k"] and v is not None)
+        for p, q in zip(shares, r["quantiles"], strict=True):
+            at = p * (len(own) - 1)
+            lo = int(at)
+            hi = min(lo + 1, len(own) - 1)
+            assert q == pytest.approx(own[lo] + (at - lo) * (own[hi] - own[lo]))
+    adjusted = {(r["k"], r["v"]): r["fdr"] for r in stats.bh_adjust(df.where("k <> 'z'").unionByName(df.where("v is null")), "v").collect()}
+    ps = sorted(v for k, v in rows if k != "z")
+    for (k, v), fdr in adjusted.items():
+        want = None if v is None else min(1.0, min(p * len(ps) / sum(x <= p for x in ps) for p in set(ps) if p >= v))
+        assert fdr == (None if want is None else pytest.approx(want))
+    assert stats.bh_adjust(df.limit(0), "v").count() == 0
 
 
 def test_heatmap_picture_and_sets(spark, tmp_path):
@@ -163,7 +192,12 @@ def test_heatmap_picture_and_sets(spark, tmp_path):
     counts = spark.createDataFrame([(2, 1, 3, 4), (1, 2, -1, 0)], "anchor_id long, target_id long, x_AA int, x_AB int")
     regions = spark.createDataFrame([(1, "chrA", 1, 5, 0)], "region_id long, chr string, start int, end int, original long")
     data = InteractionSet.make(counts, regions, ("x_AA", "x_AB"))
-    assert {tuple(r) for r in data.problems().collect()} == {("order", 1), ("negative", 1), ("unknown_region", 2)}
+    assert {tuple(r) for r in data.problems().collect()} == {("order", 1), ("negative", 1), ("unknown_anchor", 1), ("unknown_target", 1)}
+    odd = spark.createDataFrame([(None, 1, 3, 4), (0, -1, 1, 1), (1, 1, None, 0)], "anchor_id long, target_id long, x_AA int, x_AB int")
+    info = spark.createDataFrame([("x_AA", "many"), ("x_AB", "7")], "file string, totals string")
+    found = {tuple(r) for r in InteractionSet(odd, info, regions, ("x_AA", "x_AB")).problems().collect()}
+    assert found == {("missing_id", 1), ("anchor_not_positive", 1), ("target_not_positive", 1), ("negative", 1), ("unknown_anchor", 1), ("unknown_target", 1), ("totals", 1)}
+    assert data.dimnames() == (None, ("x_AA", "x_AB")) and data.anchors(ids=True).columns == ["anchor_id", "target_id"]
     assert data.dim() == (2, 2)
     rolled = data.compress()
     assert rolled.files == ("xhom", "xhet")
