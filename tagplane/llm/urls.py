@@ -2,8 +2,10 @@
 
 Hosts and links between them form a graph. Trust spreads by personalised PageRank from the hosts
 that allow rules cover; distrust spreads the same way against the direction of links from hosts that
-block rules cover or that are listed. A host is blocked where its distrust outweighs its trust.
-DataFrame functions only; the graph is a table of weighted edges, each round a join and a sum.
+block rules cover or that a block list names. Lists and rules of other urls are seeds and no more: a
+host is blocked where its distrust outweighs its trust.
+DataFrame functions only; the graph is a table of weighted edges, each round a join and a sum. The
+links of a host that has very many are split, and the host's rank is sent to each piece.
 
 Defined cases: a null url or one without `://` has an empty host and path, no rule, and is allowed;
 null html has no links; repeated pages count once per host and target; an empty table gives an
@@ -52,6 +54,8 @@ ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
 #: A host is blocked where distrust is above this many times its trust.
 RATIO = 1.0
 SALTS = 32
+#: Links out of a host that one piece of it holds, about.
+LINKS_PER_PIECE = 50_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -100,20 +104,26 @@ def page_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
     """
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
     restart = small(seeds.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).join(total, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass")))
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    moves = small(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * damping).alias("part")))
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / LINKS_PER_PIECE).cast("int").alias("pieces"))
+    out = checkpoint(out)
+    dealt = F.pmod(F.xxhash64("dst"), F.col("pieces")).cast("int")
+    moves = small(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), dealt.alias("piece"), "dst", (F.col("weight") / F.col("out") * damping).alias("part")))
     n = tasks(edges.count())
-    rank = restart.select("kind", "host", F.col("mass").alias("score"))
-    again = restart.select("kind", "host", (F.col("mass") * (1.0 - damping)).alias("score"))
+    rank = restart.select("kind", "host", F.col("mass").alias("score"), F.lit(1).alias("pieces"))
+    # What each round adds anew: the restarts, and the number of pieces of hosts that have more than one.
+    split = out.where("pieces > 1").select("kind", F.col("src").alias("host"), F.lit(0.0).alias("score"), "pieces")
+    again = restart.select("kind", "host", (F.col("mass") * (1.0 - damping)).alias("score"), F.lit(1).alias("pieces")).unionByName(split)
+    rank = small(rank.unionByName(split).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("pieces").alias("pieces")))
     while True:
-        sent = rank.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part")).alias("score"))
-        was = rank.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        spread = rank.select("kind", "host", "score", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        sent = spread.join(moves, ["kind", "host", "piece"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part")).alias("score"), F.lit(1).alias("pieces"))
+        was = rank.select("kind", "host", F.lit(0.0).alias("score"), "pieces", F.col("score").alias("was"))
         now = sent.unionByName(again).withColumn("was", F.lit(0.0)).unionByName(was)
-        both = checkpoint(now.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")).coalesce(n))
-        rank = both.select("kind", "host", "score")
+        both = checkpoint(now.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("pieces").alias("pieces"), F.sum("was").alias("was")).coalesce(n))
+        rank = both.select("kind", "host", "score", "pieces")
         change = both.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("change")).agg(F.max("change")).first()[0]
         if (change or 0.0) <= tolerance:
-            return rank
+            return rank.select("kind", "host", "score")
 
 
 def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_labels: tuple[str, ...] = BLOCKED_LABELS, ratio: float = RATIO) -> DataFrame:
@@ -135,7 +145,7 @@ def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_lab
     rank = page_rank(forwards.unionByName(backwards), trusted.unionByName(bad))
     by_host = rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")])
     scored = hosts.join(by_host, "host", "left").fillna(0.0, ["trust", "distrust"])
-    over = F.col("listed") | (F.col("distrust") > F.col("trust") * ratio)
+    over = F.col("distrust") > F.col("trust") * ratio
     return scored.select("host", "trust", "distrust", F.when(over, "block").otherwise("allow").alias("verdict"))
 
 
