@@ -3,8 +3,8 @@
 The score of a text is sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j). The pairwise sum is
 taken in linear time as half of (square of sums minus sum of squares) for each factor. Features:
 
-* each word of the text, hashed to one of ``WORD_BUCKETS`` (value: one over the number of words; each
-  occurrence is a feature of its own, so no counting is needed);
+* the words of the text, hashed to ``WORD_BUCKETS`` buckets (value: the share of the text's words that
+  the bucket holds; a word that is repeated is one feature, in the fit as in the score);
 * form statistics (see `textstats`), each in a bucket of its own range (value one);
 * metadata: the bucket of the stated n_chars, where the table has it.
 
@@ -13,7 +13,8 @@ reads every text whole, one slice of a batch at a time.
 
 Defined cases: null and empty texts score by their form alone; a null or absent n_chars has a bucket
 of its own; repeated rows score alike; an empty table gives an empty result; without labels of both
-kinds the model gives one half plus the share of good labels, so nothing is learned; input columns
+kinds the model gives every text the share of good labels, so nothing is learned; of several rows with
+one labelled id the fit takes the one whose features are least in byte order; input columns
 that clash with the added ones are kept apart by the prefix `_fm_`.
 """
 
@@ -70,8 +71,12 @@ def form_features(words: Words, n_chars: np.ndarray) -> np.ndarray:
     return WORD_BUCKETS + np.stack(bins, axis=1) + np.arange(len(bins)) * (N_BINS + 1)
 
 
-def word_buckets(words: Words) -> np.ndarray:
-    return (words.hashes % U64(WORD_BUCKETS)).astype(np.int64)
+def word_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of each text's words, the share of its words in each, and where each text's buckets start."""
+    key = words.doc * WORD_BUCKETS + (words.hashes % U64(WORD_BUCKETS)).astype(np.int64)
+    seen, times = np.unique(key, return_counts=True)
+    doc = seen // WORD_BUCKETS
+    return seen % WORD_BUCKETS, times / words.counts()[doc], np.searchsorted(doc, np.arange(words.n + 1))
 
 
 @dataclass
@@ -81,17 +86,16 @@ class Model:
     factors: np.ndarray  # SIZE x FACTORS
 
     def margins(self, words: Words, n_chars: np.ndarray) -> np.ndarray:
+        """Half of (square of sums minus sum of squares) for each factor, over the features of `features`."""
         form = form_features(words, n_chars)
-        counts = np.maximum(words.counts(), 1).astype(np.float64)
-        bucket = word_buckets(words)
-        filled = np.flatnonzero(words.counts())
-        at = np.concatenate([[0], np.cumsum(words.counts())])[:-1][filled]
+        bucket, value, starts = word_features(words)
         each = np.concatenate([self.linear[:, None], self.factors, (self.factors**2).sum(axis=1)[:, None]], axis=1).astype(np.float32)
+        rows = each[bucket] * value[:, None].astype(np.float32)
+        rows[:, -1] *= value
         sums = np.zeros((words.n, each.shape[1]))
-        if len(at):
-            sums[filled] = np.add.reduceat(each[bucket], at, axis=0, dtype=np.float64)
-        sums[:, :-1] /= counts[:, None]
-        sums[:, -1] /= counts**2
+        filled = np.flatnonzero(np.diff(starts))
+        if len(filled):
+            sums[filled] = np.add.reduceat(rows, starts[filled], axis=0, dtype=np.float64)
         sums += each[form].sum(axis=1)
         return self.bias + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(axis=1) - sums[:, -1])
 
@@ -138,37 +142,37 @@ def _n_chars(docs: DataFrame) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, unseen: Column, limit: int) -> DataFrame:
-    """label, bucket ids and values of the sampled rows."""
+    """doc_id, label, feature ids and values of the sampled documents, one row each."""
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .where(~unseen)
-        .groupBy("doc_id")
-        .agg(F.max("quality").alias("_fm_label"))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.max("quality").cast("int").alias("_fm_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), _n_chars(docs).alias("n_chars"))
-    rows = rows.join(F.broadcast(known), "doc_id").select("_fm_label", "text", "n_chars")  # limit rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _n_chars(docs).alias("n_chars"))
+    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "_fm_label", "text", "n_chars")  # limit rows at most
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chars = batch.column(2).fill_null(-1).to_numpy(zero_copy_only=False)
-            for words in word_slices(batch.column(1), lower=True):
-                form, bucket = form_features(words, chars[words.rows]), word_buckets(words)
-                ids, values = [], []
-                for d, (lo, hi) in enumerate(zip(*(np.searchsorted(words.doc, np.arange(words.n), side=s) for s in ("left", "right")), strict=True)):
-                    seen, times = np.unique(bucket[lo:hi], return_counts=True)
-                    ids.append(np.concatenate([seen, form[d]]).astype(np.int32).tobytes())
-                    values.append(np.concatenate([times / max(hi - lo, 1), np.ones(form.shape[1])]).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.n), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["label", "ids", "vals"])
+            chars = batch.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
+            for words in word_slices(batch.column(2), lower=True):
+                form, (bucket, value, starts) = form_features(words, chars[words.rows]), word_features(words)
+                own = [slice(starts[d], starts[d + 1]) for d in range(words.n)]
+                ids = [np.concatenate([bucket[x], form[d]]).astype(np.int32).tobytes() for d, x in enumerate(own)]
+                values = [np.concatenate([value[x], np.ones(form.shape[1])]).astype(np.float32).tobytes() for x in own]
+                part = batch.slice(words.first, words.n)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "label", "ids", "vals"])
 
-    return rows.mapInArrow(sparse, "label int, ids binary, vals binary")
+    made = rows.mapInArrow(sparse, "doc_id long, label int, ids binary, vals binary")
+    return made.groupBy("doc_id").agg(F.min(F.struct("ids", "vals", "label")).alias("one")).select("doc_id", "one.label", "one.ids", "one.vals")
 
 
 def train(docs: DataFrame, labels: DataFrame, unseen: Column | None = None, limit: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``limit`` labelled documents (repeated rows of one id: one is drawn)."""
-    rows = training_rows(docs, labels, F.lit(False) if unseen is None else unseen, limit).limit(2 * limit).collect()
-    rows.sort(key=lambda r: (bytes(r["ids"]), bytes(r["vals"]), r["label"]))
+    """Fit on at most ``limit`` labelled documents, those whose ids have the lowest hashes."""
+    rows = training_rows(docs, labels, F.lit(False) if unseen is None else unseen, limit).collect()  # limit rows at most
+    rows.sort(key=lambda r: (bytes(r["ids"]), bytes(r["vals"]), r["label"], r["doc_id"]))
     ids = [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in rows]
     values = [np.frombuffer(r["vals"], np.float32).astype(np.float64) for r in rows]
     return fit(ids, values, np.array([r["label"] for r in rows], np.float64))

@@ -38,6 +38,39 @@ def test_patterns_are_votes():
     assert (qr.votes_of(codes, 3) == all_votes).all()
 
 
+def test_verdict_against_plain_expectation_maximisation(spark):
+    """The estimates again, text by text in plain Python, and the posterior of each text."""
+    rows = qr.posteriors(qr.form_counts(spark.read.parquet(f"{SF}/documents.parquet"))).collect()
+    votes = []
+    for r in rows:
+        one = []
+        for rule in qr.RULES:
+            x = float(r[rule.over]) if rule.under == "one" else r[rule.over] / max(r[rule.under], 1)
+            one.append(-1 if x < rule.bad_below or x > rule.bad_above else int(rule.good_from <= x <= rule.good_to))
+        votes.append(one)
+    good = [0.1 if -1 in v else 0.95 for v in votes]
+    last = -1.0
+    for _ in range(200):
+        hits, alarms = [], []
+        for k in range(len(qr.RULES)):
+            of = lambda weigh, what: sum(weigh(g) for g, v in zip(good, votes, strict=True) if v[k] in what)  # noqa: B023, E731
+            hit = (of(lambda g: 1 - g, (-1,)) + 0.6) / (of(lambda g: 1 - g, (-1, 1)) + 2)
+            hits.append(hit)
+            alarms.append(min((of(lambda g: g, (-1,)) + 0.02) / (of(lambda g: g, (-1, 1)) + 2), hit / 2))
+        share = min(max((sum(good) + 9) / (len(good) + 10), 0.02), 0.998)
+        good = []
+        for v in votes:
+            fine, bad = share, 1 - share
+            for x, h, a in zip(v, hits, alarms, strict=True):
+                fine *= a if x == -1 else 1 - a if x == 1 else 1
+                bad *= h if x == -1 else 1 - h if x == 1 else 1
+            good.append(fine / (fine + bad))
+        if abs(share - last) < 1e-9:
+            break
+        last = share
+    assert all(r["posterior"] == pytest.approx(g, abs=1e-6) for r, g in zip(rows, good, strict=True))
+
+
 def test_rules_query(spark, small_texts):
     got = {r["doc_id"]: r for r in qr.op2_weak_rules(spark, SF).collect()}
     assert got.keys() == small_texts.keys()
@@ -58,22 +91,44 @@ def test_rules_odd_rows(spark, odd_docs, no_docs):
     assert qr.posteriors(qr.form_counts(no_docs)).count() == 0
 
 
+def brute_margin(model, hashes, form):
+    """The sum over all pairs of features; a bucket's value is its share of the words."""
+    times = {}
+    for h in hashes:
+        times[h] = times.get(h, 0) + 1
+    feats = [(b, t / len(hashes)) for b, t in times.items()] + [(f, 1.0) for f in form]
+    want = model.bias + sum(model.linear[i] * x for i, x in feats)
+    return want + sum(model.factors[i] @ model.factors[j] * a * b for (i, a), (j, b) in itertools.combinations(feats, 2))
+
+
 def test_pairwise_identity():
-    """The linear-time sum equals the sum over pairs."""
+    """The linear-time sum equals the sum over pairs, repeated words included."""
     draw = np.random.Generator(np.random.PCG64(1))
     model = qm.Model(0.3, draw.normal(0, 1, qm.SIZE), draw.normal(0, 0.3, (qm.SIZE, qm.FACTORS)))
-    texts = pa.array(["One two, three two!", "", None, "THE!! END!!"])
+    texts = pa.array(["One two, three two!", "", None, "THE!! END!!", "spam " * 20])
     part = next(word_slices(texts, lower=True))
-    chars = np.array([18, 0, -1, 11])
+    chars = np.array([18, 0, -1, 11, 100])
     form = qm.form_features(part, chars)
-    bucket = qm.word_buckets(part)
+    bucket = (part.hashes % np.uint64(qm.WORD_BUCKETS)).astype(np.int64)
     for d, got in enumerate(model.margins(part, chars)):
-        mine = bucket[part.doc == d]
-        ids = np.concatenate([mine, form[d]])
-        x = np.concatenate([np.full(len(mine), 1 / max(len(mine), 1)), np.ones(form.shape[1])])
-        want = model.bias + (model.linear[ids] * x).sum()
-        want += sum(model.factors[i] @ model.factors[j] * a * b for (i, a), (j, b) in itertools.combinations(zip(ids, x, strict=True), 2))
-        assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+        assert got == pytest.approx(brute_margin(model, bucket[part.doc == d].tolist(), form[d]), rel=1e-4, abs=1e-4)
+
+
+def test_fit_and_score_use_one_formula(spark):
+    """The features that the fit gets give the margins that the scorer gives, repeated words included."""
+    draw = np.random.Generator(np.random.PCG64(2))
+    model = qm.Model(-0.2, draw.normal(0, 1, qm.SIZE), draw.normal(0, 0.3, (qm.SIZE, qm.FACTORS)))
+    texts = {1: "again " * 30, 2: "a fine text of some words, and a few words more", 3: "", 4: None}
+    docs = spark.createDataFrame([(i, t, 50) for i, t in texts.items()] + [(2, texts[2], 50)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, 1) for i in texts], "doc_id long, quality int")
+    rows = qm.training_rows(docs, labels, F.lit(False), 100).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 2, 3, 4]
+    score = {r["doc_id"]: r["_fm_score"] for r in qm.scored(docs, model).collect()}
+    for r in rows:
+        ids, x = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["vals"], np.float32).astype(float)
+        xv = model.factors[ids] * x[:, None]
+        margin = model.bias + model.linear[ids] @ x + 0.5 * ((xv.sum(axis=0) ** 2).sum() - (xv**2).sum())
+        assert score[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-5)
 
 
 def test_model_query(spark):
