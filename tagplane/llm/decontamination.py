@@ -1,19 +1,25 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are stripped of outer punctuation and lower-cased; numbers, units and names become typed
-placeholders and their values slots. Windows of ``WIDTH`` such words are hashed and joined with the
-windows of the benchmark items. Along one alignment (document position minus item position) the slot
-values must map one to one: `Ann has 3 apples` in the benchmark and `Bob has 7 apples` in a document
-are the same question, `3 and 3` against `7 and 8` are not. A document leaks an item if the windows
-that hold cover enough of it.
-
-A window with few plain words would match anything, so its slot values count as words. An item that is
-shorter than a window is one window of its own width. Before the join, a bitmap of fixed size (2 MB,
-whatever the size of the benchmark) tells which windows can be in the benchmark at all.
+placeholders and their values slots. Windows of such words are hashed and joined with the windows of
+the benchmark items. Along one alignment (document position minus item position) the slot values must
+map one to one: `Ann has 3 apples` in the benchmark and `Bob has 7 apples` in a document are the same
+question, `3 and 3` against `7 and 8` are not. A document leaks an item if the windows that hold cover
+``COVERAGE`` of the item's words.
+
+A capitalised word that opens a text or a sentence may be a name or not, so windows with such a word
+are made in both readings. Beside the template windows there is one of plain lower-case words at each
+position, which holds whatever the case of its letters and however many slots it has; half of the words
+of a template window, and three at least, are plain, since fewer would match anything. A window has a third of the words
+of its item, from ``LEAST`` to ``WIDTH`` (an item with fewer is one window), so that one edited word does
+not break all windows of a short item. Before the join, a bitmap of fixed size (2 MB, whatever the size
+of the benchmark) tells which windows can be in the benchmark at all; a window that very many items
+share is a skewed key that adaptive execution splits.
 
 Defined cases: null or wordless texts and items have no windows and leak nothing; texts are read whole;
-repeated rows of one id count as one document; ids that are null are left out of the pairs (and such
-documents stay in the pipeline); empty tables give an empty result; other columns are ignored.
+repeated rows of one id count as one document; items that share an id are compared each by itself and
+reported by their best; ids that are null are left out of the pairs (and such documents stay in the
+pipeline); empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagplane.llm.common import checkpoint, table
-from tagplane.llm.words import U64, Words, bare_spans, lowered, mix, span_hashes, word_slices
+from tagplane.llm.words import U64, Words, bare_spans, lowered, mix, rolling_hashes, span_hashes, word_slices
 
-WIDTH = 8
-#: Least share of an item's windows that must hold.
+WIDTH, LEAST = 8, 4
+#: Least share of an item's words that windows must cover.
 COVERAGE = 0.5
-#: Plain words that a window needs for its slots to be free.
-PLAIN = 4
 BITS = 24
 #: Units of measurement and money, lower case.
 UNITS = (
@@ -58,8 +62,9 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its hash, the hash with placeholders, and whether it is a slot."""
+def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: its hash, the hash with placeholders, whether it is a slot, and whether it is a
+    capitalised opener, which may be a name or not."""
     data = words.data
     starts, ends = bare_spans(words)
     value = span_hashes(lowered(data), starts, ends)
@@ -69,30 +74,37 @@ def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.zeros(len(starts), bool)
     if len(starts):
         inside[1:] = (words.doc[1:] == words.doc[:-1]) & ~_STOP[data[words.ends[:-1] - 1]]
-    name = inside & _UPPER[data[starts]] & ~unit
+    capital = _UPPER[data[starts]] & ~unit
+    name = inside & capital
     kind[name] = NAME
     kind[unit] = UNIT
     kind[number] = NUMBER
-    return value, kind, number | unit | name
+    return value, kind, number | unit | name, capital & ~inside
+
+
+def window_width(n_words: np.ndarray) -> np.ndarray:
+    """Words in the windows of an item with so many."""
+    return np.minimum(n_words, np.clip(n_words // 3, LEAST, WIDTH))
 
 
-def windows(words: Words, width: int, exact_length: bool = False) -> tuple[np.ndarray, ...]:
-    """First word and hash of each window, and what is needed to read its slots."""
-    value, kind, slot = canonical(words)
+def windows(words: Words, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First words and hashes of the windows of each reading, with the hash of each word and whether it is a slot."""
+    value, kind, slot, opener = canonical(words)
     n = len(value) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U64), value, slot
-    plain = np.concatenate([[0], np.cumsum(~slot)])
-    enough = plain[width:] - plain[:-width] >= min(PLAIN, width)
-    free, bound = np.zeros(n, U64), np.zeros(n, U64)
-    for k in range(width):
-        free = mix(free + kind[k : k + n] + U64(k + 1))
-        bound = mix(bound + value[k : k + n] + U64(k + 101))
+        return
     inside = words.doc[width - 1 :] == words.doc[:n]
-    if exact_length:
-        inside &= words.counts()[words.doc[:n]] == width
-    at = np.flatnonzero(inside)
-    return at, mix(np.where(enough, free, bound) + U64(width))[at], value, slot
+    count = lambda flags: (lambda c: c[width:] - c[:-width])(np.concatenate([[0], np.cumsum(flags)]))
+    plain = max(3, width // 2)
+    named, both = np.where(opener, NAME, kind), slot | opener
+    readings = (
+        (value, np.zeros(len(value), bool), inside),
+        (kind, slot, inside & (count(slot) > 0) & (count(~slot) >= plain)),
+        (named, both, inside & (count(opener) > 0) & (count(~both) >= plain)),
+    )
+    for hashes, slots, open_ in readings:
+        at = np.flatnonzero(open_)
+        yield at, mix(rolling_hashes(hashes, width)[at] + U64(width)), value, slots
 
 
 def _slots(at: np.ndarray, width: int, value: np.ndarray, slot: np.ndarray) -> pa.Array:
@@ -102,8 +114,8 @@ def _slots(at: np.ndarray, width: int, value: np.ndarray, slot: np.ndarray) -> p
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value[where][is_slot].view(np.int64) if len(at) else [], pa.int64()))
 
 
-def window_rows(texts: DataFrame, key: str, widths: tuple[int, ...], whole_below: int = 0, bitmap: bytes | None = None) -> DataFrame:
-    """Windows of each text; of widths under ``whole_below`` only whole texts, with a bitmap only those whose bit is set."""
+def window_rows(texts: DataFrame, key: str, widths: tuple[int, ...], own_width: bool = False, bitmap: bytes | None = None) -> DataFrame:
+    """Windows of each text; with ``own_width`` only those of the width of its number of words, with a bitmap only those whose bit is set."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)  # 2 ** BITS bits
     rows = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -113,19 +125,23 @@ def window_rows(texts: DataFrame, key: str, widths: tuple[int, ...], whole_below
         for batch in batches:
             for words in word_slices(batch.column(1), lower=False):
                 ids = batch.column(0).slice(words.first, words.n).to_numpy()
-                firsts = np.concatenate([[0], np.cumsum(words.counts())])
+                counts = words.counts()
+                firsts = np.concatenate([[0], np.cumsum(counts)])
                 for width in widths:
-                    at, window, value, slot = windows(words, width, width < whole_below)
-                    if bits is not None:
-                        spot = (window >> U64(64 - BITS)).astype(np.int64)
-                        hit = (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+                    for at, window, value, slot in windows(words, width):
+                        hit = np.ones(len(at), bool)
+                        if own_width:
+                            hit = window_width(counts[words.doc[at]]) == width
+                        if bits is not None:
+                            spot = (window >> U64(64 - BITS)).astype(np.int64)
+                            hit &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
                         at, window = at[hit], window[hit]
-                    if len(at):
-                        doc = words.doc[at]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[doc]), pa.array(at - firsts[doc]), pa.array(np.full(len(at), width, np.int32)), pa.array(window.view(np.int64)), _slots(at, width, value, slot)],
-                            ["id", "pos", "width", "window", "slots"],
-                        )
+                        if len(at):
+                            doc = words.doc[at]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(ids[doc]), pa.array(at - firsts[doc]), pa.array(np.full(len(at), width, np.int32)), pa.array(window.view(np.int64)), _slots(at, width, value, slot)],
+                                ["id", "pos", "width", "window", "slots"],
+                            )
 
     return rows.mapInArrow(cut, WINDOW_SCHEMA)
 
@@ -145,32 +161,43 @@ def _bitmap(item_windows: DataFrame) -> bytes:
     return bytes(out)
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, exact, first_word for each pair that leaks."""
-    # Short items have a width of their own, so all their widths are made at the item side.
-    widths = tuple(range(1, width + 1))
-    item_windows = checkpoint(window_rows(items, "item_id", widths, whole_below=width).dropDuplicates(["id", "pos", "width"]))
-    used = sorted(r["width"] for r in item_windows.select("width").distinct().collect())  # width values at most
+    known = checkpoint(items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct())
+    keyed = known.withColumn("key", F.xxhash64("item_id", "text"))
+    item_windows = checkpoint(window_rows(keyed, "key", tuple(range(1, WIDTH + 1)), own_width=True))
+    used = sorted(r["width"] for r in item_windows.select("width").distinct().collect())  # WIDTH values at most
     if not used:
-        used = [width]
-    totals = item_windows.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("total"))
-    found = window_rows(docs, "doc_id", tuple(used), bitmap=_bitmap(item_windows))
-    theirs = item_windows.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"))
+        used = [WIDTH]
+    n_words = item_windows.groupBy(F.col("id").alias("key")).agg(F.max(F.col("pos") + F.col("width")).alias("n_words"))
+    found = window_rows(docs, "doc_id", tuple(used), bitmap=_bitmap(item_windows)).drop("width")
+    theirs = item_windows.select(F.col("id").alias("key"), F.col("pos").alias("item_pos"), "width", "window", F.col("slots").alias("item_slots"))
     met = found.join(theirs, "window").where(F.size("slots") == F.size("item_slots"))
-    lined = met.select(F.col("id").alias("doc_id"), "item_id", "pos", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("slots", "item_slots").alias("pairs"))
+    lined = met.select(F.col("id").alias("doc_id"), "key", "pos", "item_pos", "width", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("slots", "item_slots").alias("pairs"))
     # Along one shift there are no more windows than the item has.
-    along = lined.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_pos").alias("held"), F.min("pos").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    along = lined.groupBy("doc_id", "key", "shift", "width").agg(
+        F.collect_set("item_pos").alias("any"),
+        F.collect_set(F.when(F.size("pairs") == 0, F.col("item_pos"))).alias("plain"),
+        F.min("pos").alias("first_word"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     n_pairs = F.size("pairs")
     one_to_one = (F.size(F.array_distinct("pairs.slots")) == n_pairs) & (F.size(F.array_distinct("pairs.item_slots")) == n_pairs)
-    exact = F.forall("pairs", lambda p: p["slots"] == p["item_slots"])
-    fitting = along.where(one_to_one).select("doc_id", "item_id", "first_word", F.explode("held").alias("item_pos"), n_pairs.alias("n_slots"), exact.alias("exact"))
-    pairs = fitting.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("item_pos").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.bool_and("exact").alias("exact"), F.min("first_word").alias("first_word")
+    # Slots that contradict each other leave the windows of plain words.
+    held = along.withColumn("held", F.when(one_to_one, F.col("any")).otherwise(F.col("plain"))).where(F.size("held") > 0)
+    exact = F.when(one_to_one, F.forall("pairs", lambda p: p["slots"] == p["item_slots"])).otherwise(True)
+    words = F.array_distinct(F.flatten(F.transform("held", lambda p: F.sequence(p, p + F.col("width") - 1))))
+    each = held.select("doc_id", "key", "first_word", F.size("held").alias("n_windows"), F.when(one_to_one, n_pairs).otherwise(0).alias("n_slots"), exact.alias("exact"), F.explode(words).alias("word"))
+    pairs = each.groupBy("doc_id", "key").agg(
+        F.countDistinct("word").alias("n_held"), F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.bool_and("exact").alias("exact"), F.min("first_word").alias("first_word")
+    )
+    share = F.col("n_held") / F.col("n_words")
+    good = pairs.join(n_words, "key").where(share >= coverage).join(keyed.select("key", "item_id"), "key")
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("coverage"), "n_windows", "n_slots", "exact", (-F.col("first_word")).alias("before"))).alias("best"))
+    return best.select(
+        "doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), F.col("best.coverage").alias("coverage"), F.col("best.n_slots").alias("n_slots"),
+        F.col("best.exact").alias("exact"), (-F.col("best.before")).alias("first_word"),
     )
-    share = F.col("n_windows") / F.col("total")
-    return pairs.join(totals, "item_id").where(share >= coverage).select("doc_id", "item_id", "n_windows", share.alias("coverage"), "n_slots", "exact", "first_word")
 
 
 def op8_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

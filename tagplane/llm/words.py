@@ -101,6 +101,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _power(_P_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(U64))
 
 
+def rolling_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` values in a row, read off one running sum."""
+    sums = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * _power(_P, len(values)), out=sums[1:])
+    n = len(values) - width + 1
+    return mix((sums[width:] - sums[:n]) * _power(_P_INVERSE, len(values) + 1)[:n])
+
+
 def find_words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     if lower:
         data = _LOWER[data]
@@ -119,11 +127,19 @@ def find_words(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool) -
 
 
 def bare_spans(words: Words, times: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word starts and ends without its outer ASCII punctuation (that many bytes a side at most)."""
+    """Where each word starts and ends without its outer punctuation, that many marks a side at most: of
+    ASCII, of the general punctuation block (curly quotes, dashes) and angle quotes."""
     data, starts, ends = words.data, words.starts.copy(), words.ends.copy()
+    at = lambda where, shift: data[np.minimum(where + shift, len(data) - 1)]
     for _ in range(times):
-        starts += _PUNCTUATION[data[starts]] & (ends - starts > 1)
-        ends -= _PUNCTUATION[data[ends - 1]] & (ends - starts > 1)
+        size = ends - starts
+        general = (size > 3) & (at(starts, 0) == 0xE2) & (at(starts, 1) == 0x80) & (at(starts, 2) >= 0x90)
+        angle = (size > 2) & (at(starts, 0) == 0xC2) & ((at(starts, 1) == 0xAB) | (at(starts, 1) == 0xBB))
+        starts += np.where(general, 3, np.where(angle, 2, _PUNCTUATION[at(starts, 0)] & (size > 1)))
+        size = ends - starts
+        general = (size > 3) & (at(ends, -3) == 0xE2) & (at(ends, -2) == 0x80) & (at(ends, -1) >= 0x90)
+        angle = (size > 2) & (at(ends, -2) == 0xC2) & ((at(ends, -1) == 0xAB) | (at(ends, -1) == 0xBB))
+        ends -= np.where(general, 3, np.where(angle, 2, _PUNCTUATION[at(ends, -1)] & (size > 1)))
     return starts, ends
 
 

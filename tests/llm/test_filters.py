@@ -8,6 +8,7 @@ from collections import defaultdict
 import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from tagplane.llm import chat, decontamination, licenses, urls
@@ -131,8 +132,8 @@ def brute_judge(pages):
         r = rule_of(host, path)
         t, d = good_rank.get(host, 0.0), bad_rank.get(host, 0.0)
         # Near ties may fall either way, by the order of sums.
-        verdict = r.verdict if r else ("block" if host and (host in listed or d > t) else "allow")
-        out[i] = (host, path, r.rule if r else None, verdict, abs(t - d) < 1e-12 and host not in listed)
+        verdict = r.verdict if r else ("block" if host and d > t else "allow")
+        out[i] = (host, path, r.rule if r else None, verdict, abs(t - d) < 1e-12)
     return out
 
 
@@ -156,6 +157,17 @@ def test_urls(spark):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+def test_links_of_a_hub_are_split(spark, monkeypatch):
+    """A portal with many links, a chain and a loop; the split sends what one piece would."""
+    edges = {("hub", f"h{i}"): 1.0 + i % 3 for i in range(200)} | {(f"h{i}", "hub"): 1.0 for i in range(0, 200, 2)} | {("h1", "h3"): 2.0, ("h3", "h5"): 1.0}
+    table = spark.createDataFrame([("trust", a, b, w) for (a, b), w in edges.items()], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("trust", "h0", 3.0), ("trust", "h1", 1.0)], "kind string, host string, mass double")
+    want = brute_rank(edges, {"h0": 3.0, "h1": 1.0})
+    monkeypatch.setattr(urls, "LINKS_PER_PIECE", 7)
+    got = {r["host"]: r["score"] for r in urls.page_rank(table, seeds).collect()}
+    assert all(got.get(h, 0.0) == pytest.approx(want.get(h, 0.0), abs=1e-8) for h in {x for e in edges for x in e})
+
+
 def test_rank_settles_along_a_chain(spark):
     edges = {(f"h{i}", f"h{i + 1}"): 1.0 for i in range(20)} | {("h3", "h1"): 2.0}
     rank = {"h0": 1.0}
@@ -238,7 +250,7 @@ def test_reparameterised_questions(spark):
     question = "a train leaves the station with 30 passengers and at the next stop 12 leave while 30 others join, so how many are with Alice now on it"
     items = [(1, question), (2, None), (3, ""), (4, "short one here"), (5, question.replace("Alice", "Bob").replace("train", "tram"))]
     same = question.replace("30", "55").replace("12", "7").replace("Alice", "Carol")
-    inconsistent = question.replace("with 30", "with 55").replace("12", "7")
+    inconsistent = question.replace("with 30", "with 55").replace("while 30", "while 31").replace("12", "7")
     docs = [
         (1, "some text before it. " + question), (2, "before. " + same + " and after"), (3, "before. " + inconsistent), (4, None), (5, ""), (6, "it is a short one here you see"),
         (7, "a short one is not here"), (8, "short one here"), (8, "short one here"), (None, question), (9, "x " * 200_000 + same),
@@ -248,8 +260,54 @@ def test_reparameterised_questions(spark):
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontamination.leaks(table, bench).collect()}
     assert got.pop((1, 1)) is True and got.pop((2, 1)) is False and got.pop((9, 1)) is False
     assert (3, 1) not in got
+    assert not any(k[1] in (2, 3) for k in got)
     assert {k for k in got if k[1] == 4} == {(6, 4), (8, 4)}
     assert decontamination.leaks(table.limit(0), bench).count() == 0
     assert decontamination.leaks(table, bench.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items):
+    """Pairs that leak by windows of plain lower-case words alone, and pairs with nothing in common."""
+    bare = lambda t: [w.strip("""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""") or w for w in words(lower(t))]
+    leak, apart = set(), set()
+    for i, t in items:
+        own = bare(t)
+        width = min(len(own), max(4, min(8, len(own) // 3)))
+        for d, text in docs:
+            theirs = bare(text)
+            held, near = {}, False
+            places = {}
+            for p in range(len(theirs) - width + 1):
+                places.setdefault(tuple(theirs[p : p + width]), []).append(p)
+            for q in range(len(own) - width + 1 if own else 0):
+                for p in places.get(tuple(own[q : q + width]), []):
+                    held.setdefault(p - q, set()).update(range(q, q + width))
+                    near = True
+            if held and len(set().union(*held.values())) >= 0.5 * len(own):
+                leak.add((d, i))
+            if not near and not any(c.isdigit() for c in t):
+                apart.add((d, i))
+    return leak, apart
+
+
+def test_edits_names_and_letter_case(spark):
+    """Opening names, other letter case and one edited word leave a question found; items may share an id."""
+    short = "Ann has 3 apples and eats two today"
+    plain = "every river that runs down from these hills ends in one wide and very quiet lake"
+    names = "Alice met Robert and Clara before Daniel and Emily saw Frank near Geneva with Henry and Irene"
+    items = [(1, short), (2, plain), (3, names), (4, plain.replace("river", "stream") + " at last"), (4, "something else that nobody will ever write in this way again")]
+    docs = [
+        (1, "Bob has 7 apples and eats two today"), (2, "He said it. Carol has 9 apples and eats two today. Yes"), (3, plain.upper()), (4, plain.title()), (5, names.lower()),
+        (6, plain.replace("ends", "stops")), (7, plain.replace("down", "away")), (8, "nothing of all that is in this text, which has only words of its own and no more"), (9, "Something else that nobody will ever write in this way again!"),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 2), (7, 2), (9, 4)} <= got
+    assert not [k for k in got if k[0] == 8]
+
+
+def test_plain_copies_against_all_pairs(spark, small_texts):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leak, apart = brute_leaks(list(small_texts.items()), items)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.op8_template_windows(spark, SF).collect()}
+    assert leak <= got
+    assert not got & apart
