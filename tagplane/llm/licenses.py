@@ -8,6 +8,9 @@ alignment covers decides.
 Only stretches of a text around a template's rarer words can hold it, so each text is first reduced,
 in arrays, to such stretches; a stretch is read whole. Words are lower-cased and lose punctuation.
 
+Notices of different licenses have much wording in common, so of matches that overlap in a text the one
+with the best coverage stands (ties: the one with more words, then the first name).
+
 Defined cases: null and wordless texts hold nothing; texts are read whole; a text with several notices
 of one kind is reported once, with the best coverage and the first place (ties: the first); repeated
 rows are repeated in the result; an empty table gives an empty result; other columns are ignored.
@@ -58,6 +61,45 @@ NOTICES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
         "software without specific prior written permission.",
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies.",
+    ),
+    "Zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at",
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
 }
 #: Words too common to start a stretch.
 COMMON = frozenset("a an and any are as at be by for from in is it its no not of on or that the this to under use with you without".split())
@@ -132,12 +174,17 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
         anchors = [both[k] for k in rising([j for _, j in both])]
         if not anchors:
             # Words that repeat in a gap: take the template's next word where it comes first.
+            places: dict[str, list[int]] = {w: [] for w in often_b}
+            for i in range(a0, a1):
+                if text[i] in places:
+                    places[text[i]].append(i)
             at = a0
             for j in range(b0, b1):
-                hit = next((i for i in range(at, a1) if text[i] == template[j]), None)
-                if hit is not None:
-                    found.append((hit, j))
-                    at = hit + 1
+                own = places[template[j]]
+                k = bisect_left(own, at)
+                if k < len(own):
+                    found.append((own[k], j))
+                    at = own[k] + 1
             continue
         found += anchors
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -158,7 +205,7 @@ def best_run(pairs: list[tuple[int, int]], n_template: int) -> tuple[int, int, i
 
 
 def _normal(words: Words) -> np.ndarray:
-    """Hash of each word, lower-cased (beyond ASCII: as it is) and without outer ASCII punctuation."""
+    """Hash of each word, lower-cased (beyond ASCII: as it is) and without outer punctuation."""
     starts, ends = bare_spans(words, 4)
     return span_hashes(lowered(words.data), starts, ends)
 
@@ -187,8 +234,14 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverage:
                 for t, own in zip(templates, seeds, strict=True):
                     out += _stretches(words, hashes, spots, firsts, t, own)
             best: dict[tuple[int, str], tuple] = {}
-            for row, name, share, lo, hi in out:
-                if share >= coverage and ((row, name) not in best or (-share, lo) < (-best[row, name][0], best[row, name][1])):
+            taken: dict[int, list[tuple[str, int, int]]] = {}
+            # The best matches first; a later one that overlaps a better one of another license falls away.
+            for row, name, share, lo, hi in sorted((x for x in out if x[2] >= coverage), key=lambda x: (x[0], -x[2], x[3] - x[4], x[1], x[3])):
+                spans = taken.setdefault(row, [])
+                if any(other != name and a <= hi and lo <= b for other, a, b in spans):
+                    continue
+                spans.append((name, lo, hi))
+                if (row, name) not in best or (-share, lo) < (-best[row, name][0], best[row, name][1]):
                     best[row, name] = (share, lo, hi)
             if best:
                 keys = sorted(best)
