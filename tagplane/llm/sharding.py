@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots.
 
 Records hash into a fixed number of slots; bytes are summed per slot; a versioned map says which
-shard owns which slot. Rebalancing edits the map and moves whole slots, never single records.
+shard owns which slot. Rebalancing edits the last stored version of the map, moves whole slots, never
+single records, and stores the next version; records are placed by the stored table.
 
 Everything that touches rows is DataFrame functions. Only the map itself, whose size is the number
 of slots and does not depend on the data, passes through the driver.
@@ -15,12 +16,13 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagplane.llm.common import checkpoint, table
+from tagplane.llm.common import checkpoint, shared_dir, table
 
 N_SLOTS = 8192
 N_SHARDS = 24
@@ -42,10 +44,10 @@ class SlotMap:
         return SlotMap(0, n_shards, tuple(s % n_shards for s in range(n_slots)))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """Columns version, slot, shard: one row per slot."""
+        """Columns version, n_shards, vslot, shard: one row per slot."""
         owners = F.from_json(F.lit(json.dumps(self.owner)), "array<int>")
         return spark.range(1).select(
-            F.lit(self.version).alias("version"), F.posexplode(owners).alias("vslot", "shard")
+            F.lit(self.version).alias("version"), F.lit(self.n_shards).alias("n_shards"), F.posexplode(owners).alias("vslot", "shard")
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -53,12 +55,17 @@ class SlotMap:
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """A stored version, the last one if none is named; a row per slot comes to the driver."""
         rows = spark.read.parquet(path)
         if version is None:
             version = rows.agg(F.max("version")).first()[0]
         found = rows.where(F.col("version") == version).orderBy("vslot").collect()
-        owner = tuple(r["shard"] for r in found)
-        return SlotMap(int(version), max(owner) + 1, owner)
+        return SlotMap(int(version), found[0]["n_shards"], tuple(r["shard"] for r in found))
+
+    @staticmethod
+    def stored(spark: SparkSession, path: str, version: int) -> DataFrame:
+        """vslot, shard of a stored version."""
+        return spark.read.parquet(path).where(F.col("version") == version).select("vslot", "shard")
 
 
 def rebalance(current: SlotMap, load: dict[int, int], n_shards: int, slack: float = 0.0) -> SlotMap:
@@ -130,15 +137,22 @@ def assign(
     text: str = "text",
     n_shards: int = N_SHARDS,
     n_slots: int = N_SLOTS,
-    current: SlotMap | None = None,
+    store: str | None = None,
 ) -> tuple[DataFrame, SlotMap]:
-    """Shard and position of each record, and the map version that decided it."""
+    """Shard and position of each record, and the map version that decided it.
+
+    ``store`` is the folder of the map's versions; the last one in it is edited and the next one added.
+    Without a folder a new one is made in the shared folder, whose first version deals slots in turn.
+    """
     spark = records.sparkSession
     narrow = checkpoint(with_slot(records, key, text, n_slots))
     loads = slot_loads(narrow)
-    start = current or SlotMap.empty(n_slots, n_shards)
-    owned = rebalance(start, {r["vslot"]: r["bytes"] for r in loads}, n_shards)
-    placed = narrow.join(F.broadcast(owned.frame(spark).drop("version")), "vslot")
+    if store is None:
+        store = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+        SlotMap.empty(n_slots, n_shards).save(spark, store)
+    owned = rebalance(SlotMap.load(spark, store), {r["vslot"]: r["bytes"] for r in loads}, n_shards)
+    owned.save(spark, store)
+    placed = narrow.join(F.broadcast(SlotMap.stored(spark, store, owned.version)), "vslot")  # a row per slot
     return positioned(placed, sum(r["n"] for r in loads), n_slots), owned
 
 
