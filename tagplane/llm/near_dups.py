@@ -88,7 +88,8 @@ def inverted_lists(classes: DataFrame, k: int = K, overlap: float = OVERLAP) ->
     others of a group were made from.
     """
     postings = classes.select("rep", "n_shingles", F.explode("sketch").alias("value"))
-    often = postings.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
+    # Stored, so that a value of very many classes is a skewed side of the join, which is split.
+    often = checkpoint(postings.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"))
     shared = postings.join(often, "value")
     by_class = shared.groupBy("rep").agg(
         F.max("n_shingles").alias("n_shingles"),
