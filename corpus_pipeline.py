@@ -3,8 +3,14 @@
 The stages drop what the quality classifier rejects, keep one document of each group of near-duplicates,
 drop documents that leak benchmark items, draw documents to the target mixture, and deal the rest into
 shards. All but the last return the columns of documents. No stage is expressible in SQL (a trained
-model, hash sketches, raking to convergence), so there is no oracle; the tests hold each stage against
-a brute-force version.
+model, hash sketches, raking to convergence), so there is no oracle. The tests compare the first stage
+with the model's margins, near-duplicates with all pairs, decontamination with plain window matching,
+and the other stages by the laws that they must keep.
+
+Defined cases, in every stage: documents without text are judged as empty texts; repeated rows are
+judged alike and stay repeated, but for near-duplicates, where one id is one document; rows without an
+id stay unless their text decides against them; an empty table gives an empty result; further columns
+are kept whatever their names, but for the last stage, which returns its own.
 """
 
 from __future__ import annotations
