@@ -158,8 +158,8 @@ def test_urls(spark):
 
 
 def test_links_of_a_hub_are_split(spark, monkeypatch):
-    """A portal with many links, a chain and a loop; the split sends what one piece would."""
-    edges = {("hub", f"h{i}"): 1.0 + i % 3 for i in range(200)} | {(f"h{i}", "hub"): 1.0 for i in range(0, 200, 2)} | {("h1", "h3"): 2.0, ("h3", "h5"): 1.0}
+    """A portal with many links and a chain; the split sends what one piece would."""
+    edges = {("hub", f"h{i}"): 1.0 + i % 3 for i in range(1, 200)} | {("h0", "hub"): 1.0, ("h1", "h3"): 2.0, ("h3", "h5"): 1.0}
     table = spark.createDataFrame([("trust", a, b, w) for (a, b), w in edges.items()], "kind string, src string, dst string, weight double")
     seeds = spark.createDataFrame([("trust", "h0", 3.0), ("trust", "h1", 1.0)], "kind string, host string, mass double")
     want = brute_rank(edges, {"h0": 3.0, "h1": 1.0})
