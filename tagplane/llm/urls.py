@@ -14,7 +14,6 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +47,9 @@ RULES = (
 BLOCKED_LABELS = ("spam-farm", "adult-x", "casino-win", "cheap-pills", "free-bets", "ads-track")
 DAMPING = 0.85
 #: Summed absolute change of a round, of each kind, under which ranks have settled.
-TOLERANCE = 1e-9
-#: Rounds after which ranks have settled for certain: the change is 2 at most and shrinks by the damping each round.
-ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
+TOLERANCE = 1e-6
+#: Rounds between two checkpoints. The change shrinks by the damping each round, so some 90 rounds settle it.
+ROUNDS_PER_CHECKPOINT = 4
 #: A host is blocked where distrust is above this many times its trust.
 RATIO = 1.0
 SALTS = 32
@@ -115,11 +114,15 @@ def page_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
     again = restart.select("kind", "host", (F.col("mass") * (1.0 - damping)).alias("score"), F.lit(1).alias("pieces")).unionByName(split)
     rank = small(rank.unionByName(split).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("pieces").alias("pieces")))
     while True:
-        spread = rank.select("kind", "host", "score", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-        sent = spread.join(moves, ["kind", "host", "piece"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part")).alias("score"), F.lit(1).alias("pieces"))
-        was = rank.select("kind", "host", F.lit(0.0).alias("score"), "pieces", F.col("score").alias("was"))
-        now = sent.unionByName(again).withColumn("was", F.lit(0.0)).unionByName(was)
-        both = checkpoint(now.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("pieces").alias("pieces"), F.sum("was").alias("was")).coalesce(n))
+        # Some rounds share a checkpoint; the links are shuffled once for all of them.
+        for k in range(ROUNDS_PER_CHECKPOINT):
+            spread = rank.select("kind", "host", "score", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+            sent = spread.join(moves, ["kind", "host", "piece"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part")).alias("score"), F.lit(1).alias("pieces"))
+            now = sent.unionByName(again).withColumn("was", F.lit(0.0))
+            if k == ROUNDS_PER_CHECKPOINT - 1:
+                now = now.unionByName(rank.select("kind", "host", F.lit(0.0).alias("score"), "pieces", F.col("score").alias("was")))
+            rank = now.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("pieces").alias("pieces"), F.sum("was").alias("was"))
+        both = checkpoint(rank.coalesce(n))
         rank = both.select("kind", "host", "score", "pieces")
         change = both.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("change")).agg(F.max("change")).first()[0]
         if (change or 0.0) <= tolerance:
