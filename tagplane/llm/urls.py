@@ -47,8 +47,8 @@ RULES = (
 BLOCKED_LABELS = ("spam-farm", "adult-x", "casino-win", "cheap-pills", "free-bets", "ads-track")
 DAMPING = 0.85
 #: Summed absolute change of a round, of each kind, under which ranks have settled.
-TOLERANCE = 1e-6
-#: Rounds between two checkpoints. The change shrinks by the damping each round, so some 90 rounds settle it.
+TOLERANCE = 1e-9
+#: Rounds between two checkpoints. The change shrinks by the damping each round, so some 130 rounds settle it.
 ROUNDS_PER_CHECKPOINT = 4
 #: A host is blocked where distrust is above this many times its trust.
 RATIO = 1.0
