@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tagplane.llm import chat, decontamination, language_model, licenses, mixing, near_dups, quality_model, quality_rules, sharding, urls
+from tagplane.llm import chat, decontamination, language_model, licenses, mixing, near_dups, quality_model, quality_rules, sharding, token_files, urls
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,5 +17,6 @@ QUERIES = {
     "op8_template_windows": decontamination.op8_template_windows,
     "op9_raked_mixture": mixing.op9_raked_mixture,
     "op10_virtual_slots": sharding.op10_virtual_slots,
+    "op12_token_parquet": token_files.op12_token_parquet,
 }
 ORACLES: dict[str, str] = {"op4_fingerprinted_chat": chat.OP4_ORACLE}
