@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tagplane.llm import chat, decontamination, divergence, language_model, licenses, mixing, near_dups, quality_model, quality_rules, sharding, token_files, urls
+from tagplane.llm import chat, collocations, decontamination, divergence, language_model, licenses, mixing, near_dups, quality_model, quality_rules, sharding, token_files, urls
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,7 +17,8 @@ QUERIES = {
     "op8_template_windows": decontamination.op8_template_windows,
     "op9_raked_mixture": mixing.op9_raked_mixture,
     "op10_virtual_slots": sharding.op10_virtual_slots,
+    "op11_suffix_collocations": collocations.op11_suffix_collocations,
     "op12_token_parquet": token_files.op12_token_parquet,
     "op13_wide_terms": divergence.op13_wide_terms,
 }
-ORACLES: dict[str, str] = {"op4_fingerprinted_chat": chat.OP4_ORACLE, "op13_wide_terms": divergence.OP13_ORACLE}
+ORACLES: dict[str, str] = {"op4_fingerprinted_chat": chat.OP4_ORACLE, "op11_suffix_collocations": collocations.OP11_ORACLE, "op13_wide_terms": divergence.OP13_ORACLE}
