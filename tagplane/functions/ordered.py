@@ -10,18 +10,41 @@ from pyspark.sql import functions as F
 from tagplane.functions.graph import checkpoint
 
 
-def cumulated(rows: DataFrame, order: Sequence[str], weight: str, out: str) -> DataFrame:
-    """The rows with _part, the task that holds them, and ``out``: the sum of the weights up to each row.
+def dealt(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows dealt over tasks by ranges of the order columns, with _part, the task that holds them; equal
+    rows are in one part. They are stored, as the parts must stay as they are."""
+    return checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
-    Rows are dealt by ranges of the order columns, so equal ones are in one part; sums within a part start
-    where the parts before it end. The table of parts has a row per task.
-    """
-    dealt = checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+def summed(parts: DataFrame, order: Sequence[str], weight: str, out: str) -> DataFrame:
+    """Rows of `dealt` with the sum of the weights up to each row. Sums within a part start where the
+    parts before it end; the table of parts has a row per task."""
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("_part").agg(F.sum(weight).alias("_n"))
-    starts = parts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    each = parts.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    starts = each.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     within = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn(out, within).join(F.broadcast(starts), "_part").withColumn(out, (F.col(out) + F.col("_start")).cast("long")).drop("_start")
+    return parts.withColumn(out, within).join(F.broadcast(starts), "_part").withColumn(out, (F.col(out) + F.col("_start")).cast("long")).drop("_start")
+
+
+def cumulated(rows: DataFrame, order: Sequence[str], weight: str, out: str) -> DataFrame:
+    """The rows with _part, the task that holds them, and ``out``: the sum of the weights up to each row."""
+    return summed(dealt(rows, order), order, weight, out)
+
+
+def greatest_before(parts: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Rows of `dealt` by keys and order with the greatest value of the earlier rows with their keys; null for the first.
+
+    A key with very many rows is in several parts: the greatest value of its earlier parts is carried on.
+    Only the first and the last key of a part can go on, so that a task has two rows in the table of carries.
+    """
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(*keys)
+    ends = parts.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    own = parts.join(F.broadcast(ends), "_part").where((key == F.col("_first")) | (key == F.col("_last"))).groupBy("_part", *keys).agg(F.max(value).alias("_own"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.select("_part", *keys, F.max("_own").over(earlier).alias("_carried")).where("_carried is not null")
+    found = parts.withColumn(out, F.max(value).over(within)).join(F.broadcast(carried), ["_part", *keys], "left")
+    return found.withColumn(out, F.greatest(out, "_carried")).drop("_carried")
 
 
 def least_from_here(rows: DataFrame, order: str, value: Column, out: str) -> DataFrame:

@@ -1,40 +1,133 @@
-"""Single-linkage clusters of two-dimensional boxes."""
+"""Single-linkage clusters of two-dimensional boxes.
+
+Boxes are half-open and hold a base at least. Two boxes are linked if they are less than the tolerance apart
+in both directions, which is so if they overlap once each is made longer by the tolerance at its upper ends;
+such rectangles are meant below.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagplane.functions.graph import checkpoint, components
+from tagplane.functions.ordered import dealt, greatest_before
+
+KEYS = ("anchor_chr", "target_chr")
+SIDES = ("a", "t")
+#: Above any coordinate: no bound in a direction.
+FREE = 1 << 62
+
+
+def _bits(size: Column) -> Column:
+    """The power of two that is the largest within a size."""
+    return F.length(F.bin(size)) - 1
+
+
+def _rectangles(boxes: DataFrame, tol: int) -> DataFrame:
+    """box_id, chromosomes, lo and hi in both directions."""
+    return boxes.select("box_id", *KEYS, *[c for s in SIDES for c in (F.col(f"start_{s}").cast("long").alias(f"lo_{s}"), (F.col(f"end_{s}") + tol).cast("long").alias(f"hi_{s}"))])
+
+
+def _in_cells(rows: DataFrame, levels: list[int], lower: bool) -> DataFrame:
+    """The rows once for each level at or above (``lower``) or at or below their own, and each cell that they touch.
+
+    Cells are squares as wide as the higher level of both, so that a row touches few of them.
+    """
+    known = F.array(*[F.lit(x) for x in levels])
+    out = rows.withColumn("_other", F.explode(F.filter(known, lambda x: (x >= F.col("level")) if lower else (x <= F.col("level")))))
+    low, high = ("level", "_other") if lower else ("_other", "level")
+    out = out.withColumns({"_low": F.col(low), "_high": F.col(high)}).drop("_other")
+    for s in SIDES:
+        out = out.withColumn(f"_cell_{s}", F.explode(F.sequence(F.call_function("shiftright", f"lo_{s}", "_high"), F.call_function("shiftright", F.col(f"hi_{s}") - 1, "_high"))))
+    return out
+
+
+def _meetings(rows: DataFrame, order: str) -> DataFrame:
+    """Each two rows that overlap, once: columns of the one of the lower level as they are, of the other with
+    ``o_``. Of one level, the one with the lower ``order`` is the first. A level is a power of two of the
+    longer side; two rows are met in the cell in which their overlap begins."""
+    rows = checkpoint(rows.withColumn("level", _bits(F.greatest(*[F.col(f"hi_{s}") - F.col(f"lo_{s}") for s in SIDES]))))
+    levels = sorted(r[0] for r in rows.select("level").distinct().collect()) or [0]  # powers of two
+    own = [c for c in rows.columns if c not in KEYS]
+    right = _in_cells(rows, levels, False).select(*KEYS, "_low", "_high", "_cell_a", "_cell_t", *[F.col(c).alias(f"o_{c}") for c in own])
+    met = _in_cells(rows, levels, True).join(right, [*KEYS, "_low", "_high", "_cell_a", "_cell_t"]).where((F.col("_low") < F.col("_high")) | (F.col(order) < F.col(f"o_{order}")))
+    for s in SIDES:
+        met = met.where((F.col(f"lo_{s}") < F.col(f"o_hi_{s}")) & (F.col(f"o_lo_{s}") < F.col(f"hi_{s}")))
+        met = met.where(F.col(f"_cell_{s}") == F.call_function("shiftright", F.greatest(f"lo_{s}", f"o_lo_{s}"), "_high"))
+    return met.select(*KEYS, *own, *[f"o_{c}" for c in own])
+
+
+def box_links(boxes: DataFrame, tol: int) -> DataFrame:
+    """(a, b), a < b: boxes of one chromosome pair less than ``tol`` apart in both directions."""
+    met = _meetings(_rectangles(boxes, tol), "box_id")
+    return met.select(F.least("box_id", "o_box_id").alias("a"), F.greatest("box_id", "o_box_id").alias("b"))
+
+
+def _corners(right: Column, up: Column, mine: bool) -> tuple[Column, Column]:
+    """What decides an overlap of two rectangles, each of a group around a point: for this one (``mine``) how
+    far it goes towards the other point in both directions, for the other one where it begins from here."""
+    out = []
+    for s, ahead in zip(SIDES, (right, up), strict=True):
+        out.append(F.when(ahead, F.col(f"hi_{s}") if mine else F.col(f"lo_{s}")).otherwise(-F.col(f"lo_{s}") if mine else -F.col(f"hi_{s}")))
+    return out[0], out[1]
 
 
-def box_links(boxes: DataFrame, tol: int, bucket: int = 1 << 14) -> DataFrame:
-    """(a, b), a < b: boxes of one chromosome pair less than ``tol`` apart in both directions.
+def group_links(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): nodes of two groups of which a rectangle of the one overlaps one of the other.
 
-    Boxes are half-open. They meet in square buckets and are reported in the bucket where both begin.
+    All rectangles of a group have its point in common. So in each direction those of the two groups overlap
+    surely if the points are level, and else if the one of the group further back reaches beyond where the
+    other begins. Two corners decide most pairs of groups. For the rest, the rectangles of both are put in
+    order by one direction, and the least beginning so far in the other direction tells whether one overlaps:
+    rows are as many as rectangles of such groups, not as their pairs.
     """
-    keys = ["anchor_chr", "target_chr"]
-    wide = boxes.select("box_id", *keys, *[F.col(c) for c in ("start_a", "end_a", "start_t", "end_t")])
-    touch = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket)))
-    left = wide.withColumn("ba", touch(F.col("start_a"), F.col("end_a") + tol)).withColumn("bt", touch(F.col("start_t"), F.col("end_t") + tol))
-    right = left.select(*keys, "ba", "bt", *[F.col(c).alias(f"o_{c}") for c in ("box_id", "start_a", "end_a", "start_t", "end_t")])
-    near = (
-        (F.col("box_id") < F.col("o_box_id"))
-        & (F.col("start_a") < F.col("o_end_a") + tol)
-        & (F.col("o_start_a") < F.col("end_a") + tol)
-        & (F.col("start_t") < F.col("o_end_t") + tol)
-        & (F.col("o_start_t") < F.col("end_t") + tol)
-        & (F.col("ba") == F.floor(F.greatest("start_a", "o_start_a") / bucket))
-        & (F.col("bt") == F.floor(F.greatest("start_t", "o_start_t") / bucket))
+    met = _meetings(groups, "node")
+    right, up = F.col("o_point_a") >= F.col("point_a"), F.col("o_point_t") >= F.col("point_t")
+    level = [F.col(f"o_point_{s}") == F.col(f"point_{s}") for s in SIDES]
+    way = F.concat(F.when(right, "r").otherwise("l"), F.when(up, "u").otherwise("d"))
+    met = checkpoint(met.withColumns({"way": way, "level_a": level[0], "level_t": level[1]}))
+    reach = lambda s, i: F.when(F.col(f"level_{s}"), F.lit(FREE)).otherwise(F.element_at("ahead", F.col("way"))[i])
+    begin = lambda i: F.element_at("o_behind", F.col("way"))[i]
+    sure = (reach("a", 1) > begin(1)) & (reach("t", 2) > begin(2))
+    # Level in one direction: the extents, which overlap, decide the other.
+    straight = F.col("level_a") | F.col("level_t")
+    decided = met.withColumn("sure", sure | straight)
+    open_ = checkpoint(decided.where("not sure").select("node", "way", F.col("o_node").alias("far")))
+    mine = rows.join(open_, "node").select("far", "way", "node", *[c.alias(n) for c, n in zip(_corners(F.col("way").startswith("r"), F.col("way").endswith("u"), True), ("at", "value"), strict=True)])
+    mine = mine.groupBy("far", "way", "at", "node").agg(F.max("value").alias("value"))
+    theirs = rows.withColumnRenamed("node", "far").join(open_.select("far", "way").distinct(), "far").select("far", "way", *[c.alias(n) for c, n in zip(_corners(F.col("way").startswith("r"), F.col("way").endswith("u"), False), ("at", "value"), strict=True)])
+    theirs = theirs.groupBy("far", "way", "at").agg(F.min("value").alias("value"))
+    # At one place rectangles of this group come first: the other must begin before they end.
+    both = mine.select("far", "way", "at", F.lit(0).alias("turn"), "node", "value", F.lit(None).cast("long").alias("less")).unionByName(
+        theirs.select("far", "way", "at", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("value"), (-F.col("value")).alias("less"))
     )
-    return left.join(right, [*keys, "ba", "bt"]).where(near).select(F.col("box_id").alias("a"), F.col("o_box_id").alias("b"))
+    order = ("far", "way", "at", "turn")
+    swept = greatest_before(dealt(both, order), ("far", "way"), ("at", "turn"), "less", "least")
+    found = swept.where(F.col("value") > -F.col("least")).select(F.col("node").alias("a"), F.col("far").alias("b"))
+    return decided.where("sure").select(F.col("node").alias("a"), F.col("o_node").alias("b")).unionByName(found).distinct()
 
 
 def cluster_boxes(boxes: DataFrame, tol: int) -> DataFrame:
     """box_id, cluster_id: the least box of each cluster names it; a box without links is its own.
 
-    The boxes are stored once, since both the links and the result come from them.
+    A side of 2 ** k bases, and less than twice as many, holds a multiple of 2 ** k; the first ones in both
+    directions are a rectangle's point. Those of one point and size class overlap each other: they are one node
+    before any two are compared.
     """
-    kept = checkpoint(boxes)
-    found = components(box_links(kept, tol))
-    return kept.select("box_id").join(found, F.col("box_id") == F.col("node"), "left").select("box_id", F.coalesce("component", "box_id").alias("cluster_id"))
+    rows = _rectangles(boxes, tol)
+    for s in SIDES:
+        rows = rows.withColumn(f"bits_{s}", _bits(F.col(f"hi_{s}") - F.col(f"lo_{s}")))
+        step = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"bits_{s}"))
+        rows = rows.withColumn(f"point_{s}", F.ceil(F.col(f"lo_{s}") / step) * step)
+    key = [*KEYS, "bits_a", "bits_t", "point_a", "point_t"]
+    extent = [f(f"{e}_{s}").alias(f"{e}_{s}") for s in SIDES for e, f in (("lo", F.min), ("hi", F.max))]
+    ways = [("ru", True, True), ("rd", True, False), ("lu", False, True), ("ld", False, False)]
+    corner = lambda best, mine, r, u: (lambda x, y: best(F.struct((x + y).alias("s"), x.alias("x"), y.alias("y"))))(*_corners(F.lit(r), F.lit(u), mine))
+    at = [corner(best, mine, r, u).alias(f"{'m' if mine else 'o'}_{w}") for mine, best in ((True, F.max), (False, F.min)) for w, r, u in ways]
+    groups = rows.groupBy(*key).agg(F.min("box_id").alias("node"), *extent, *at)
+    ends = lambda m: F.create_map(*[x for w, _, _ in ways for x in (F.lit(w), F.array(*[F.col(f"{m}_{w}.{c}") for c in ("s", "x", "y")]))])
+    groups = checkpoint(groups.select(*key, "node", *[f"{e}_{s}" for s in SIDES for e in ("lo", "hi")], ends("m").alias("ahead"), ends("o").alias("behind")))
+    rows = checkpoint(rows.join(groups.select(*key, "node"), key).select("box_id", "node", "lo_a", "hi_a", "lo_t", "hi_t"))
+    found = components(group_links(rows, groups))
+    return rows.join(found, "node", "left").select("box_id", F.coalesce("component", "node").alias("cluster_id"))

@@ -487,38 +487,41 @@ def heatmap_mirrored(spark: SparkSession, sf: str) -> DataFrame:
     return heatmap.heatmap_bins(fx.pets(spark, sf), _ONE, width=500, cap=20)
 
 
-#: Boxes of 100 bases around the corners of a grid of 900 that hold a pair; ids from the grid itself.
+#: A box at every point that a pair has, of widths that follow from the point; some are much wider than others.
 _BOX_ID = "((strpos('ABCDM', right(anchor_chr, 1)) * 8 + strpos('ABCDM', right(target_chr, 1))) * 1000000 + x) * 1000000 + y"
-_BOXES_SQL = f"""select cast({_BOX_ID} as bigint) as box_id, anchor_chr, target_chr, x * 900 as start_a, x * 900 + 100 as end_a, y * 900 as start_t, y * 900 + 100 as end_t
-  from (select distinct anchor_chr, target_chr, cast(abs(anchor_pos) // 900 as bigint) as x, cast(abs(target_pos) // 900 as bigint) as y from ({fx.PETS_SQL}))"""
-_NEAR = "a.anchor_chr = o.anchor_chr and a.target_chr = o.target_chr and a.start_a < o.end_a + 801 and o.start_a < a.end_a + 801 and a.start_t < o.end_t + 801 and o.start_t < a.end_t + 801"
+_WIDTH_A, _WIDTH_T = "20 + (x * 7 + y) % 180 + case when (x + y) % 97 = 0 then 1500 else 0 end", "20 + (x + y * 3) % 180"
+_TOLERANCE = 150
+_BOXES_SQL = f"""select cast({_BOX_ID} as bigint) as box_id, anchor_chr, target_chr, x as start_a, x + {_WIDTH_A} as end_a, y as start_t, y + {_WIDTH_T} as end_t
+  from (select distinct anchor_chr, target_chr, cast(abs(anchor_pos) as bigint) as x, cast(abs(target_pos) as bigint) as y from ({fx.PETS_SQL}))"""
+#: Links by an equi-join on cells of 1000 bases: all that the oracles share with the engine is that they are met in cells.
+_LINKS_SQL = f"""b as materialized ({_BOXES_SQL}),
+e as (select *, end_a + {_TOLERANCE} as more_a, end_t + {_TOLERANCE} as more_t, unnest(generate_series(start_a // 1000, (end_a + {_TOLERANCE} - 1) // 1000)) as ca from b),
+c as materialized (select *, unnest(generate_series(start_t // 1000, (more_t - 1) // 1000)) as ct from e),
+l as materialized (select distinct x.box_id as a, y.box_id as b from c x join c y on x.anchor_chr = y.anchor_chr and x.target_chr = y.target_chr and x.ca = y.ca and x.ct = y.ct
+  and x.box_id <> y.box_id and x.start_a < y.more_a and y.start_a < x.more_a and x.start_t < y.more_t and y.start_t < x.more_t)"""
 
 
 def _boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """Made from every pair; as many as the grid of the genome has cells, at most."""
     keys = ["anchor_chr", "target_chr"]
-    corner = lambda c: F.floor(F.abs(c) / 900).cast("long")
     place = lambda c: F.instr(F.lit("ABCDM"), F.substring(c, -1, 1)).cast("long")
-    cells = fx.pets(spark, sf).select(*keys, corner("anchor_pos").alias("x"), corner("target_pos").alias("y")).distinct()
+    points = fx.pets(spark, sf).select(*keys, F.abs("anchor_pos").cast("long").alias("x"), F.abs("target_pos").cast("long").alias("y")).distinct()
     box_id = ((place("anchor_chr") * 8 + place("target_chr")) * 1_000_000 + F.col("x")) * 1_000_000 + F.col("y")
-    span = lambda c, p: [(F.col(c) * 900).alias(f"start_{p}"), (F.col(c) * 900 + 100).alias(f"end_{p}")]
-    return cells.select(box_id.alias("box_id"), *keys, *span("x", "a"), *span("y", "t"))
+    ends = (F.col("x") + F.expr(_WIDTH_A)).alias("end_a"), F.col("y").alias("start_t"), (F.col("y") + F.expr(_WIDTH_T)).alias("end_t")
+    return points.select(box_id.alias("box_id"), *keys, F.col("x").alias("start_a"), *ends)
 
 
 @query(
     "cluster_boxes",
-    f"""with recursive b as materialized ({_BOXES_SQL}), l as materialized (select a.box_id as a, o.box_id as b from b a join b o on a.box_id <> o.box_id and {_NEAR}),
-c(box_id, cluster_id) using key (box_id) as (select box_id, box_id from b union
-  select l.b, min(w.cluster_id) from c w join l on l.a = w.box_id join recurring.c o on o.box_id = l.b where w.cluster_id < o.cluster_id group by l.b)
-select box_id, cluster_id from c""",
+    f"""with recursive {_LINKS_SQL}, r as (select a, b from l union select r.a, l.b from r join l on l.a = r.b)
+select box_id, least(box_id, coalesce(min(r.b), box_id)) as cluster_id from b left join r on r.a = box_id group by 1""",
 )
 def cluster_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.cluster_boxes(_boxes(spark, sf), 801)
+    return clusters.cluster_boxes(_boxes(spark, sf), _TOLERANCE)
 
 
-@query("cluster_links", f"with b as ({_BOXES_SQL}) select a.box_id as a, o.box_id as b from b a join b o on a.box_id < o.box_id and {_NEAR}")
+@query("cluster_links", f"with {_LINKS_SQL} select a, b from l where a < b")
 def cluster_links(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.box_links(_boxes(spark, sf), 801)
+    return clusters.box_links(_boxes(spark, sf), _TOLERANCE)
 
 
 # --- statistics ---------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagplane.functions import graph, ordered
 from tagplane.functions.alignment import scores
-from tagplane.functions.intervals import Grid
+from tagplane.functions.intervals import Grid, overlap_join, reduce_intervals, resize_center
 from tagplane.operators import clusters, stats
 from tagplane.operators.counting import count_windows
 from tagplane.operators.heatmap import Span, heatmap_bins, write_svg
@@ -109,29 +109,88 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in count_windows(pets, lengths, fx.FILES, Grid(5000), 1, 20).collect()}
 
 
-def test_clusters_are_single_linkage(spark):
-    rng = random.Random(5)
+@pytest.mark.parametrize(("n", "tol", "span", "wide"), [(120, 60, 4000, 300), (250, 7, 20000, 2000)])
+def test_clusters_are_single_linkage(spark, n, tol, span, wide):
+    """Boxes of very unequal widths, and a crowd around one place."""
+    rng = random.Random(n)
+    size = lambda: rng.choice((rng.randint(1, wide), rng.randint(1, wide // 10)))
     boxes = []
-    for i in range(80):
-        a, t = rng.randint(0, 4000), rng.randint(0, 4000)
-        boxes.append((i, "c1", rng.choice(("c1", "c2")), a, a + rng.randint(10, 300), t, t + rng.randint(10, 300)))
-    tol = 60
-    group = list(range(len(boxes)))
+    for i in range(n):
+        at = (lambda: rng.randint(0, span)) if i % 3 else (lambda: span // 2 + rng.randint(0, 3 * wide // 2))
+        a, t = at(), at()
+        boxes.append((i * 3 + 5, "c1", rng.choice(("c1", "c2")), a, a + size(), t, t + size()))
+    group = {x[0]: x[0] for x in boxes}
 
     def find(x):
         while group[x] != x:
             x = group[x]
         return x
 
+    links = set()
     for x in boxes:
         for y in boxes:
             near = x[1:3] == y[1:3] and x[3] < y[4] + tol and y[3] < x[4] + tol and x[5] < y[6] + tol and y[5] < x[6] + tol
-            if near:
+            if near and x[0] < y[0]:
+                links.add((x[0], y[0]))
                 p, q = find(x[0]), find(y[0])
                 group[max(p, q)] = min(p, q)
     table = spark.createDataFrame(boxes, "box_id long, anchor_chr string, target_chr string, start_a int, end_a int, start_t int, end_t int")
+    assert sorted(tuple(r) for r in clusters.box_links(table, tol).collect()) == sorted(links)
     got = {r["box_id"]: r["cluster_id"] for r in clusters.cluster_boxes(table, tol).collect()}
-    assert got == {i: find(i) for i in range(len(boxes))}
+    assert got == {i: find(i) for i in group}
+
+
+def test_a_crowd_of_boxes_makes_few_rows(spark):
+    """A thousand boxes within one tolerance are one node: no two of them are joined."""
+    rng = random.Random(2)
+    crowd = [(i, "c", "c", a, a + 5, t, t + 5) for i, a, t in ((i, rng.randint(0, 60), rng.randint(0, 60)) for i in range(1000))]
+    rows = clusters._rectangles(spark.createDataFrame(crowd, "box_id long, anchor_chr string, target_chr string, start_a int, end_a int, start_t int, end_t int"), 200)
+    met = clusters._meetings(rows.groupBy("anchor_chr", "target_chr", *[F.ceil(F.col(f"lo_{s}") / 128).alias(f"point_{s}") for s in "at"]).agg(F.min("box_id").alias("node"), *[f(f"{e}_{s}").alias(f"{e}_{s}") for s in "at" for e, f in (("lo", F.min), ("hi", F.max))]), "node")
+    assert met.count() <= 6
+    assert {r["cluster_id"] for r in clusters.cluster_boxes(spark.createDataFrame(crowd, "box_id long, anchor_chr string, target_chr string, start_a int, end_a int, start_t int, end_t int"), 200).collect()} == {0}
+
+
+def test_values_carried_over_parts(spark):
+    """One key in many parts, ties and nulls."""
+    rng = random.Random(9)
+    rows = [(rng.choice("aaaaaab"), rng.randint(0, 300), rng.choice((None, rng.randint(0, 99)))) for _ in range(600)]
+    rows = sorted({(k, n): v for k, n, v in rows}.items())
+    df = spark.createDataFrame([(k, n, v) for (k, n), v in rows], "k string, n int, v int").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = ordered.dealt(df, ("k", "n"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {(r["k"], r["n"]): r["m"] for r in ordered.greatest_before(parts, ("k",), ("n",), "v", "m").collect()}
+    assert parts.select("_part").distinct().count() > 1
+    for (k, n), _ in rows:
+        before = [v for (k2, n2), v in rows if k2 == k and n2 < n and v is not None]
+        assert got[k, n] == max(before, default=None)
+
+
+def test_intervals_of_mixed_widths(spark):
+    """A region is one row whatever its width; unions and overlaps as by hand."""
+    rng = random.Random(6)
+    spans = [(c, s, s + rng.choice((0, 5, 63, 64, 65, 2000, 5000, 2_000_000)) - rng.randint(0, 1)) for c in ("c1", "c2") for s in (rng.randint(1, 3_000_000) for _ in range(80))]
+    regions = [(i, c, s, max(s, e)) for i, (c, s, e) in enumerate([*spans, ("c1", 1, 250_000_000)])]
+    tags = [(i, rng.choice(("c1", "c2", "c3")), s, s + rng.choice((0, 1, 200, 100_000)) - rng.choice((0, 0, 1))) for i, s in enumerate(rng.randint(1, 3_000_000) for _ in range(150))]
+    table = spark.createDataFrame(regions, "region_id long, chr string, start int, end int")
+    df = spark.createDataFrame(tags, "id long, c string, s int, e int")
+    joined = overlap_join(df, table, "c", "s", "e", "r_")
+    got = sorted((r["id"], r["r_id"]) for r in joined.collect())
+    assert got == sorted((t[0], r[0]) for t in tags for r in regions if t[1] == r[1] and t[2] <= t[3] and t[2] <= r[3] and r[2] <= t[3])
+    assert overlap_join(df, table.limit(0), "c", "s", "e", "r_").count() == 0
+    for gap in (1, 5000):
+        merged = []
+        for _, c, s, e in sorted(regions[:-1], key=lambda r: r[1:]):
+            if merged and merged[-1][0] == c and s <= merged[-1][2] + gap:
+                merged[-1][2] = max(merged[-1][2], e)
+            else:
+                merged.append([c, s, e])
+        assert sorted(map(list, reduce_intervals(table.where("end < 250000000"), gap).collect())) == merged
+    wide = {r["region_id"]: (r["start"], r["end"]) for r in resize_center(table, F.greatest(F.lit(2000), F.col("end") - F.col("start") + 1)).collect()}
+    for i, _, s, e in regions:
+        n = max(2000, e - s + 1)
+        assert wide[i][1] - wide[i][0] + 1 == n and abs(wide[i][0] + wide[i][1] - s - e) <= 1
+    assert reduce_intervals(table.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["chain", "grid", "hub", "none"])
