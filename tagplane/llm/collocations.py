@@ -38,7 +38,7 @@ from tagplane.llm.words import U64, lowered, mix, span_hashes, text_buffers
 LONGEST, LEAST, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 NO_LANG = "und"
 #: Bytes of text that one automaton is made of, about.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 #: Bits of the bitmap for each frequent pair, and at most.
 BITS_PER_PAIR, MOST_BITS = 16, 1 << 27
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -183,6 +183,7 @@ def marked_pairs(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_B
         for shard in shards(batches, 2, shard_bytes):
             hashes = shard.pair_hashes()
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(shard.automaton.levels[1].count.astype(np.int64))], ["hash", "n"])
+            del shard, hashes  # before the next one is made
 
     sums = _rows(docs).mapInArrow(pairs, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     frequent = written(sums.where(F.col("n") >= least).select("hash"), "frequent-pairs")
@@ -219,6 +220,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, s
                 level = levels[length - 1]
                 may = may[level.parent] & may[level.link]
                 yield pa.RecordBatch.from_arrays(shard.phrases(length, np.flatnonzero(may)), names)
+            del shard, levels, at, may  # before the next one is made
 
     made = _rows(docs).mapInArrow(count, "lang string, size int, phrase string, n long")
     return made.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
