@@ -1,8 +1,7 @@
 """Statistics on counts: abundances, scaling factors, tests with closed forms, multiple testing, designs.
 
 Scaling factors are the trimmed mean of log ratios, with or without precision weights, a published
-method; log abundances add a prior count scaled by library size. Model fits with shrinkage are out of
-scope.
+method; log abundances add a prior count scaled by library size. Fits of count models are in `models`.
 """
 
 from __future__ import annotations
@@ -28,11 +27,16 @@ def log_cpm(counts: DataFrame, totals: dict[str, int], prior: float = 2.0) -> Da
     return counts.select("anchor_id", "target_id", *out)
 
 
-def average_log_cpm(counts: DataFrame, totals: dict[str, int], prior: float = 2.0) -> DataFrame:
-    """ave_log_cpm: the log of the mean of scaled counts (an approximation of a fitted abundance)."""
+def log_mean(totals: dict[str, int], prior: float = 2.0) -> Column:
+    """The log of the mean of scaled counts (an approximation; `models.fitted_log_cpm` fits it)."""
     mean = sum(totals.values()) / len(totals)
     scaled = reduce(add, [F.col(f"`{f}`") / F.lit(float(t)) * F.lit(mean) for f, t in totals.items()]) / len(totals)
-    return counts.withColumn("ave_log_cpm", F.log2((scaled + prior) / (mean + 2 * prior) * 1e6))
+    return F.log2((scaled + prior) / (mean + 2 * prior) * 1e6)
+
+
+def average_log_cpm(counts: DataFrame, totals: dict[str, int], prior: float = 2.0) -> DataFrame:
+    """The counts with ave_log_cpm; see `log_mean`."""
+    return counts.withColumn("ave_log_cpm", log_mean(totals, prior))
 
 
 def scaled_threshold(counts: DataFrame, totals: dict[str, int], scale: float, fold: float = 5.0) -> DataFrame:
@@ -109,6 +113,11 @@ def design(info: DataFrame, libraries: Sequence[str]) -> DataFrame:
     return info.select("file", F.lit(1).alias("intercept"), *others, F.col("hetero").cast("int").alias("hetero"))
 
 
+def one_way_design(info: DataFrame, group: str, levels: Sequence[str]) -> DataFrame:
+    """file and a 0/1 column for each level of a column of ``info``: a one-way layout without intercept."""
+    return info.select("file", *[(F.col(group) == x).cast("int").alias(x) for x in levels])
+
+
 def count_list(info: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """file, lib_size, norm_factor: what a count model needs beside the counts; factors are one where none are given."""
     if factors is None:

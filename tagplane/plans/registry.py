@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tagplane.functions import alignment
 from tagplane.functions.intervals import Grid, make_windows, overlap_join, reduce_intervals, resize_center
 from tagplane.functions.tags import extended
-from tagplane.operators import clusters, counting, heatmap, linkers, pairing, qc, stats
+from tagplane.operators import clusters, counting, heatmap, linkers, models, pairing, qc, stats
 from tagplane.operators.interactions import InteractionSet
 from tagplane.plans import fixtures as fx
 from tagplane.sources import text
@@ -142,6 +142,15 @@ def reduce_regions(spark: SparkSession, sf: str) -> DataFrame:
     return reduce_intervals(fx.regions(spark, sf))
 
 
+_OWN_WIDTH = 'greatest(2000, "end" - start + 1)'
+
+
+@query("resize_own_widths", f'''select region_id, chr, cast(start + floor(("end" - start + 1 - {_OWN_WIDTH}) / 2.0) as int) as start, cast(start + floor(("end" - start + 1 - {_OWN_WIDTH}) / 2.0) + {_OWN_WIDTH} - 1 as int) as "end" from ({fx.REGIONS_SQL})''')
+def resize_own_widths(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions under a least width grow to it around their centres; wider ones stay as they are."""
+    return resize_center(fx.regions(spark, sf), F.greatest(F.lit(2000), F.col("end") - F.col("start") + 1)).select("region_id", "chr", "start", "end")
+
+
 @query("resize_regions", f'select region_id, chr, cast(start + floor(("end" - start + 1 - 1000) / 2.0) as int) as start, cast(start + floor(("end" - start + 1 - 1000) / 2.0) + 999 as int) as "end" from ({fx.REGIONS_SQL})')
 def resize_regions(spark: SparkSession, sf: str) -> DataFrame:
     return resize_center(fx.regions(spark, sf), 1000).select("region_id", "chr", "start", "end")
@@ -617,6 +626,118 @@ def normalize(spark: SparkSession, sf: str) -> DataFrame:
     return data.normalize(TOTALS, "libF_AA").select("file", F.round("factor", 6).alias("factor"))
 
 
+# --- count models -------------------------------------------------------------------------------
+
+_DISPERSION = 0.05
+_PRIORS = {f: 2.0 * t / _MEAN for f, t in TOTALS.items()}
+#: The abundance at which the slope of the likelihood is zero, by bisection.
+_SLOPE = " + ".join(f'("{f}" + {_PRIORS[f]} - {t + 2 * _PRIORS[f]} * exp(m)) / (1 + {_DISPERSION} * {t + 2 * _PRIORS[f]} * exp(m))' for f, t in TOTALS.items())
+
+
+@query(
+    "fitted_log_cpm",
+    f"""with recursive {_CB.replace("cb as", "cb as materialized")}, s(i, anchor_id, target_id, lo, hi) as (select 0, anchor_id, target_id, -40.0::double, 5.0::double from cb
+  union all select i + 1, anchor_id, target_id, case when slope > 0 then m else lo end, case when slope > 0 then hi else m end
+  from (select s.i, s.lo, s.hi, s.m, cb.anchor_id, cb.target_id, {_SLOPE} as slope from (select *, (lo + hi) / 2 as m from s where i < 60) s join cb on cb.anchor_id = s.anchor_id and cb.target_id = s.target_id))
+select anchor_id, target_id, round(((lo + hi) / 2 + ln(1e6)) / ln(2), 6) as ave_log_cpm from s where i = 60""",
+)
+def fitted_log_cpm(spark: SparkSession, sf: str) -> DataFrame:
+    out = models.fitted_log_cpm(_counts(spark, sf), TOTALS, _DISPERSION)
+    return out.select("anchor_id", "target_id", F.round("ave_log_cpm", 6).alias("ave_log_cpm"))
+
+
+_LEVEL = f"round(log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6), 9)"
+_WSUMS = ", ".join(f'sum(w * ln("{f}" + 0.5)) as s{k}, sum(w * d * ln("{f}" + 0.5)) as d{k}' for k, f in enumerate(FILES))
+_FITS = ", ".join(f"(wdd * s{k} - wd * d{k}) / (w * wdd - wd * wd) as v{k}" for k in range(len(FILES)))
+_NEXT = ", ".join(f"lead(v{k}) over (order by kx) as n{k}" for k in range(len(FILES)))
+_AT = [f"(v{k} + coalesce((x - kx) / (nx - kx) * (n{k} - v{k}), 0))" for k in range(len(FILES))]
+
+
+@query(
+    "loess_offsets",
+    f"""with {_CB}, r as (select *, {_LEVEL} as x from cb), o as (select x, row_number() over (order by x) - 1 as place, count(*) over () as n from r),
+k as (select j, x as kx from range(0, {models.KNOTS}) as t(j) join o on place = j * (n - 1) // {models.KNOTS - 1}),
+h as (select k.j, k.kx, greatest(k.kx - lo.kx, hi.kx - k.kx) as h from k join k lo on lo.j = least(greatest(k.j - {models.WINDOW // 2}, 0), {models.KNOTS - 1 - models.WINDOW}) join k hi on hi.j = lo.j + {models.WINDOW}
+  where k.j in (select min(j) from k group by kx)),
+e as (select kx, x - kx as d, power(1 - power(abs(x - kx) / h, 3), 3) as w, r.* from h join r on abs(x - kx) <= h),
+s as (select kx, sum(w) as w, sum(w * d) as wd, sum(w * d * d) as wdd, {_WSUMS} from e group by 1),
+f as (select kx, {_FITS} from s), g as (select *, lead(kx) over (order by kx) as nx, {_NEXT} from f),
+p as (select anchor_id, target_id, {", ".join(f"{at} as o{k}" for k, at in enumerate(_AT))} from r asof join g on r.x >= g.kx)
+select anchor_id, target_id, {", ".join(f'round(o{k} - ({" + ".join(f"o{i}" for i in range(len(FILES)))}) / {len(FILES)}, 6) as "{f}"' for k, f in enumerate(FILES))} from p""",
+)
+def loess_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    counts = _counts(spark, sf)
+    level = F.round(stats.log_mean(TOTALS), 9)
+    return models.loess_offsets(counts, level, FILES).select("anchor_id", "target_id", *[F.round(f, 6).alias(f) for f in FILES])
+
+
+#: A fit of two groups, mixed linkers against equal ones, is a fit of each by itself; each by bisection.
+_MIXED, _EQUAL = [f for f in FILES if f.endswith("AB")], [f for f in FILES if not f.endswith("AB")]
+
+
+def _fits_sql(rows: str, grid: tuple[float, ...]) -> str:
+    group = lambda name, files: f"select anchor_id, target_id, '{name}' as g, [{', '.join(chr(34) + f + chr(34) for f in files)}]::double[] as y, [{', '.join(str(float(TOTALS[f])) for f in files)}]::double[] as l from {rows}"
+    mu = "list_transform(l, lambda v: v * exp(b))"
+    return f"""u as materialized (select *, list_sum(y) as sum_y from ({group("mixed", _MIXED)} union all {group("equal", _EQUAL)} union all {group("all", list(FILES))}) cross join (select unnest({list(grid)}::double[]) as phi)),
+s(i, anchor_id, target_id, g, phi, y, l, lo, hi) as (select 0, anchor_id, target_id, g, phi, y, l, ln(sum_y / list_sum(l)) - 8.0, ln(sum_y / list_sum(l)) + 8.0 from u
+  union all select i + 1, anchor_id, target_id, g, phi, y, l, case when slope > 0 then m else lo end, case when slope > 0 then hi else m end
+  from (select *, list_sum(list_transform(range(1, len(y) + 1), lambda k: (y[k] - l[k] * exp(m)) / (1 + phi * l[k] * exp(m)))) as slope from (select *, (lo + hi) / 2 as m from s where i < 56))),
+b as (select *, (lo + hi) / 2 as b from s where i = 56), z as (select *, {mu} as mu from b),
+fit as (select anchor_id, target_id, g, phi, b,
+  list_sum(list_transform(range(1, len(y) + 1), lambda k: lgamma(y[k] + 1 / phi) - lgamma(1 / phi) - lgamma(y[k] + 1) - ln(1 + mu[k] * phi) / phi + case when y[k] > 0 then y[k] * ln(mu[k] * phi / (1 + mu[k] * phi)) else 0 end)) as ll,
+  list_sum(list_transform(mu, lambda v: v / (1 + phi * v))) as info from z)"""
+
+
+_BOTH_SEEN = " and ".join(f"({' + '.join(chr(34) + f + chr(34) for f in files)}) > 0" for files in (_MIXED, _EQUAL))
+
+
+def _model(spark: SparkSession, sf: str) -> models.Model:
+    info = _set(spark, sf).info.select("file", F.contains("file", F.lit("AB")).alias("hetero"))
+    return models.Model.of(info.select("file", F.lit(1).alias("intercept"), F.col("hetero").cast("int").alias("hetero")), TOTALS)
+
+
+def _seen(spark: SparkSession, sf: str) -> DataFrame:
+    return _counts(spark, sf).where(_BOTH_SEEN.replace(chr(34), "`"))
+
+
+@query(
+    "coefficient_tests",
+    f"""with recursive {_CB}, seen as materialized (select * from cb where {_BOTH_SEEN}), {_fits_sql("seen", (_DISPERSION,))}
+select m.anchor_id, m.target_id, round((m.b - e.b) / ln(2), 5) as log_fold, round(greatest(2 * (m.ll + e.ll - a.ll), 0), 5) as ratio from fit m join fit e using (anchor_id, target_id) join fit a using (anchor_id, target_id)
+where m.g = 'mixed' and e.g = 'equal' and a.g = 'all'""",
+)
+def coefficient_tests(spark: SparkSession, sf: str) -> DataFrame:
+    out = models.coefficient_test(_seen(spark, sf), _model(spark, sf), 1, _DISPERSION)
+    return out.select("anchor_id", "target_id", F.round("log_fold", 5).alias("log_fold"), F.round("ratio", 5).alias("ratio"))
+
+
+_GRID = (0.02, 0.1, 0.5)
+
+
+@query(
+    "dispersion_grid",
+    f"""with recursive {_CB}, seen as materialized (select * from cb where {_BOTH_SEEN}), {_fits_sql("seen", _GRID)}
+select phi as dispersion, round(sum(ll - 0.5 * ln(info)), 2) as likelihood from fit where g <> 'all' group by 1""",
+)
+def dispersion_grid(spark: SparkSession, sf: str) -> DataFrame:
+    found = models.grid_likelihoods(_seen(spark, sf), _model(spark, sf), _GRID)
+    return spark.createDataFrame([(d, round(v, 2)) for d, v in found.items()], "dispersion double, likelihood double")
+
+
+@query("one_way_design", "select file, cast(contains(file, 'AB') as int) as mixed, cast(not contains(file, 'AB') as int) as equal from (values " + ", ".join(f"('{f}')" for f in FILES) + ") as t(file)")
+def one_way_design(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = _set(spark, sf).info.withColumn("kind", F.when(F.contains("file", F.lit("AB")), "mixed").otherwise("equal"))
+    return stats.one_way_design(kinds, "kind", ("mixed", "equal"))
+
+
+@query("model_tests")
+def model_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole way: common dispersion, a test of mixed linkers in each pair, false discovery rates."""
+    counts, model = _counts(spark, sf), _model(spark, sf)
+    tests = models.coefficient_test(counts, model, 1, models.common_dispersion(counts, model))
+    return stats.bh_adjust(tests)
+
+
 @query(
     "result_table",
     f"""with {_HWE}, {_windows_cte(Grid(5000))}, w as (select id, chr, greatest(1, c) as s, least(length, c + 4999) as e from win),
