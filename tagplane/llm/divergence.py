@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tagplane.llm.common import LOWER, UPPER, lower_ascii, table, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What a term is, and what stands between terms.
+TERM, OTHER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of its language that a kept term is in; terms that are listed for each source.
 LEAST_DOCS, TOP = 10, 10
 BILLION = 1_000_000_000
@@ -40,9 +41,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = F.octet_length(text) == F.char_length(text)
     lowered = F.when(plain, F.lower(text)).otherwise(lower_ascii(text))
-    named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.sort_array(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))).alias("terms"))
+    named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.sort_array(F.split(lowered, OTHER)).alias("terms"))
     each = F.transform("terms", lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get("terms", i - 1))).cast("long").alias("first")))
-    rows = named.select("lang", "source", F.explode(each).alias("t")).select("lang", "source", "t.term", "t.first")
+    rows = named.select("lang", "source", F.explode(each).alias("t")).select("lang", "source", "t.term", "t.first").where("term <> ''")
     return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
