@@ -38,7 +38,7 @@ from tagplane.llm.words import U64, lowered, mix, span_hashes, text_buffers
 LONGEST, LEAST, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 NO_LANG = "und"
 #: Bytes of text that one automaton is made of, about.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 #: Bits of the bitmap for each frequent pair, and at most.
 BITS_PER_PAIR, MOST_BITS = 16, 1 << 27
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
