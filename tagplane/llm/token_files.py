@@ -40,7 +40,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of a row group and of a page before compression, and rows of a page.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 1000
 #: Bytes of text that are cut and encoded at once, or one longer text; encoded cuttings after which a worker's memory is renewed.
-SLICE_BYTES, REMEMBERED = 2 << 20, 200_000
+SLICE_BYTES, REMEMBERED = 3 << 20, 300_000
 _SCHEMA = "part int, doc_id long, offset long, n_tokens long, ids array<int>"
 #: Bytes that, after a space, may begin white space: with these there is no cut.
 _MAY_BE_SPACE = np.zeros(256, bool)
