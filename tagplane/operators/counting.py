@@ -49,9 +49,10 @@ def _having(wide: DataFrame, files: Sequence[str], least: int) -> DataFrame:
 
 
 def count_windows(
-    pets: DataFrame, lengths: DataFrame, files: Sequence[str], grid: Grid = Grid(), ext: int = 1, least: int = 20, restrict: Sequence[str] | None = None
+    pets: DataFrame, lengths: DataFrame, files: Sequence[str], grid: Grid = Grid(), ext: int = 1, least: int = 20, restrict: Sequence[str] | None = None, weight: str | None = None
 ) -> DataFrame:
-    """anchor_id, target_id and a count per library for window pairs with ``least`` pairs in total.
+    """anchor_id, target_id and a count per library for window pairs with ``least`` pairs in total; rows with a
+    ``weight`` column are so many pairs.
 
     A pair's two ends become index ranges by arithmetic; equal boxes are added up before they are
     spread over cells. On one chromosome only cells on or below the diagonal count.
@@ -71,9 +72,9 @@ def count_windows(
     ends = {"a0": upper("lo"), "a1": upper("hi"), "t0": lower("lo"), "t1": lower("hi")}
     boxes = (
         placed.where("_anchor_lo <= _anchor_hi and _target_lo <= _target_hi")
-        .select("file", same.alias("same"), "_anchor_before", "_target_before", *[v.alias(k) for k, v in ends.items()])
+        .select("file", same.alias("same"), "_anchor_before", "_target_before", *[v.alias(k) for k, v in ends.items()], (F.lit(1) if weight is None else F.col(weight)).alias("times"))
         .groupBy("file", "same", "_anchor_before", "_target_before", *ends)
-        .agg(F.count("*").alias("weight"))
+        .agg(F.sum("times").alias("weight"))
     )
     cells = (
         boxes.withColumn("a", F.explode(F.sequence("a0", "a1")))

@@ -50,13 +50,14 @@ def stripped(pets: DataFrame, min_gap: int = 10_000) -> DataFrame:
     return marked.where(bad).select(F.col("anchor_chr").alias("chr"), (-F.col("target_pos")).alias("start"), F.col("anchor_pos").alias("end"))
 
 
-def cross_counts(pets: DataFrame, lengths: DataFrame, name: str = "chrM", include_self: bool = False, restrict: Sequence[str] | None = None) -> DataFrame:
-    """chr, count of pairs between each chromosome and ``name``, in either order; zeros are kept."""
+def cross_counts(pets: DataFrame, lengths: DataFrame, name: str = "chrM", include_self: bool = False, restrict: Sequence[str] | None = None, times: str | None = None) -> DataFrame:
+    """chr, count of pairs between each chromosome and ``name``, in either order; zeros are kept. Rows are
+    ``times`` pairs each, if that column is named."""
     ends = restricted(pets, restrict).where((F.col("anchor_chr") == name) | (F.col("target_chr") == name))
     if not include_self:
         ends = ends.where("anchor_chr <> target_chr")
     other = F.when(F.col("anchor_chr") == name, F.col("target_chr")).otherwise(F.col("anchor_chr"))
-    counted = ends.groupBy(other.alias("chr")).agg(F.count("*").alias("count"))
+    counted = ends.groupBy(other.alias("chr")).agg((F.count("*") if times is None else F.sum(times)).alias("count"))
     chroms = lengths.select("chr")
     if restrict is not None:
         chroms = chroms.where(F.col("chr").isin(*restrict))

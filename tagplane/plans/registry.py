@@ -18,7 +18,8 @@ from tagplane.operators import clusters, counting, heatmap, linkers, models, pai
 from tagplane.operators.interactions import InteractionSet
 from tagplane.plans import fixtures as fx
 from tagplane.sources import text
-from tagplane.sources.store import TagStore
+from tagplane.sources.store import TagStore, discard_outward
+from tagplane.streaming import pairing as pair_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,6 +411,19 @@ def store_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return store.catalog()
 
 
+@query("store_cross_counts", _cross_oracle(False))
+def store_cross_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The cross-chromosome counts of the stored table, from its manifest."""
+    return fx.store(spark, sf).cross_counts()
+
+
+@query("strip_counted", f"select count(*) filter (bad) as discarded, count(*) filter (not bad) as kept from (select anchor_chr = target_chr and flag = 2 and gap < 10000 as bad from ({_FLAGS}))")
+def strip_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept and discarded pairs written apart in one pass, which counts them."""
+    _, counted = discard_outward(fx.pets(spark, sf), fx.folder(spark))
+    return spark.createDataFrame([(counted["discarded"], counted["kept"])], "discarded long, kept long")
+
+
 # --- ingest -------------------------------------------------------------------------------------
 
 
@@ -423,15 +437,37 @@ def pair_dedup_minq(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.pair_alignments(fx.alignments(spark, sf), fx.lengths(spark), "lib", dedup=False, min_mapq=10)
 
 
-@query(
-    "pair_diagnostics",
-    f"""with {_pairing_cte(True, 10)} select (select count(*) from sized where n = 1) as singles, (select count(*) from sized where n > 2 and k = 1) as multi,
-  (select count(*) from pr) as total, (select count(*) from pr where marked) as marked, (select count(*) from pr where bad) as filtered, (select count(*) from v) as valid""",
-)
+_DIAGNOSTICS = f"""with {_pairing_cte(True, 10)} select (select count(*) from sized where n = 1) as singles, (select count(*) from sized where n > 2 and k = 1) as multi,
+  (select count(*) from pr) as total, (select count(*) from pr where marked) as marked, (select count(*) from pr where bad) as filtered, (select count(*) from v) as valid"""
+
+
+@query("pair_diagnostics", _DIAGNOSTICS)
 def pair_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.pair_diagnostics(fx.alignments(spark, sf), fx.lengths(spark), min_mapq=10)
 
 
+@query("prepare_counted", _DIAGNOSTICS)
+def prepare_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag pairs written to a folder, with the diagnostics from the pass that writes."""
+    pairs, counted = pairing.pair_alignments_counted(fx.alignments(spark, sf), fx.lengths(spark), "lib", min_mapq=10)
+    pairs.write.parquet(fx.folder(spark))
+    return spark.createDataFrame([counted.get], "singles long, multi long, total long, marked long, filtered long, valid long")
+
+
+def _streamed(spark: SparkSession, sf: str) -> str:
+    """The alignments as a stream of parts that are cut between mates, paired; where the changes are written."""
+    parts, out = fx.folder(spark), fx.folder(spark)
+    fx.alignments(spark, sf).repartition(3, "ord").write.parquet(parts)
+    stream = pair_stream.read_alignments(spark, parts, files_per_batch=1)
+    pair_stream.write_pairs(stream, fx.lengths(spark), out, fx.folder(spark), min_mapq=10, buckets=8).awaitTermination()
+    return out
+
+
+@query("stream_diagnostics", _DIAGNOSTICS)
+def stream_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return pair_stream.diagnostics(spark, _streamed(spark, sf))
+
+
 @query("unknown_chromosomes", f"select distinct rname as chr from ({fx.ALIGNMENTS_SQL}) where rname not in ('chrA', 'chrB', 'chrC')")
 def unknown_chromosomes(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.unknown_chromosomes(fx.alignments(spark, sf), fx.lengths(spark).where("chr <= 'chrC'"))

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from tagplane.functions import graph, ordered
 from tagplane.functions.alignment import scores
 from tagplane.functions.intervals import Grid, overlap_join, reduce_intervals, resize_center
-from tagplane.operators import clusters, stats
+from tagplane.operators import clusters, qc, stats
 from tagplane.operators.counting import count_windows
 from tagplane.operators.heatmap import Span, heatmap_bins, write_svg
 from tagplane.operators.interactions import InteractionSet
 from tagplane.operators.linkers import split_linkers
-from tagplane.operators.pairing import pair_alignments, pair_diagnostics
+from tagplane.operators.pairing import pair_alignments, pair_alignments_counted, pair_diagnostics
 from tagplane.plans import fixtures as fx
 from tagplane.schema import ALIGNMENTS, PETS
 from tagplane.sources import text
-from tagplane.sources.store import TagStore
+from tagplane.sources.store import Conflict, TagStore, discard_outward
 from tagplane.streaming import incremental
+from tagplane.streaming import pairing as pair_stream
 
 SF = "/root/testdata/sf0.001"
+PET_COLUMNS = ["file", "anchor_chr", "target_chr", "anchor_pos", "target_pos"]
 #: Default costs, then mismatch -3, match 2, gap open -2, gap extend -2.
 GOLDEN = {
     "GTTGGAATGTATATCG": (16, 16, 32, 16, 16),
@@ -89,14 +91,73 @@ def test_store_versions_and_rewrite(spark, tmp_path):
     pets = fx.pets(spark, SF)
     lengths = fx.lengths(spark).crossJoin(pets.select("file").distinct()).select("file", "chr", "length")
     store = TagStore(spark, str(tmp_path / "tags"))
+    assert store.last() == 0
+    with pytest.raises(ValueError):
+        store.pets()
     assert store.write(pets, lengths) == 1
     assert store.pets().exceptAll(pets).count() == 0 and store.pets().count() == 6000
     version, gone = store.strip_outward()
     assert (version, gone, store.pets().count()) == (2, 164, 6000 - 164)
+    before = set((tmp_path / "tags/pets").iterdir())
     store.merge(("libF_AA", "libF_BB"), "hom")
     assert store.pets().where("file = 'hom'").count() == store.pets().where("file in ('libF_AA', 'libF_BB')").count()
+    # Only the new library was written.
+    (new,) = set((tmp_path / "tags/pets").iterdir()) - before
+    assert [p.name for p in new.iterdir() if p.name.startswith("file=")] == ["file=hom"]
+    assert {r["file"] for r in store.lengths().collect()} == {*fx.FILES, "hom"}
     plan = store.pairs("libF_AA", "chrB", "chrA")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(file" in plan
+    # Counts come from the manifest and equal those of the pairs; earlier versions stay.
+    assert {tuple(r) for r in store.catalog().collect()} == {tuple(r) for r in qc.catalog(store.pets()).collect()}
+    assert "anchor_pos" not in store.catalog()._jdf.queryExecution().toString()
+    assert {tuple(r) for r in store.cross_counts().collect()} == {tuple(r) for r in qc.cross_counts(store.pets(), fx.lengths(spark)).collect()}
+    assert store.pets(1).count() == 6000 and store.versions() == [1, 2, 3]
+    _, gone = store.strip_outward(20_000, ["hom"])
+    assert gone == store.pets(3).where("file = 'hom'").count() - store.pets().where("file = 'hom'").count() > 0
+    assert store.pets().where("file <> 'hom'").count() == 6000 - 164
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    store = TagStore(spark, str(tmp_path / "tags"))
+    pets, lengths = spark.createDataFrame([("x", "c", "c", 5, 3)], PETS), spark.createDataFrame([("x", "c", 9)], "file string, chr string, length int")
+    store.write(pets, lengths)
+    store.add(pets.withColumn("file", F.lit("y")), lengths.withColumn("file", F.lit("y")), after=1)
+    with pytest.raises(Conflict):
+        store.add(pets.withColumn("file", F.lit("z")), lengths.withColumn("file", F.lit("z")), after=1)
+    assert {r["file"] for r in store.pets().collect()} == {"x", "y"}
+    assert store.write(pets.limit(0), lengths) == 3 and store.pets().count() == 0 and store.catalog().count() == 0
+
+
+def test_one_pass_writes_and_counts(spark, tmp_path):
+    kept, counted = discard_outward(fx.pets(spark, SF), str(tmp_path / "apart"))
+    assert counted == {"discarded": 164, "kept": 6000 - 164} and kept.count() == 6000 - 164
+    gone = spark.read.csv(str(tmp_path / "apart/discarded"), sep="\t", schema="chr string, start int, end int")
+    assert {tuple(r) for r in gone.collect()} == {tuple(r) for r in qc.stripped(fx.pets(spark, SF)).collect()}
+    pairs, found = pair_alignments_counted(fx.alignments(spark, SF), fx.lengths(spark), "lib", min_mapq=10)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    assert found.get == pair_diagnostics(fx.alignments(spark, SF), fx.lengths(spark), min_mapq=10).first().asDict()
+    assert found.get["valid"] == spark.read.parquet(str(tmp_path / "pairs")).count() == 609
+
+
+def test_pairs_of_a_stream_equal_those_of_one_run(spark, tmp_path):
+    """Parts that cut between mates, a third alignment that comes late, and a stop in between."""
+    al = fx.alignments(spark, SF).where("ord < 3 or qname <> 'q.23'")
+    late = spark.createDataFrame([("q.7", 9, 0, "chrA", 5, 20, 40), ("only", 1, 0, "chrB", 7, 20, 40)], ALIGNMENTS)
+    parts = [al.where("ord = 1"), al.where("ord = 2"), al.where("ord = 3").unionByName(late)]
+    whole = al.unionByName(late)
+    header, folder, out, ck = fx.lengths(spark), str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        if k:  # the first run has two parts to read, the second one finds its mates in the state
+            stream = pair_stream.read_alignments(spark, folder, files_per_batch=1)
+            pair_stream.write_pairs(stream, header, out, ck, min_mapq=10, buckets=3).awaitTermination(300)
+            seen = parts[0].unionByName(parts[1]) if k == 1 else whole
+            points = {tuple(r)[1:] for r in pair_alignments(seen, header, "lib", min_mapq=10).groupBy(*PET_COLUMNS).count().collect()}
+            assert {tuple(r)[1:] for r in pair_stream.paired(spark, out, "lib").collect()} == points
+            assert pair_stream.diagnostics(spark, out).first().asDict() == pair_diagnostics(seen, header, min_mapq=10).first().asDict()
+    want = count_windows(pair_alignments(whole, header, "lib", min_mapq=10), header, ["lib"], Grid(5000), 1, 2)
+    assert {tuple(r) for r in pair_stream.window_counts(spark, out, header, "lib", Grid(5000), 1, 2).collect()} == {tuple(r) for r in want.collect()}
 
 
 def test_stream_equals_batch(spark, tmp_path):
