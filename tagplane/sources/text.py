@@ -5,41 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagplane.functions.graph import checkpoint
+
+
+#: Up to so many blocks of text the table of their first lines goes to every task, at about a hundred bytes each.
+BROADCAST_BLOCKS = 100_000
+
+
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, block (file and place of the split that a line is read in) and id, ascending within a block."""
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return spark.read.text(path).select("value", block.alias("block"), F.monotonically_increasing_id().alias("id"))
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, value of a text file or of the part files of a folder in order of name, whatever splits they are read in.
 
-    Lines are counted within each split; a split starts where the lines of the splits before it end. A
+def counted_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """line, value of a text file or of the part files of a folder in order of name, whatever splits they are
+    read in; and how many lines there are.
+
+    A first pass counts the lines of each split and notes the id of its first one. The second pass looks up
+    where its split starts and numbers each line by its distance from the first one: lines are not moved. A
     compressed file has one split: large ones should be compressed in blocks or stored as parts.
     """
-    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    raw = spark.read.text(path).select("value", block.alias("block"), F.monotonically_increasing_id().alias("id"))
-    starts = raw.groupBy("block").agg(F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = raw.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1)
-    return within.join(starts, "block").select((F.col("start") + F.col("rank")).alias("line"), "value")
+    raw = _raw_lines(spark, path)
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over a row per split
+    sizes = raw.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    starts = checkpoint(sizes.select("block", "n", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")))
+    found = starts.agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).first()
+    shifts = starts.select("block", "shift")
+    if found["blocks"] <= BROADCAST_BLOCKS:
+        shifts = F.broadcast(shifts)
+    return raw.join(shifts, "block").select((F.col("id") + F.col("shift")).alias("line"), "value"), found["n"] or 0
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    return counted_lines(spark, path)[0]
 
 
-def read_fastq(spark: SparkSession, path: str, mate: int) -> DataFrame:
-    """pair_id, header, sequence, plus line and quality of each record, named by mate."""
-    lines = numbered_lines(spark, path)
-    part = (F.col("line") % 4).cast("int")
-    names = ("header", "seq", "plus", "qual")
-    pick = [F.max(F.when(part == k, F.col("value"))).alias(f"{n}{mate}") for k, n in enumerate(names)]
-    return lines.groupBy(F.floor(F.col("line") / 4).alias("pair_id")).agg(*pick)
+_FIELDS = ("header", "seq", "plus", "qual")
 
 
 def read_fastq_pairs(spark: SparkSession, path1: str, path2: str) -> DataFrame:
-    """Read pairs by ordinal; unequal or truncated files are an error."""
-    one, two = read_fastq(spark, path1, 1), read_fastq(spark, path2, 2)
-    n1, n2 = one.count(), two.count()
+    """Read pairs by ordinal: the lines of both files meet in one shuffle. Unequal or truncated files are an
+    error, which the counts of lines tell before anything is read in full."""
+    files = [counted_lines(spark, path) for path in (path1, path2)]
+    n1, n2 = (-(-n // 4) for _, n in files)
     if n1 != n2:
         raise ValueError(f"unbalanced numbers of reads: {n1} and {n2}")
-    pairs = one.join(two, "pair_id")
-    if pairs.where("qual1 is null or qual2 is null").limit(1).count():
+    if any(n % 4 for _, n in files):
         raise ValueError("a file is truncated before the end of a record")
-    return pairs
+    lines = files[0][0].withColumn("mate", F.lit(1)).unionByName(files[1][0].withColumn("mate", F.lit(2)))
+    own = lambda m, k: F.max(F.when((F.col("mate") == m) & (F.col("line") % 4 == k), F.col("value")))
+    return lines.groupBy(F.floor(F.col("line") / 4).alias("pair_id")).agg(*[own(m, k).alias(f"{c}{m}") for m in (1, 2) for k, c in enumerate(_FIELDS)])
 
 
 def write_split_fastq(split: DataFrame, path: str) -> None:
@@ -51,9 +67,9 @@ def write_split_fastq(split: DataFrame, path: str) -> None:
 
 
 def sam_header(spark: SparkSession, path: str) -> DataFrame:
-    """chr, length, header_ord from the reference lines of a SAM file's header."""
-    lines = numbered_lines(spark, path).where(F.col("value").startswith("@SQ"))
-    order = F.row_number().over(Window.orderBy("line"))
+    """chr, length, header_ord from the reference lines of a SAM file's header, which alone are put in order."""
+    lines = _raw_lines(spark, path).where(F.col("value").startswith("@SQ"))
+    order = F.row_number().over(Window.orderBy("block", "id"))
     return lines.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("chr"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("int").alias("length"), order.alias("header_ord"))
 
 

@@ -75,6 +75,30 @@ def test_split_fastq(spark, tmp_path):
         split_linkers(pairs, "ACGX", "ACGT")
 
 
+def test_lines_of_many_splits_are_numbered_in_place(spark, tmp_path):
+    """Small splits, several files, and a record that is cut by a split; no line is shuffled for its number."""
+    rng = random.Random(1)
+    rows = [f"line {i} " + "x" * rng.randint(0, 90) for i in range(3000)]
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / f"in/part-{k}.txt").write_text("".join(r + "\n" for r in rows[1000 * k : 1000 * k + 1000]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    lines, n = text.counted_lines(spark, str(tmp_path / "in"))
+    got = lines.orderBy("line").collect()
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    records = [(f"n{i}", "ACGT" * rng.randint(1, 30)) for i in range(200)]
+    for m in (1, 2):
+        _fastq(tmp_path / f"{m}.fq", records if m == 1 else [(i, s[::-1]) for i, s in records])
+    pairs = text.read_fastq_pairs(spark, str(tmp_path / "1.fq"), str(tmp_path / "2.fq")).orderBy("pair_id").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert n == 3000 and [(r["line"], r["value"]) for r in got] == list(enumerate(rows))
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
+    assert [(r["pair_id"], r["header1"], r["seq1"], r["seq2"]) for r in pairs] == [(i, f"@{h}", s, s[::-1]) for i, (h, s) in enumerate(records)]
+    (tmp_path / "cut.fq").write_text((tmp_path / "2.fq").read_text().rsplit("\n", 2)[0] + "\n")
+    with pytest.raises(ValueError, match="truncated"):
+        text.read_fastq_pairs(spark, str(tmp_path / "1.fq"), str(tmp_path / "cut.fq"))
+
+
 def test_sam_and_pairing(spark, tmp_path):
     lines = ["@HD\tVN:1.0", "@SQ\tSN:chrB\tLN:1000", "@SQ\tSN:chrA\tLN:500"]
     lines += ["a\t0\tchrA\t100\t30\t10M\t*\t0\t0\t*\t*", "a\t16\tchrB\t50\t30\t4M2I4M\t*\t0\t0\t*\t*", "b\t0\tchrA\t1\t30\t10M\t*\t0\t0\t*\t*", "c\t1024\tchrB\t7\t30\t10M\t*\t0\t0\t*\t*", "c\t0\tchrB\t7\t9\t10M\t*\t0\t0\t*\t*"]
