@@ -8,7 +8,9 @@ alignment covers decides.
 Only stretches of a text around a template's rarer words can hold it, so each text is first reduced,
 in arrays, to such stretches; a stretch is read whole. Words are lower-cased and lose punctuation.
 
-Notices of different licenses have much wording in common, so of matches that overlap in a text the one
+Notices of different licenses have much wording in common, and a share of covered words cannot tell versions
+apart. So each license has words that must be aligned (its version, its kind) and words that must not stand
+in the stretch (those of its kin). Of matches that overlap in a text the one
 with the best coverage stands (ties: the one with more words, then the first name).
 
 Defined cases: null and wordless texts hold nothing; texts are read whole; a text with several notices
@@ -47,6 +49,7 @@ NOTICES = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at",
     ),
+    "Apache-1.1": ("Licensed under the Apache License, Version 1.1.", "Licensed under the Apache Software License, Version 1.1."),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
@@ -56,8 +59,10 @@ NOTICES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
-    "BSD-3-Clause": (
+    "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ),
+    "BSD-3-Clause": (
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
         "software without specific prior written permission.",
     ),
@@ -82,6 +87,14 @@ NOTICES = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
+    "GPL-1.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 1, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "LGPL-2.1": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
         "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
@@ -98,9 +111,34 @@ NOTICES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "CC-BY-ND-4.0": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+    "CC-BY-NC-SA-4.0": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
 }
+_GNU_KINDS, _CC_KINDS = "lesser library affero", "nc nd sa noncommercial noderivatives noderivs sharealike"
+#: Of each license the words that tell it from others. Where a template has one of the first, it
+#: must be aligned; a stretch with one of the second is another license.
+TELLING = {
+    "MIT": ("mit", ""), "Apache-2.0": ("apache 2.0", ""), "Apache-1.1": ("apache 1.1", ""), "MPL-2.0": ("mozilla 2.0", ""), "BSL-1.0": ("boost 1.0", ""),
+    "GPL-3.0": ("gnu general public 3", _GNU_KINDS), "GPL-2.0": ("gnu general public 2", _GNU_KINDS), "GPL-1.0": ("gnu general public 1", _GNU_KINDS),
+    "LGPL-3.0": ("lesser general public 3", ""), "LGPL-2.1": ("lesser general public 2.1", ""), "AGPL-3.0": ("affero general public 3", ""),
+    "CC-BY-4.0": ("attribution by 4.0", _CC_KINDS), "CC-BY-SA-4.0": ("attribution-sharealike by-sa 4.0", _CC_KINDS), "CC-BY-ND-4.0": ("attribution-noderivatives by-nd 4.0", _CC_KINDS),
+    "CC-BY-NC-4.0": ("attribution-noncommercial by-nc 4.0", _CC_KINDS), "CC-BY-NC-SA-4.0": ("attribution-noncommercial-sharealike by-nc-sa 4.0", _CC_KINDS),
+    "CC-BY-NC-ND-4.0": ("attribution-noncommercial-noderivatives by-nc-nd 4.0", _CC_KINDS), "CC0-1.0": ("waived copyright", ""), "BSD-3-Clause": ("neither endorse", ""),
+}
+#: A text with the first of these has the second one in it, which is then not reported by itself.
+CONTAINS = {"BSD-3-Clause": "BSD-2-Clause"}
 #: Words too common to start a stretch.
 COMMON = frozenset("a an and any are as at be by for from in is it its no not of on or that the this to under use with you without".split())
 COVERAGE = 0.8
@@ -120,6 +158,22 @@ class Template:
     def words(self) -> list[str]:
         return [plain(w) for w in self.text.split()]
 
+    @cached_property
+    def needed(self) -> frozenset[int]:
+        """Places of the template that must be aligned."""
+        own = set(TELLING.get(self.license, ("", ""))[0].split())
+        return frozenset(j for j, w in enumerate(self.words) if w in own)
+
+    @cached_property
+    def barred(self) -> frozenset[str]:
+        """Words that make a stretch another license."""
+        return frozenset(TELLING.get(self.license, ("", ""))[1].split())
+
+    def told(self, text: Sequence[str], pairs: list[tuple[int, int]], first: int, last: int) -> bool:
+        """Whether an aligned stretch of a text is this license and not one much like it."""
+        held = {j for i, j in pairs if first <= i <= last}
+        return self.needed <= held and not self.barred.intersection(text[first : last + 1])
+
     @cached_property
     def seeds(self) -> list[str]:
         return sorted(set(self.words) - COMMON)
@@ -243,8 +297,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverage:
                 spans.append((name, lo, hi))
                 if (row, name) not in best or (-share, lo) < (-best[row, name][0], best[row, name][1]):
                     best[row, name] = (share, lo, hi)
-            if best:
-                keys = sorted(best)
+            keys = sorted(k for k in best if not any(inner == k[1] and (k[0], outer) in best for outer, inner in CONTAINS.items()))
+            if keys:
                 ids = batch.column(0).take(pa.array([k[0] for k in keys]))
                 cols = list(zip(*(best[k] for k in keys), strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -270,8 +324,9 @@ def _stretches(words: Words, hashes: np.ndarray, spots: np.ndarray, firsts: np.n
         d = doc[lo]
         a, b = max(firsts[d], mine[lo] - reach), min(firsts[d + 1], mine[hi - 1] + reach + 1)
         text = [plain(bytes(words.data[words.starts[i] : words.ends[i]]).decode("utf-8", "replace")) for i in range(a, b)]
-        n, first, last = best_run(align(text, t.words), len(t.words))
-        if n:
+        pairs = align(text, t.words)
+        n, first, last = best_run(pairs, len(t.words))
+        if n and t.told(text, pairs, first, last):
             start = int(a - firsts[d])
             out.append((words.first + int(d), t.license, n / len(t.words), start + first, start + last))
     return out

@@ -2,8 +2,8 @@
 
 Hosts and links between them form a graph. Trust spreads by personalised PageRank from the hosts
 that allow rules cover; distrust spreads the same way against the direction of links from hosts that
-block rules cover or that a block list names. Lists and rules of other urls are seeds and no more: a
-host is blocked where its distrust outweighs its trust.
+block rules cover. Rules of other urls are seeds and no more. Both ranks are compared with the host's plain
+PageRank: a host is blocked where the part that comes from distrusted seeds outweighs that from trusted ones.
 DataFrame functions only; the graph is a table of weighted edges, each round a join and a sum. The
 links of a host that has very many are split, and the host's rank is sent to each piece.
 
@@ -43,15 +43,13 @@ RULES = (
     Rule("allow", "com/fr/"),
     Rule("block", "com/de/"),
 )
-#: Labels of hosts that a block list names.
-BLOCKED_LABELS = ("spam-farm", "adult-x", "casino-win", "cheap-pills", "free-bets", "ads-track")
 DAMPING = 0.85
-#: Summed absolute change of a round, of each kind, under which ranks have settled.
+#: A host is blocked where its share of distrust is above this many times its share of trust, and the margin.
+RATIO, MARGIN = 1.0, 0.01
+#: Uncertainty of a share under which ranks have settled, if verdicts have not before.
 TOLERANCE = 1e-9
-#: Rounds between two checkpoints. The change shrinks by the damping each round, so some 130 rounds settle it.
-ROUNDS_PER_CHECKPOINT = 4
-#: A host is blocked where distrust is above this many times its trust.
-RATIO = 1.0
+#: Rounds between two checkpoints; even, as trust goes to and fro between a domain and what is below it.
+ROUNDS = 6
 SALTS = 32
 #: Links out of a host that one piece of it holds, about.
 LINKS_PER_PIECE = 50_000
@@ -94,43 +92,65 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(up).unionByName(down).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
-    """kind, host, score: PageRank of each kind over its edges(kind, src, dst, weight), restarting at
-    its seeds(kind, host, mass). Mass that reaches a host without links leaves the graph.
+def rank_shares(edges: DataFrame, seeds: DataFrame, hosts: DataFrame, ratio: float = RATIO, margin: float | None = MARGIN, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust: the shares of each host's PageRank that come from trusted seeds along edges(src,
+    dst, weight), and from distrusted ones against them.
 
-    The kinds share their rounds, so that trust and distrust take one loop; it ends when the summed
-    absolute change of each is within the tolerance.
+    A walk starts at every host; seeds(host, trust, distrust) tell which part of the walks of a host counts as
+    trusted or distrusted. So a share is between none and all, whatever the number of seeds, and hosts are
+    compared with what plain PageRank gives them. Mass that reaches a host without links leaves the graph.
+
+    Each round passes on what arrived in the last one. What a host still gets is bounded: if no host got more
+    than r times as much in these rounds as in the ones before, none will in any later ones, as all they get comes
+    through the same links. The rounds end when no verdict of ``hosts`` can change within these bounds, or
+    no share by more than the tolerance; without a margin only the latter counts.
     """
-    total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
-    restart = small(seeds.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).join(total, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass")))
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / LINKS_PER_PIECE).cast("int").alias("pieces"))
-    out = checkpoint(out)
+    ways = edges.withColumn("way", F.lit("trust")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("way")))
+    out = checkpoint(ways.groupBy("way", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / LINKS_PER_PIECE).cast("int").alias("pieces")))
     dealt = F.pmod(F.xxhash64("dst"), F.col("pieces")).cast("int")
-    moves = small(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), dealt.alias("piece"), "dst", (F.col("weight") / F.col("out") * damping).alias("part")))
+    moves = small(ways.join(out, ["way", "src"]).select("way", F.col("src").alias("host"), dealt.alias("piece"), "dst", (F.col("weight") / F.col("out") * damping).alias("part")))
+    nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).union(hosts.select("host")).distinct()
+    each = nodes.join(seeds, "host", "left").withColumn("way", F.explode(F.array(F.lit("trust"), F.lit("distrust"))))
+    mass = F.coalesce(F.when(F.col("way") == "trust", F.col("trust")).otherwise(F.col("distrust")), F.lit(0.0))
+    begun = each.select("way", "host", mass.alias("seed"), F.lit(1.0).alias("base"))
+    begun = begun.join(out.select("way", F.col("src").alias("host"), "pieces"), ["way", "host"], "left").fillna(1, ["pieces"])
+    # seed and base arrive in a round; the sums are all that arrived, gained and before that of these rounds and the last ones.
+    sums = ["seed_sum", "base_sum", "gained", "before"]
+    rank = small(begun.select("way", "host", "seed", "base", F.col("seed").alias("seed_sum"), F.col("base").alias("base_sum"), F.lit(0.0).alias("gained"), F.lit(0.0).alias("before"), "pieces"))
     n = tasks(edges.count())
-    rank = restart.select("kind", "host", F.col("mass").alias("score"), F.lit(1).alias("pieces"))
-    # What each round adds anew: the restarts, and the number of pieces of hosts that have more than one.
-    split = out.where("pieces > 1").select("kind", F.col("src").alias("host"), F.lit(0.0).alias("score"), "pieces")
-    again = restart.select("kind", "host", (F.col("mass") * (1.0 - damping)).alias("score"), F.lit(1).alias("pieces")).unionByName(split)
-    rank = small(rank.unionByName(split).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("pieces").alias("pieces")))
+    first = True
     while True:
-        # Some rounds share a checkpoint; the links are shuffled once for all of them.
-        for k in range(ROUNDS_PER_CHECKPOINT):
-            spread = rank.select("kind", "host", "score", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-            sent = spread.join(moves, ["kind", "host", "piece"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part")).alias("score"), F.lit(1).alias("pieces"))
-            now = sent.unionByName(again).withColumn("was", F.lit(0.0))
-            if k == ROUNDS_PER_CHECKPOINT - 1:
-                now = now.unionByName(rank.select("kind", "host", F.lit(0.0).alias("score"), "pieces", F.col("score").alias("was")))
-            rank = now.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("pieces").alias("pieces"), F.sum("was").alias("was"))
-        both = checkpoint(rank.coalesce(n))
-        rank = both.select("kind", "host", "score", "pieces")
-        change = both.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("change")).agg(F.max("change")).first()[0]
-        if (change or 0.0) <= tolerance:
-            return rank.select("kind", "host", "score")
-
-
-def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_labels: tuple[str, ...] = BLOCKED_LABELS, ratio: float = RATIO) -> DataFrame:
-    """host, trust, distrust, verdict for every host of pages(url, html)."""
+        for _ in range(ROUNDS):
+            spread = rank.select("way", "host", "seed", "base", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+            nothing = [F.lit(0.0).alias(c) for c in sums]
+            sent = spread.join(moves, ["way", "host", "piece"]).select("way", F.col("dst").alias("host"), (F.col("seed") * F.col("part")).alias("seed"), (F.col("base") * F.col("part")).alias("base"), *nothing, F.lit(1).alias("pieces"))
+            stays = rank.select("way", "host", F.lit(0.0).alias("seed"), F.lit(0.0).alias("base"), *sums, "pieces")
+            rank = sent.unionByName(stays).groupBy("way", "host").agg(*[F.sum(c).alias(c) for c in ("seed", "base", *sums)], F.max("pieces").alias("pieces"))
+            rank = rank.withColumns({"seed_sum": F.col("seed_sum") + F.col("seed"), "base_sum": F.col("base_sum") + F.col("base"), "gained": F.col("gained") + F.col("base")})
+        rank = checkpoint(rank.coalesce(n))
+        if not first:
+            grew = {r["way"]: r["r"] or 0.0 for r in rank.where("before > 0").groupBy("way").agg(F.max(F.col("gained") / F.col("before")).alias("r")).collect()}
+            if max(grew.values(), default=0.0) < 1:
+                left = F.col("gained") * F.coalesce(*[F.when(F.col("way") == w, F.lit(r / (1 - r))) for w, r in grew.items()], F.lit(0.0))
+                bounds = rank.withColumn("left", left).select("way", "host", (F.col("seed_sum") / (F.col("base_sum") + F.col("left"))).alias("low"), ((F.col("seed_sum") + F.col("left")) / (F.col("base_sum") + F.col("left"))).alias("high"))
+                of = lambda way, c: F.max(F.when(F.col("way") == way, F.col(c)))
+                both = bounds.join(hosts.select("host"), "host", "left_semi").groupBy("host").agg(*[of(w, c).alias(f"{w}_{c}") for w in ("trust", "distrust") for c in ("low", "high")])
+                least, most = F.col("distrust_low") - ratio * F.col("trust_high"), F.col("distrust_high") - ratio * F.col("trust_low")
+                loose = (F.col("distrust_high") - F.col("distrust_low") > tolerance) | (F.col("trust_high") - F.col("trust_low") > tolerance)
+                unsure = loose if margin is None else loose & (least <= margin) & (most > margin)
+                if not both.where(unsure).limit(1).count():
+                    share = lambda way: F.sum(F.when(F.col("way") == way, F.col("seed_sum") / F.col("base_sum")))
+                    return rank.groupBy("host").agg(share("trust").alias("trust"), share("distrust").alias("distrust"))
+        first = False
+        rank = rank.withColumns({"before": F.col("gained"), "gained": F.lit(0.0)})
+
+
+def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_labels: tuple[str, ...] = (), ratio: float = RATIO, margin: float = MARGIN) -> DataFrame:
+    """host, trust, distrust, verdict for every host of pages(url, html).
+
+    Seeds are hosts with pages that rules cover, by the part of them that is allowed or blocked; a host with a
+    label of a block list, if one is given, is distrusted as a whole.
+    """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(host.alias("host"), matched(host, path, rules, "verdict").alias("ruled"), F.col("html"))
     edges = small(host_edges(parsed))
@@ -141,25 +161,21 @@ def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_lab
         .agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
         .withColumn("listed", listed)
     )
-    trusted = hosts.where("allowed > 0 and not listed").select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / F.col("n")).alias("mass"))
-    bad = hosts.where("blocked > 0 or listed").select(F.lit("distrust").alias("kind"), "host", F.when(F.col("listed"), 1.0).otherwise(F.col("blocked") / F.col("n")).alias("mass"))
-    forwards = edges.withColumn("kind", F.lit("trust"))
-    backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("kind"))
-    rank = page_rank(forwards.unionByName(backwards), trusted.unionByName(bad))
-    by_host = rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")])
-    scored = hosts.join(by_host, "host", "left").fillna(0.0, ["trust", "distrust"])
-    over = F.col("distrust") > F.col("trust") * ratio
+    part = lambda own, all_: F.when(F.col("listed"), F.lit(all_)).otherwise(F.col(own) / F.col("n"))
+    seeds = hosts.select("host", part("allowed", 0.0).alias("trust"), part("blocked", 1.0).alias("distrust")).where("trust > 0 or distrust > 0")
+    scored = hosts.select("host").join(rank_shares(edges, seeds, hosts, ratio, margin), "host")
+    over = F.col("distrust") - F.col("trust") * ratio > margin
     return scored.select("host", "trust", "distrust", F.when(over, "block").otherwise("allow").alias("verdict"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_labels: tuple[str, ...] = BLOCKED_LABELS, ratio: float = RATIO) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked_labels: tuple[str, ...] = (), ratio: float = RATIO, margin: float = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust.
 
     A host may have a large part of all pages, so the host table is repeated under each of a few
     salts and pages pick one.
     """
     host, path = host_and_path(F.col("url"))
-    verdicts = small(host_verdicts(pages, rules, blocked_labels, ratio))
+    verdicts = small(host_verdicts(pages, rules, blocked_labels, ratio, margin))
     spread = verdicts.withColumnRenamed("verdict", "judged").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = pages.select(
         "page_id",
