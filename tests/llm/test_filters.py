@@ -310,7 +310,10 @@ def test_reparameterised_questions(spark):
 
 
 def brute_leaks(docs, items):
-    """Pairs that leak by windows of plain lower-case words alone, and pairs with nothing in common."""
+    """Pairs that leak by chains of windows of plain lower-case words alone, and pairs with nothing in common.
+
+    A chain is grown window by window: the best of all that end in a window, over all windows before it.
+    """
     bare = lambda t: [w.strip("""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""") or w for w in words(lower(t))]
     leak, apart = set(), set()
     for i, t in items:
@@ -318,21 +321,39 @@ def brute_leaks(docs, items):
         width = min(len(own), max(4, min(8, len(own) // 3)))
         for d, text in docs:
             theirs = bare(text)
-            held, near = {}, False
             places = {}
             for p in range(len(theirs) - width + 1):
                 places.setdefault(tuple(theirs[p : p + width]), []).append(p)
-            for q in range(len(own) - width + 1 if own else 0):
-                for p in places.get(tuple(own[q : q + width]), []):
-                    held.setdefault(p - q, set()).update(range(q, q + width))
-                    near = True
-            if held and len(set().union(*held.values())) >= 0.5 * len(own):
-                leak.add((d, i))
-            if not near and not any(c.isdigit() for c in t):
+            hits = sorted((p, q) for q in range(len(own) - width + 1 if own else 0) for p in places.get(tuple(own[q : q + width]), []))
+            if hits and (len(own) >= 4 or len(own) >= 0.25 * len(theirs)):
+                best = []
+                for p, q in hits:
+                    before = [b for (p2, q2), b in zip(hits, best, strict=False) if p2 < p and q2 < q and p - p2 - width <= 8 and q - q2 - width <= 8]
+                    best.append(max((b for b in before), key=len, default=frozenset()) | frozenset(range(q, q + width)))
+                if max(map(len, best)) >= 0.5 * len(own):
+                    leak.add((d, i))
+            if not hits and not any(c.isdigit() for c in t):
                 apart.add((d, i))
     return leak, apart
 
 
+def test_chains_rise_and_keep_one_mapping(spark):
+    """Pieces in swapped order are no copy, an inserted word breaks nothing, slots must agree over the whole chain."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty alpha beta gamma delta end".split()
+    far = [f"w{k}" for k in range(60)]
+    number = "in the first year the farm had 30 cows and all were healthy and strong while in the second year it again had 30 cows in the barn"
+    twice = number.replace("30", "55", 1)
+    docs = [
+        (1, " ".join(item[12:20] + far + item[:8])), (2, " ".join([*item[:12], "really", *item[12:]])), (3, " ".join(item[:10] + far + item[10:20])), (4, " ".join(item[:9] + item[14:])),
+        (5, number.replace("30", "55").replace("while in", "while also in")), (6, twice.replace("30", "31").replace("while in", "while also in")), (7, number.replace("while in", "while also in")),
+        (8, "Yes, but " + " ".join(far)), (9, "Yes!"), (10, "Well, yes of course"),
+    ]
+    items = [(1, " ".join(item)), (2, number), (3, "Yes")]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(2, 1), (4, 1), (5, 2), (7, 2), (9, 3), (10, 3)}
+    assert got[2, 1]["coverage"] == 1.0 and got[2, 1]["first_word"] == 0 and got[5, 2]["exact"] is False and got[7, 2]["exact"] is True
+
+
 def test_edits_names_and_letter_case(spark):
     """Opening names, other letter case and one edited word leave a question found; items may share an id."""
     short = "Ann has 3 apples and eats two today"
