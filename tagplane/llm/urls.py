@@ -49,7 +49,7 @@ RATIO, MARGIN = 1.0, 0.01
 #: Uncertainty of a share under which ranks have settled, if verdicts have not before.
 TOLERANCE = 1e-9
 #: Rounds between two checkpoints; even, as trust goes to and fro between a domain and what is below it.
-ROUNDS = 6
+ROUNDS = 2
 SALTS = 32
 #: Links out of a host that one piece of it holds, about.
 LINKS_PER_PIECE = 50_000
