@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagplane.functions.tags import pair_distance
-from tagplane.operators.stats import bh_adjust, count_list, tmm_factors
+from tagplane.operators.models import loess_offsets
+from tagplane.operators.stats import bh_adjust, count_list, log_mean, tmm_factors
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,10 @@ class InteractionSet:
         """file, factor: scaling factors of the libraries; see `stats.tmm_factors`."""
         return tmm_factors(self.counts, totals, reference or self.files[0], weighted=weighted)
 
+    def loess_offsets(self, totals: dict[str, int], abundance: Column | None = None) -> DataFrame:
+        """Offsets of each pair and library by local regression on abundance (the log mean, if none is given); see `models.loess_offsets`."""
+        return loess_offsets(self.counts, log_mean(totals) if abundance is None else abundance, self.files)
+
     def count_list(self, factors: DataFrame | None = None) -> DataFrame:
         return count_list(self.info, factors)
 

@@ -245,7 +245,7 @@ def pooled_ends(spark: SparkSession, sf: str) -> DataFrame:
 # --- interaction sets ---------------------------------------------------------------------------
 
 
-def _set(spark: SparkSession, sf: str) -> InteractionSet:
+def interactions(spark: SparkSession, sf: str) -> InteractionSet:
     """Counts of region pairs as a stored interaction set, which the queries on sets start from."""
     pets, regions = fx.pets(spark, sf), fx.regions(spark, sf)
     counts = fx.stored(spark, sf, "region_counts", lambda: counting.count_regions(pets, regions, FILES, 1, 5))
@@ -258,7 +258,7 @@ _ROLLED = ", ".join(f"cast({' + '.join(cols)} as bigint) as \"{name}\"" for name
 
 @query("compress_matrix", f"with {_RC} select anchor_id, target_id, {_ROLLED} from rc")
 def compress_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).compress().counts
+    return interactions(spark, sf).compress().counts
 
 
 @query(
@@ -268,7 +268,7 @@ n as (select libname, count(*) as totals from t group by 1)
 select libname || case when hetero then 'het' else 'hom' end as file, totals, hetero, libname from (select distinct libname, hetero from t) join n using (libname)""",
 )
 def compress_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).compress().info
+    return interactions(spark, sf).compress().info
 
 
 _DISTANCE = f"""{_RC}, regs as ({fx.REGIONS_SQL}), d as (select rc.*, case when a.chr <> t.chr then null else greatest(a.start, t.start) - least(a."end", t."end") - 1 end as distance
@@ -277,37 +277,37 @@ _DISTANCE = f"""{_RC}, regs as ({fx.REGIONS_SQL}), d as (select rc.*, case when
 
 @query("pair_distance", f"with {_DISTANCE} select * from d")
 def pair_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).distances()
+    return interactions(spark, sf).distances()
 
 
 @query("distance_filter", f"with {_DISTANCE} select * from d where distance > 1 or distance is null")
 def distance_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).distances().where("distance > 1 or distance is null")
+    return interactions(spark, sf).distances().where("distance > 1 or distance is null")
 
 
 @query("interchrom_filter", f"with {_DISTANCE} select * from d where distance is null")
 def interchrom_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).distances().where("distance is null")
+    return interactions(spark, sf).distances().where("distance is null")
 
 
 @query("subset", f'with {_RC} select anchor_id, target_id, "libF_AA", "libO_AB" from rc where "libF_AA" + "libO_AB" >= 2')
 def subset(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).subset(F.col("libF_AA") + F.col("libO_AB") >= 2, ("libF_AA", "libO_AB")).counts
+    return interactions(spark, sf).subset(F.col("libF_AA") + F.col("libO_AB") >= 2, ("libF_AA", "libO_AB")).counts
 
 
 @query("anchors", f'with {_RC}, regs as ({fx.REGIONS_SQL}) select anchor_id, target_id, chr, start, "end" from rc join regs on region_id = anchor_id')
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).anchors()
+    return interactions(spark, sf).anchors()
 
 
 @query("targets", f'with {_RC}, regs as ({fx.REGIONS_SQL}) select anchor_id, target_id, chr, start, "end" from rc join regs on region_id = target_id')
 def targets(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).targets()
+    return interactions(spark, sf).targets()
 
 
 @query("default_totals", "with " + _RC + " " + " union all ".join(f"select '{f}' as file, cast(coalesce(sum(\"{f}\"), 0) as bigint) as totals from rc" for f in FILES))
 def default_totals(spark: SparkSession, sf: str) -> DataFrame:
-    data = _set(spark, sf)
+    data = interactions(spark, sf)
     return InteractionSet.make(data.counts, data.regions, FILES).info
 
 
@@ -320,7 +320,7 @@ select problem, n from (
   union all select 'libraries', 1 union all select 'totals', 1) where n > 0""")
 def validity(spark: SparkSession, sf: str) -> DataFrame:
     """Every rule that can be broken is: ids change sides, regions go, zeros turn negative, a library and a total are lost."""
-    data = _set(spark, sf)
+    data = interactions(spark, sf)
     turned = data.counts.select(F.col("target_id").alias("anchor_id"), F.col("anchor_id").alias("target_id"), F.when(F.col("libF_AA") == 0, -1).otherwise(F.col("libF_AA")).alias("libF_AA"), *FILES[1:])
     info = data.info.where("file <> 'libF_AA'").withColumn("totals", F.when(F.col("file") != "libF_AB", F.col("totals")))
     return InteractionSet(turned, info, data.regions.where("region_id % 7 <> 0"), FILES).problems()
@@ -328,17 +328,17 @@ def validity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("valid_set", "select 'order' as problem, cast(0 as bigint) as n where false")
 def valid_set(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).problems()
+    return interactions(spark, sf).problems()
 
 
 @query("paired_design", "select file, 1 as intercept, cast(libname = 'libO' as int) as \"libO\", cast(hetero as int) as hetero from (values ('libFhom', 'libF', false), ('libFhet', 'libF', true), ('libOhom', 'libO', false), ('libOhet', 'libO', true)) as t(file, libname, hetero)")
 def paired_design(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.design(_set(spark, sf).compress().info, ("libF", "libO"))
+    return stats.design(interactions(spark, sf).compress().info, ("libF", "libO"))
 
 
 @query("count_list", f"select file, count(*) as lib_size, cast(1.0 as double) as norm_factor from ({fx.PETS_SQL}) group by 1")
 def count_list(spark: SparkSession, sf: str) -> DataFrame:
-    return _set(spark, sf).count_list()
+    return interactions(spark, sf).count_list()
 
 
 # --- sources and sinks --------------------------------------------------------------------------
@@ -576,7 +576,7 @@ TOTALS = {f: 10_000 + 500 * k for k, f in enumerate(FILES)}
 _MEAN = sum(TOTALS.values()) / len(TOTALS)
 
 
-def _counts(spark: SparkSession, sf: str) -> DataFrame:
+def window_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of window pairs as a stored table, which the statistics start from."""
     return fx.stored(spark, sf, "window_counts", lambda: counting.count_windows(fx.pets(spark, sf), fx.lengths(spark), FILES, Grid(5000), 1, 20))
 
@@ -587,23 +587,23 @@ _SCALED = "(" + " + ".join(f'"{f}" / {t}.0 * {_MEAN}' for f, t in TOTALS.items()
 
 @query("log_cpm", f"with {_CB} select anchor_id, target_id, " + ", ".join(f'round(log2(("{f}" + {2.0 * t / _MEAN}) / {t + 4.0 * t / _MEAN} * 1e6), 6) as "{f}"' for f, t in TOTALS.items()) + " from cb")
 def log_cpm(spark: SparkSession, sf: str) -> DataFrame:
-    out = stats.log_cpm(_counts(spark, sf), TOTALS)
+    out = stats.log_cpm(window_counts(spark, sf), TOTALS)
     return out.select("anchor_id", "target_id", *[F.round(f, 6).alias(f) for f in FILES])
 
 
 @query("abundance_filter", f"with {_CB} select anchor_id, target_id, round(log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6), 6) as ave_log_cpm from cb where log2(({_SCALED} + 2) / {_MEAN + 4} * 1e6) > 9.0")
 def abundance_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.average_log_cpm(_counts(spark, sf), TOTALS).where("ave_log_cpm > 9.0").select("anchor_id", "target_id", F.round("ave_log_cpm", 6).alias("ave_log_cpm"))
+    return stats.average_log_cpm(window_counts(spark, sf), TOTALS).where("ave_log_cpm > 9.0").select("anchor_id", "target_id", F.round("ave_log_cpm", 6).alias("ave_log_cpm"))
 
 
 @query("scaled_threshold", f"with {_CB} select round(median(log2(({_SCALED} / 4.0 + 2) / {_MEAN + 4} * 1e6)) + log2(5), 6) as threshold from cb")
 def scaled_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.scaled_threshold(_counts(spark, sf), TOTALS, 4.0).select(F.round("threshold", 6).alias("threshold"))
+    return stats.scaled_threshold(window_counts(spark, sf), TOTALS, 4.0).select(F.round("threshold", 6).alias("threshold"))
 
 
 @query("ma_values", f'with {_CB} select anchor_id, target_id, round(log2("libF_AA" + 0.5) - log2("libF_AB" + 0.5), 6) as m, round((log2("libF_AA" + 0.5) + log2("libF_AB" + 0.5)) / 2, 6) as a from cb')
 def ma_values(spark: SparkSession, sf: str) -> DataFrame:
-    out = stats.ma_values(_counts(spark, sf), "libF_AA", "libF_AB")
+    out = stats.ma_values(window_counts(spark, sf), "libF_AA", "libF_AB")
     return out.select("anchor_id", "target_id", F.round("m", 6).alias("m"), F.round("a", 6).alias("a"))
 
 
@@ -614,7 +614,7 @@ t as (select *, power(aa - n*p*p, 2) / (n*p*p) + power(ab - n*2*p*(1-p), 2) / (n
 
 def _hwe(spark: SparkSession, sf: str) -> DataFrame:
     stat, p = stats.hwe_chisq(*[F.col(f).cast("double") for f in ("libO_AA", "libO_AB", "libO_BB")])
-    rows = _counts(spark, sf).where("libO_AA + libO_AB > 0 and libO_AB + libO_BB > 0")
+    rows = window_counts(spark, sf).where("libO_AA + libO_AB > 0 and libO_AB + libO_BB > 0")
     return rows.select("anchor_id", "target_id", F.round(stat, 6).alias("chisq"), F.round(p, 8).alias("pvalue"))
 
 
@@ -653,12 +653,12 @@ select file, round(power(2, lf - (select avg(lf) from g)), 6) as factor from g""
 
 @query("tmm_factors", _tmm_oracle("1.0"))
 def tmm_factors(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.tmm_factors(_counts(spark, sf), TOTALS, "libF_AA").select("file", F.round("factor", 6).alias("factor"))
+    return stats.tmm_factors(window_counts(spark, sf), TOTALS, "libF_AA").select("file", F.round("factor", 6).alias("factor"))
 
 
 @query("normalize", _tmm_oracle("1 / ((1 - x) / o + (1 - r) / q)"))
 def normalize(spark: SparkSession, sf: str) -> DataFrame:
-    data = InteractionSet.make(_counts(spark, sf), make_windows(fx.lengths(spark), Grid(5000)).withColumnRenamed("window_id", "region_id"), FILES)
+    data = InteractionSet.make(window_counts(spark, sf), make_windows(fx.lengths(spark), Grid(5000)).withColumnRenamed("window_id", "region_id"), FILES)
     return data.normalize(TOTALS, "libF_AA").select("file", F.round("factor", 6).alias("factor"))
 
 
@@ -678,7 +678,7 @@ _SLOPE = " + ".join(f'("{f}" + {_PRIORS[f]} - {t + 2 * _PRIORS[f]} * exp(m)) / (
 select anchor_id, target_id, round(((lo + hi) / 2 + ln(1e6)) / ln(2), 6) as ave_log_cpm from s where i = 60""",
 )
 def fitted_log_cpm(spark: SparkSession, sf: str) -> DataFrame:
-    out = models.fitted_log_cpm(_counts(spark, sf), TOTALS, _DISPERSION)
+    out = models.fitted_log_cpm(window_counts(spark, sf), TOTALS, _DISPERSION)
     return out.select("anchor_id", "target_id", F.round("ave_log_cpm", 6).alias("ave_log_cpm"))
 
 
@@ -702,9 +702,8 @@ p as (select anchor_id, target_id, {", ".join(f"{at} as o{k}" for k, at in enume
 select anchor_id, target_id, {", ".join(f'round(o{k} - ({" + ".join(f"o{i}" for i in range(len(FILES)))}) / {len(FILES)}, 6) as "{f}"' for k, f in enumerate(FILES))} from p""",
 )
 def loess_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    counts = _counts(spark, sf)
-    level = F.round(stats.log_mean(TOTALS), 9)
-    return models.loess_offsets(counts, level, FILES).select("anchor_id", "target_id", *[F.round(f, 6).alias(f) for f in FILES])
+    data = InteractionSet.make(window_counts(spark, sf), make_windows(fx.lengths(spark), Grid(5000)).withColumnRenamed("window_id", "region_id"), FILES)
+    return data.loess_offsets(TOTALS, F.round(stats.log_mean(TOTALS), 9)).select("anchor_id", "target_id", *[F.round(f, 6).alias(f) for f in FILES])
 
 
 #: A fit of two groups, mixed linkers against equal ones, is a fit of each by itself; each by bisection.
@@ -728,12 +727,12 @@ _BOTH_SEEN = " and ".join(f"({' + '.join(chr(34) + f + chr(34) for f in files)})
 
 
 def _model(spark: SparkSession, sf: str) -> models.Model:
-    info = _set(spark, sf).info.select("file", F.contains("file", F.lit("AB")).alias("hetero"))
+    info = interactions(spark, sf).info.select("file", F.contains("file", F.lit("AB")).alias("hetero"))
     return models.Model.of(info.select("file", F.lit(1).alias("intercept"), F.col("hetero").cast("int").alias("hetero")), TOTALS)
 
 
 def _seen(spark: SparkSession, sf: str) -> DataFrame:
-    return _counts(spark, sf).where(_BOTH_SEEN.replace(chr(34), "`"))
+    return window_counts(spark, sf).where(_BOTH_SEEN.replace(chr(34), "`"))
 
 
 @query(
@@ -762,14 +761,14 @@ def dispersion_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("one_way_design", "select file, cast(contains(file, 'AB') as int) as mixed, cast(not contains(file, 'AB') as int) as equal from (values " + ", ".join(f"('{f}')" for f in FILES) + ") as t(file)")
 def one_way_design(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = _set(spark, sf).info.withColumn("kind", F.when(F.contains("file", F.lit("AB")), "mixed").otherwise("equal"))
+    kinds = interactions(spark, sf).info.withColumn("kind", F.when(F.contains("file", F.lit("AB")), "mixed").otherwise("equal"))
     return stats.one_way_design(kinds, "kind", ("mixed", "equal"))
 
 
 @query("model_tests")
 def model_tests(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way: common dispersion, a test of mixed linkers in each pair, false discovery rates."""
-    counts, model = _counts(spark, sf), _model(spark, sf)
+    counts, model = window_counts(spark, sf), _model(spark, sf)
     tests = models.coefficient_test(counts, model, 1, models.common_dispersion(counts, model))
     return stats.bh_adjust(tests)
 
@@ -784,7 +783,7 @@ select a.chr as anchor_chr, cast(a.s as int) as anchor_start, cast(a.e as int) a
 def result_table(spark: SparkSession, sf: str) -> DataFrame:
     """The ordered table of results as a tab-separated file with a header, read again."""
     windows = make_windows(fx.lengths(spark), Grid(5000)).withColumnRenamed("window_id", "region_id")
-    data = InteractionSet.make(_counts(spark, sf), windows, FILES)
+    data = InteractionSet.make(window_counts(spark, sf), windows, FILES)
     rows = data.result_table(_hwe(spark, sf).select("anchor_id", "target_id", "pvalue"))
     path = fx.folder(spark)
     text.write_table(rows.withColumn("fdr", F.round("fdr", 6)), path, header=True)
