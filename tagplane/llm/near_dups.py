@@ -40,7 +40,7 @@ from tagplane.llm.words import U64, Words, distinct_sorted, mix, shingles, word_
 K = 48
 #: Share of retained values that similar texts have in common. At a similarity of exactly 0.8, and with
 #: one text nested in the other (the worst case), the common ones are binomial (48, 0.8), and fewer
-#: than 24 of them have a chance of 4e-7; above 0.8 it is less.
+#: than 24 of them have a chance of 7.8e-7; above 0.8 it is less.
 OVERLAP = 0.5
 #: Least estimate that is still verified: the same bound, as the estimate is a share of 48 or more trials.
 ESTIMATE = 0.5
@@ -48,6 +48,8 @@ ESTIMATE = 0.5
 SHORT = 32
 #: Members of a block that is compared in one task, and shared values that it looks at at a time.
 BLOCK, COLUMNS = 1024, 4096
+#: Shingles of the texts of one side of a block that is compared by full sets.
+BLOCK_SHINGLES = 4_000_000
 #: Ids up to which a table of them goes to every task (4 MB); it is counted first.
 BROADCAST_IDS = 500_000
 
@@ -162,12 +164,15 @@ def dealt_blocks(members: DataFrame) -> DataFrame:
 
     The members outside the largest part of a group are its probes. Probes and all members are dealt
     into blocks of about ``BLOCK``, so no task holds a group however large it is, and members of the
-    largest part are repeated only where there is more than one block of probes.
+    largest part are repeated only where there is more than one block of probes. If the members
+    have n_shingles, blocks hold no more than about ``BLOCK_SHINGLES`` of them either, so that long
+    texts make more blocks and not larger ones.
     """
-    by_part = members.groupBy("group", "part").agg(F.count("*").alias("n"))
-    sizes = by_part.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = checkpoint(sizes.select("group", F.col("main.part").alias("main"), blocks(F.col("n")).alias("of_all"), blocks(F.col("n") - F.col("main.n")).alias("of_probes")))
+    weight = F.col("n_shingles") / BLOCK_SHINGLES if "n_shingles" in members.columns else F.lit(0.0)
+    by_part = members.groupBy("group", "part").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    sizes = by_part.groupBy("group").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "part", "w")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w)).cast("int")
+    sizes = checkpoint(sizes.select("group", F.col("main.part").alias("main"), blocks(F.col("n"), F.col("w")).alias("of_all"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("of_probes")))
     open_members = members.join(sizes, "group")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -223,7 +228,7 @@ def _likely(lists: pa.ListArray, n: np.ndarray, k: int, a: np.ndarray, b: np.nda
 
 
 def with_partner(members: DataFrame, classes: DataFrame, k: int, overlap: float = OVERLAP) -> DataFrame:
-    """The members(rep, group, part, home) that have a partner in their group, by sketches.
+    """The members(rep, group, part, home) that have a partner in their group, by sketches, with n_shingles.
 
     Partners are in different parts, have different homes, are of like size and share as many retained
     values as a similar pair does. Only members come back, not pairs.
@@ -245,13 +250,13 @@ def with_partner(members: DataFrame, classes: DataFrame, k: int, overlap: float
         _, hit = np.unique(rep[np.concatenate([probe[row], others[other]])], return_index=True)
         hit = np.concatenate([probe[row], others[other]])[hit]
         group = np.full(len(hit), block.column("group")[0].as_py(), np.int64)
-        return pa.table({"rep": pa.array(rep[hit]), "group": pa.array(group), "part": pa.array(part[hit]), "home": pa.array(home[hit])})
+        return pa.table({"rep": pa.array(rep[hit]), "group": pa.array(group), "part": pa.array(part[hit]), "home": pa.array(home[hit]), "n_shingles": pa.array(n[hit])})
 
-    return rows.groupBy("group", "i", "j").applyInArrow(compare, "rep long, group long, part long, home long").distinct()
+    return rows.groupBy("group", "i", "j").applyInArrow(compare, "rep long, group long, part long, home long, n_shingles long").distinct()
 
 
 def block_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group of members(rep, group, part, home) that has more than one part.
+    """Links (a, b) within each group of members(rep, group, part, home, n_shingles) that has more than one part.
 
     Each pair of blocks is compared by full sets in a task of its own, and reports one link at most for
     two parts, which is all that components need.

@@ -108,3 +108,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert left.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 6, 6, 9]
     assert near_dups.near_duplicates(no_docs, 5).count() == 0
+
+
+def test_long_texts_make_more_blocks(spark, monkeypatch):
+    """Blocks are bounded by shingles too, and what they find does not depend on it."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(300)]
+    texts = {i: " ".join([*base[:100], *(f"x{i}n{k}" for k in range(i % 40)), *base[100:]]) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = spark.createDataFrame([(i, 1, i, i, 300) for i in texts], "rep long, group long, part long, home long, n_shingles long")
+    found = []
+    for bound in (10**9, 3000):
+        monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", bound)
+        found.append((near_dups.dealt_blocks(members).select("i", "j").distinct().count(), {tuple(r) for r in near_dups.block_links(members, docs, 2, 80).collect()}))
+    (one, links), (many, same) = found
+    assert one == 1 and many > 20
+    assert {tuple(sorted(p)) for p in links} == {tuple(sorted(p)) for p in same} and len(links) > 100
