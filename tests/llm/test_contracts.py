@@ -10,6 +10,7 @@ FIELDS = {
     "op2_weak_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op7_factorisation": ["doc_id", "held_out", "score", "predicted"],
     "op9_raked_mixture": ["doc_id", "source", "lang", "topic", "n_tokens", "rate", "kept"],
+    "op12_token_parquet": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op10_virtual_slots": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
 }
 
