@@ -123,11 +123,12 @@ def rank_shares(edges: DataFrame, seeds: DataFrame, hosts: DataFrame, ratio: flo
         for _ in range(ROUNDS):
             spread = rank.select("way", "host", "seed", "base", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
             nothing = [F.lit(0.0).alias(c) for c in sums]
-            sent = spread.join(moves, ["way", "host", "piece"]).select("way", F.col("dst").alias("host"), (F.col("seed") * F.col("part")).alias("seed"), (F.col("base") * F.col("part")).alias("base"), *nothing, F.lit(1).alias("pieces"))
+            # A small graph stays in few tasks, whatever the number of shuffle partitions: many rounds of many files fill disks.
+            sent = spread.join(moves, ["way", "host", "piece"]).coalesce(n).select("way", F.col("dst").alias("host"), (F.col("seed") * F.col("part")).alias("seed"), (F.col("base") * F.col("part")).alias("base"), *nothing, F.lit(1).alias("pieces"))
             stays = rank.select("way", "host", F.lit(0.0).alias("seed"), F.lit(0.0).alias("base"), *sums, "pieces")
-            rank = sent.unionByName(stays).groupBy("way", "host").agg(*[F.sum(c).alias(c) for c in ("seed", "base", *sums)], F.max("pieces").alias("pieces"))
+            rank = sent.unionByName(stays).groupBy("way", "host").agg(*[F.sum(c).alias(c) for c in ("seed", "base", *sums)], F.max("pieces").alias("pieces")).coalesce(n)
             rank = rank.withColumns({"seed_sum": F.col("seed_sum") + F.col("seed"), "base_sum": F.col("base_sum") + F.col("base"), "gained": F.col("gained") + F.col("base")})
-        rank = checkpoint(rank.coalesce(n))
+        rank = checkpoint(rank)
         if not first:
             grew = {r["way"]: r["r"] or 0.0 for r in rank.where("before > 0").groupBy("way").agg(F.max(F.col("gained") / F.col("before")).alias("r")).collect()}
             if max(grew.values(), default=0.0) < 1:
