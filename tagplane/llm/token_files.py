@@ -209,16 +209,25 @@ class TokenFiles:
         return self._started(self._table().where(F.col("doc_id").between(first, last)))
 
     def stretch(self, start: int, stop: int) -> DataFrame:
-        """doc_id, at, ids: the ids that stand at places start to stop - 1 of the whole stream; ``at`` is the place of the first."""
-        held = self.parts().where((F.col("before") < stop) & (F.col("before") + F.col("n_tokens") > start)).orderBy("part").select("part", "before").collect()
-        rows = self._table().where("false").select("doc_id", F.lit(0).cast("long").alias("at"), "ids")
-        for r in held:  # as many as the stretch has parts; the bounds reach the page index of each
-            lo, hi = start - r["before"], stop - r["before"]
-            own = self._table().where((F.col("part") == r["part"]) & (F.col("offset") < hi) & (F.col("offset") + F.col("n_tokens") > lo))
-            skipped = F.greatest(F.lit(lo) - F.col("offset"), F.lit(0)).cast("int")
-            taken = (F.least(F.lit(hi) - F.col("offset"), F.col("n_tokens")) - skipped).cast("int")
-            rows = rows.unionByName(own.select("doc_id", (F.col("offset") + F.lit(r["before"]) + skipped).alias("at"), F.slice("ids", skipped + 1, taken).alias("ids")))
-        return rows
+        """doc_id, at, ids: the ids that stand at places start to stop - 1 of the whole stream; ``at`` is the place of the first.
+
+        The stretch lies in parts that follow each other: other parts are skipped by their page index, and
+        within the first and the last one the pages before and behind it.
+        """
+        held = self.parts().where((F.col("before") < stop) & (F.col("before") + F.col("n_tokens") > start))
+        ends = held.agg(F.min(F.struct("part", "before")).alias("first"), F.max(F.struct("part", "before")).alias("last")).first()
+        first, last = ends["first"], ends["last"]
+        rows = self._table()
+        if first is None:
+            rows = rows.where("false")
+        else:
+            rows = rows.where(F.col("part").between(first["part"], last["part"]))
+            rows = rows.where((F.col("part") < last["part"]) | (F.col("offset") < stop - last["before"]))
+        rows = rows.join(self.parts().select("part", "before"), "part").withColumn("at", F.col("before") + F.col("offset"))
+        rows = rows.where((F.col("at") < stop) & (F.col("at") + F.col("n_tokens") > start))
+        skipped = F.greatest(F.lit(start) - F.col("at"), F.lit(0))
+        taken = F.least(F.lit(stop) - F.col("at"), F.col("n_tokens")) - skipped
+        return rows.select("doc_id", (F.col("at") + skipped).alias("at"), F.slice("ids", skipped.cast("int") + 1, taken.cast("int")).alias("ids"))
 
     def checksums(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 of each document: what the ids read back amount to as little-endian 32-bit numbers."""
