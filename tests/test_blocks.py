@@ -76,3 +76,10 @@ def test_ends_without_regions_near(spark):
     none = spark.createDataFrame([], "kind int, chr string, u long, v long")
     regions = spark.createDataFrame([(1, "a", 6, 9), (2, "b", 1, 9), (3, "a", 1, 5)], REGIONS)
     assert {tuple(r) for r in count_ends(points, none, regions, ("x",), 1).collect()} == {(1, 0), (2, 0), (3, 2)}
+
+
+def test_tags_are_counted_by_place_before_the_join(spark):
+    """As many rows as places go into the overlap join, however many tags lie there."""
+    plan = registry.QUERIES["overlap_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join Inner") :]
+    assert "AS times" in below and "Aggregate" in below[: below.index("AS times")]
