@@ -3,8 +3,8 @@
 Each batch gives what it changes, as rows with a weight of plus or minus one. A read name whose second alignment arrives
 makes a pair; should a third one arrive later, the pair is taken back and the name counts as one with many. So the
 sums over all batches are what one run over all alignments gives, wherever batches cut, and after a restart too.
-Names are dealt into buckets, and the state of a bucket is one table, so that a batch costs a call per bucket
-and not per name.
+Names are dealt into buckets, and the state of a bucket is one compressed table, so that a batch costs a call per
+bucket and not per name. Buckets are as many as keep each small: a call holds one in memory, some times over.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +31,19 @@ DELTAS = "kind string, anchor_chr string, target_chr string, anchor_pos int, tar
 KEPT = 3
 
 
+def packed(reads: pd.DataFrame) -> bytes:
+    """Alignments of a bucket as compressed columns, by name: the state is held in the memory of executors."""
+    table = pa.Table.from_pandas(reads.sort_values(["qname", "ord"], kind="stable"), preserve_index=False)
+    table = table.set_column(table.schema.get_field_index("qname"), "qname", table["qname"].cast(pa.string()))
+    out = io.BytesIO()
+    pq.write_table(table, out, compression="zstd", column_encoding={"qname": "DELTA_BYTE_ARRAY"}, use_dictionary=["chr", "header_ord"])
+    return out.getvalue()
+
+
+def unpacked(state: bytes) -> pd.DataFrame:
+    return pq.read_table(io.BytesIO(state)).to_pandas()
+
+
 def outcomes(reads: pd.DataFrame, dedup: bool) -> tuple[pd.DataFrame, dict[str, int]]:
     """The pairs that some alignments of whole names make, and the counters."""
     reads = reads.sort_values(["qname", "ord"], kind="stable")
@@ -53,7 +68,7 @@ def pair_deltas(alignments: DataFrame, header: DataFrame, dedup: bool = True, mi
 
     def change(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(batches), ignore_index=True).drop(columns="bucket")
-        held = pd.read_pickle(io.BytesIO(state.get[0])) if state.exists else new.iloc[:0]
+        held = unpacked(state.get[0]) if state.exists else new.iloc[:0]
         touched = held["qname"].isin(new["qname"])
         before, now = held[touched], pd.concat([held[touched], new], ignore_index=True)
         rows = []
@@ -62,9 +77,7 @@ def pair_deltas(alignments: DataFrame, header: DataFrame, dedup: bool = True, mi
             rows.append(pairs.assign(kind="pair", weight=sign))
             rows.append(pd.DataFrame([{"kind": k, "weight": sign * v} for k, v in counters.items() if v], columns=["kind", "weight"]))
         kept = pd.concat([held[~touched], now[now.groupby("qname").cumcount() < KEPT]], ignore_index=True)
-        stored = io.BytesIO()
-        kept.to_pickle(stored)
-        state.update((stored.getvalue(),))
+        state.update((packed(kept),))
         out = pd.concat(rows, ignore_index=True).reindex(columns=["kind", "anchor_chr", "target_chr", "anchor_pos", "target_pos", "weight"])
         yield out.astype({"anchor_pos": "Int32", "target_pos": "Int32", "weight": "int64"})
 
