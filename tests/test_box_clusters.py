@@ -70,6 +70,15 @@ def test_unknown_chromosomes_and_no_boxes(spark):
     assert clusters.cluster_boxes(spark.createDataFrame([], BOXES), 5).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 100_000])
+def test_boxes_given_again(spark, held):
+    """One row for each box, wherever its copies are."""
+    rows = random_boxes(8, 200, (1, 40, 5000), 20_000)
+    got = clusters.cluster_boxes(spark.createDataFrame(rows * 4, BOXES).repartition(5), 50, held)
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == 200 and dict(found) == least_reachable(rows, 50)
+
+
 def stored_bytes(folder):
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
 
